@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import hash_sample, one_label
+from tickloom.ship import in_arrow
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)), bytes(range(48, 58))
@@ -84,7 +85,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS for every row; other columns are ignored, repeated rows are kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_statistics, SCHEMA)
+    return in_arrow(rows, _statistics, SCHEMA)
 
 
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"

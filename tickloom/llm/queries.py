@@ -6,20 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm import langid
 from tickloom.llm.common import table
+from tickloom.llm.line_crf import line_quality
 from tickloom.llm.quality_rules import quality_rules
 from tickloom.llm.simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op4_line_crf, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

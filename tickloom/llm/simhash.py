@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import LOWER_ASCII, checkpointed
 from tickloom.llm.components import components
+from tickloom.ship import in_arrow
 
 THRESHOLD = 2
 #: Generator polynomial of the binary Golay code of length 23: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -59,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) for every row; null text counts as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return in_arrow(rows, _fingerprints, "doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -136,7 +137,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, crowd: int = 16) -> Dat
     `prints` has one row (fp, node) for each distinct fingerprint. Every close pair is linked directly, or
     both are linked to a third node that is close to each. No pair of a crowded anchor is listed.
     """
-    replicas = prints.select("fp", "node").mapInArrow(_replicas, "anchor long, fp long, node long, home boolean")
+    replicas = in_arrow(prints.select("fp", "node"), _replicas, "anchor long, fp long, node long, home boolean")
     homes = checkpointed(replicas.where("home").select("anchor", "fp", "node"))
     busy = homes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor")
     quiet = homes.join(busy, "anchor", "left_anti").select("anchor", F.col("fp").alias("fp1"), F.col("node").alias("a"))
