@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import langid
-from tickloom.llm.common import table
+from tickloom.llm.common import shared_dir, table
 from tickloom.llm.line_crf import line_quality
+from tickloom.llm.packing import pack
 from tickloom.llm.quality_rules import quality_rules
 from tickloom.llm.simhash import near_duplicates
+from tickloom.llm.token_rollup import TokenRollup, inserts, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,13 +27,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a fresh ledger after one batch that inserts every document."""
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", inserts(token_counts(table(spark, sf_dir, "documents"))))
+    return rollup.totals()
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op4_line_crf, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
