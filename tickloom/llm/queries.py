@@ -15,6 +15,7 @@ from tickloom.llm.packing import pack
 from tickloom.llm.quality_rules import quality_rules
 from tickloom.llm.simhash import near_duplicates
 from tickloom.llm.token_rollup import TokenRollup, inserts, token_counts
+from tickloom.llm.url_templates import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +56,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op9_decontamination, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op7_url_filters, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
