@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm import langid
 from tickloom.llm.common import shared_dir, table
 from tickloom.llm.decontam import contaminated
+from tickloom.llm.html_template import extract
 from tickloom.llm.line_crf import line_quality
 from tickloom.llm.packing import pack
 from tickloom.llm.quality_rules import quality_rules
@@ -48,6 +49,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op7_url_filters, op9_decontamination, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
