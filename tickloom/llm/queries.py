@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import langid
+from tickloom.llm import gru_lm, langid
 from tickloom.llm.common import shared_dir, table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.html_template import extract
@@ -45,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
@@ -61,5 +65,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op6_lm_scoring, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
