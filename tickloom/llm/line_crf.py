@@ -200,3 +200,17 @@ def score(docs: DataFrame, model: LineField | None) -> DataFrame:
 
 def line_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def keep_good(docs: DataFrame, model: LineField | None, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, that score `least` or more; all where there is no model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = shared.value.score([x.as_py() for x in batch.column("text").cast(pa.string()).cast(pa.binary())])
+            yield batch.filter(pa.array(made >= least))
+
+    return in_arrow(docs, run, docs.schema)

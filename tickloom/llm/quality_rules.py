@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.common import hash_sample, one_label
 from tickloom.ship import in_arrow
@@ -222,3 +223,18 @@ def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Verdicts for every row of `docs`; empty and null texts have no word, so they fail the base rule."""
     return apply_rules(text_statistics(docs), fit_rules(docs, labels))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of `docs`, all columns, that the base heuristics and the rules keep; nothing is shuffled."""
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            texts = row.field(row.type.get_field_index("text")).cast(pa.string()).cast(pa.binary())
+            made = np.array([statistics(x.as_py()) for x in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([row, *map(pa.array, made.T.copy())], names=["row", *COUNTS])
+
+    rows = with_features(in_arrow(docs.select(F.struct("*").alias("row")), run, schema))
+    return rows.where(~F.expr(BASE_FAILED) & rule_column(rules).isNull()).select("row.*")

@@ -168,3 +168,26 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     smallest = F.coalesce("component", "node")
     known = nodes.join(linked, "node", "left").select("fp", F.when(smallest < NAMELESS, smallest).alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, without near-duplicates: of each group the row with the smallest doc_id.
+
+    Of several rows with that doc_id one is kept. Rows without a doc_id are kept only where their group has
+    no row with one, and then one of them for each fingerprint.
+    """
+    found = checkpointed(near_duplicates(docs, threshold))
+    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    nameless = found.where("component_id is null").select("fingerprint").distinct()
+    named = docs.join(keep.select(F.col("doc_id").alias("_kept"), F.col("n").alias("_rows")), F.col("doc_id") == F.col("_kept")).drop("_kept")
+    # repeated ids are rare enough to be dealt with apart, so that other texts move once
+    single = named.where("_rows = 1").drop("_rows")
+    repeated = named.where("_rows > 1").drop("_rows")
+    if not keep.where("n > 1").isEmpty():
+        single = single.unionByName(repeated.dropDuplicates(["doc_id"]))
+    if not nameless.isEmpty():
+        lone = docs.where("doc_id is null").dropDuplicates(["text"])
+        prints = fingerprints(lone.select(F.xxhash64("text").alias("doc_id"), "text"))
+        chosen = prints.groupBy("fp").agg(F.min("doc_id").alias("_text")).select("_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(nameless, "fingerprint", "left_semi")
+        single = single.unionByName(lone.join(chosen.select("_text"), F.xxhash64("text") == F.col("_text"), "left_semi"))
+    return single
