@@ -5,17 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tickloom.operators.indicators import REGISTRY
+from tickloom.plans.duck import plan_sql
+from tickloom.plans.run import indicator, indicators
+from tickloom.sources.market import bars, bars_sql
+
+#: Moves numbers off exact halves, which engines round differently.
+NUDGE = 1.000000000001
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zero."""
+    return df.select(*((F.round(F.col(f.name).cast("double") * NUDGE, 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f.name) for f in df.schema.fields))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Numbers of an indicator as doubles; time, text and flags as they are."""
+    keep = (T.StringType, T.BooleanType)
+    return rounded(df.select(*(F.col(f.name) if f.name == "time" or isinstance(f.dataType, keep) else F.col(f.name).cast("double").alias(f.name) for f in df.schema.fields)))
+
+
+def _indicator_query(name: str) -> Query:
+    return lambda spark, sf_dir: _plain(indicator(bars(spark, sf_dir), name))
+
+
+def _indicator_sql(name: str) -> str | None:
+    plan = REGISTRY[name].plan()
+    made = plan_sql(plan, bars_sql())
+    if made is None:
+        return None
+    flags = {"up", "state", "direction_text"}
+    cols = ", ".join(x if x in flags else f"round(CAST({x} AS DOUBLE) * {NUDGE!r}, 6) + 0.0 AS {x}" for x in plan.outputs)
+    return f"SELECT symbol, time, {cols} FROM ({made})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Six-hour bars of every symbol with ten indicators, in one pass over each symbol."""
+    return _plain(indicators(bars(spark, sf_dir), TEN))
+
+
+TEN: dict[str, tuple[str, dict[str, float]]] = {
+    "sma": ("sma", {"length": 14}),
+    "ema": ("ema", {"length": 14}),
+    "bb": ("bb", {}),
+    "rsi": ("rsi", {}),
+    "macd": ("macd", {}),
+    "atr": ("atr", {}),
+    "stoch": ("stochastic", {}),
+    "cci": ("cci", {}),
+    "adx": ("adx", {}),
+    "vwap": ("vwap", {}),
+}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {"flagship": flagship, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}
