@@ -44,25 +44,53 @@ class Average:
         return {self.out: seeded(bars[self.x].to_numpy(dtype=float, na_value=np.nan), self.n, self.start, self.rate)}
 
 
+@dataclass(frozen=True)
+class Linear:
+    """y = a y + b, from zero. Where a or b is null the value is null and y stays as it was."""
+
+    out: str
+    a: str
+    b: str
+
+    @property
+    def outs(self) -> dict[str, str]:
+        return {self.out: "double"}
+
+    def renamed(self, names: dict[str, str]) -> Linear:
+        return Linear(*(names.get(x, x) for x in (self.out, self.a, self.b)))
+
+    def run(self, bars: pd.DataFrame) -> dict[str, list]:
+        y, out = 0.0, []
+        for a, b in zip(bars[self.a].astype(float).tolist(), bars[self.b].astype(float).tolist(), strict=True):
+            if math.isfinite(a) and math.isfinite(b):
+                y = a * y + b
+                out.append(y)
+            else:
+                out.append(None)
+        return {self.out: out}
+
+
 @dataclass(frozen=True)
 class Machine:
-    """A state machine: `step(columns, params)` gets lists by name and returns lists by output name."""
+    """A state machine: `advance(state, *values, **params)` changes the state, a dict of plain values, and
+    returns the outputs in order, or None for a row of nulls. Streams keep the same state between batches."""
 
     outs: dict[str, str]
-    step: Callable[..., dict[str, list]]
+    advance: Callable[..., tuple | None]
     reads: tuple[str, ...]
     params: dict[str, float] = field(default_factory=dict)
-    names: dict[str, str] = field(default_factory=dict)
 
     def renamed(self, names: dict[str, str]) -> Machine:
-        return Machine({names.get(k, k): v for k, v in self.outs.items()}, self.step, tuple(names.get(c, c) for c in self.reads), self.params, {k: names.get(k, k) for k in self.outs})
+        return Machine({names.get(k, k): v for k, v in self.outs.items()}, self.advance, tuple(names.get(c, c) for c in self.reads), self.params)
 
     def run(self, bars: pd.DataFrame) -> dict[str, list]:
-        made = self.step(*[[None if pd.isna(v) or not math.isfinite(v) else float(v) for v in bars[c]] for c in self.reads], **self.params)
-        return {self.names.get(k, k): v for k, v in made.items()}
+        columns = [[None if pd.isna(v) or not math.isfinite(v) else float(v) for v in bars[c]] for c in self.reads]
+        state: dict = {}
+        rows = [self.advance(state, *values, **self.params) or (None,) * len(self.outs) for values in zip(*columns, strict=True)]
+        return {name: [r[k] for r in rows] for k, name in enumerate(self.outs)}
 
 
-Fold = Average | Machine
+Fold = Average | Linear | Machine
 
 
 def seeded(x: np.ndarray, n: int, start: str, rate: float) -> list[float | None]:

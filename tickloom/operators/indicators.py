@@ -11,7 +11,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from tickloom.operators.folds import Average, Fold
+from tickloom.operators import machines as M
+from tickloom.operators.folds import Average, Fold, Linear, Machine
 from tickloom.operators.windows import RUNNING, deviation, frame, highest, lag, lowest, mean, partial_mean, ratio, running, slope, total, weighted
 
 Step = dict[str, "str | tuple[str, str]"] | list[Fold]
@@ -916,3 +917,353 @@ def _(esaPeriod: int, dPeriod: int, averagePeriod: int) -> Plan:
         [{"tp": TYPICAL}, [ema("esa", "tp", esaPeriod)], {"x": "abs(tp - esa)"}, [ema("d", "x", dPeriod)], {"wt1": ratio("tp - esa", "0.015 * d")}, {"wt2": partial_mean("wt1", averagePeriod)}],
         {"wt1": "wt1", "wt2": "wt2"},
     )
+
+
+# recurrences whose coefficients windows give
+
+
+def linear(out: str, alpha: str, x: str) -> list[Step]:
+    """out += alpha (x - out), alpha and x being text."""
+    return [{f"{out}_a": f"1 - ({alpha})", f"{out}_b": f"({alpha}) * ({x})"}, [Linear(out, f"{out}_a", f"{out}_b")]]
+
+
+@indicator("FractalAdaptiveMovingAverage", "frama", length=20)
+def _(length: int) -> Plan:
+    third = length // 3
+    span = lambda first, n: f"(PARTITION BY symbol ORDER BY time ROWS BETWEEN {length - 1 - first} PRECEDING AND {length - first - n} PRECEDING)"
+    widths = {f"n{k}": f"(max(close) OVER {span(first, n)} - min(close) OVER {span(first, n)}) / {max(1, third)}" for k, (first, n) in enumerate(((0, third), (third, third), (2 * third, length - 2 * third)), 1)}
+    return Plan(
+        [widths, {"d": f"CASE WHEN n1 + n2 > 0 AND n3 > 0 THEN greatest(1.0, least(2.0, (ln(nullif(n1 + n2, 0)) - ln(nullif(n3, 0))) / {math.log(2)!r})) ELSE 1.0 END"}, {"k": f"CASE WHEN i >= {length - 1} THEN exp(-4.6 * (d - 1)) END"}, *linear("value", "k", "close")],
+        {"value": "value"},
+    )
+
+
+@indicator("KaufmanAdaptiveMovingAverage", "kama", length=10, fastSc=2, slowSc=30)
+def _(length: int, fastSc: int, slowSc: int) -> Plan:
+    fast, slow = 2 / (fastSc + 1), 2 / (slowSc + 1)
+    return Plan(
+        [
+            {"x": f"abs({CHANGE})"},
+            {"e": f"coalesce(abs(close - {lag('close', length)}) / nullif({total('x', length)}, 0), 0.00001)"},
+            {"k": f"CASE WHEN i = {length} THEN 1.0 WHEN i > {length} THEN power(greatest(e, 0.00001) * {fast - slow!r} + {slow!r}, 2) END"},
+            *linear("value", "k", "close"),
+        ],
+        {"value": "value"},
+    )
+
+
+@indicator("ZeroLagExponentialMovingAverage", "zlema", length=14)
+def _(length: int) -> Plan:
+    back = (length - 1) - (length - 1) // 2
+    return Plan([{"x": f"CASE WHEN i >= {length - 1} THEN 2 * close - {lag('close', back)} END"}, *linear("value", f"{2 / (length + 1)!r}", "x")], {"value": "value"})
+
+
+@indicator("Vidya", length=15)
+def _(length: int) -> Plan:
+    return Plan(
+        [
+            {"u": f"CASE WHEN i > 0 THEN greatest(0.0, {CHANGE}) END", "d": f"CASE WHEN i > 0 THEN greatest(0.0, -({CHANGE})) END"},
+            {"a": total("u", length), "b": total("d", length), "m": mean("close", length)},
+            {"k": f"CASE WHEN i = {2 * length - 1} THEN 1.0 WHEN i >= {2 * length} THEN coalesce({2 / (length + 1)!r} * abs((a - b) / nullif(a + b, 0)), 0.0) END", "x": f"CASE WHEN i = {2 * length - 1} THEN m ELSE close END"},
+            *linear("value", "k", "x"),
+        ],
+        {"value": "value"},
+    )
+
+
+@indicator("VariableMovingAverage", "vma", length=20, volatilityIndex=0.2)
+def _(length: int, volatilityIndex: float) -> Plan:
+    before = lambda n: f"(PARTITION BY symbol ORDER BY time ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return Plan(
+        [
+            {"p": f"CASE WHEN i = 0 OR i >= {length} THEN close END", "s": f"CASE WHEN i >= {length} THEN {deviation('close', length)} END"},
+            {"m": f"CASE WHEN i < {2 * length} THEN avg(p) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE avg(p) OVER {before(length)} END"},
+            {"k": f"CASE WHEN i = 0 THEN 1.0 WHEN s IS NOT NULL THEN 2 / ({length} * (1 + {volatilityIndex} * coalesce(abs(s / nullif(m, 0)), 0.0)) + 1) END"},
+            *linear("y", "k", "close"),
+            {"value": f"CASE WHEN i >= {length} THEN y END"},
+        ],
+        {"value": "value"},
+    )
+
+
+@indicator("JurikMovingAverage", "jma", length=20, phase=0)
+def _(length: int, phase: int) -> Plan:
+    beta, share = 0.45 * (length - 1) / (0.45 * (length - 1) + 2), (max(-100, min(100, phase)) + 100) / 200
+    k = f"CASE WHEN i < {length} THEN 1.0 ELSE {beta!r} END"
+    return one(f"CASE WHEN i = {length - 1} THEN close WHEN i >= {length} THEN y + {share!r} * (y - {lag('y')}) END", *linear("x", k, "close"), *linear("y", k, "x"))
+
+
+def _compounding(sign: str) -> Plan:
+    return Plan([{"a": f"CASE WHEN i = 0 THEN 0.0 WHEN volume {sign} {lag('volume')} THEN coalesce(close / nullif({lag('close')}, 0), 1.0) ELSE 1.0 END", "b": "CASE WHEN i = 0 THEN 1000.0 ELSE 0.0 END"}, [Linear("value", "a", "b")]], {"value": "value"})
+
+
+@indicator("NegativeVolumeIndex", "nvi")
+def _() -> Plan:
+    return _compounding("<")
+
+
+@indicator("PositiveVolumeIndex", "pvi")
+def _() -> Plan:
+    return _compounding(">")
+
+
+@indicator("AdaptiveLaguerreFilter", "alf", gamma=0.8)
+def _(gamma: float) -> Plan:
+    if not 0 < gamma < 1:
+        return one("CAST(NULL AS DOUBLE)")
+    chain = linear("l0", f"{1 - gamma!r}", "close")
+    for k in (1, 2, 3):
+        chain += linear(f"l{k}", f"{1 - gamma!r}", f"l{k - 1}")
+    return one(f"CASE WHEN max(CASE WHEN v >= close THEN 1 ELSE 0 END) OVER {RUNNING} = 1 THEN v END", *chain, {"v": "(l0 + 2 * l1 + 2 * l2 + l3) / 6"})
+
+
+@indicator("LaguerreRSI", gamma=0.7)
+def _(gamma: float) -> Plan:
+    chain = linear("l0", f"{1 - gamma!r}", "close")
+    for k in (1, 2, 3):
+        chain += [{f"g{k}": f"{gamma!r}", f"h{k}": f"coalesce({lag(f'l{k - 1}')}, 0) - {gamma!r} * l{k - 1}"}, [Linear(f"l{k}", f"g{k}", f"h{k}")]]
+    up = " + ".join(f"greatest(0.0, l{k} - l{k + 1})" for k in range(3))
+    down = " + ".join(f"greatest(0.0, l{k + 1} - l{k})" for k in range(3))
+    return one("CASE WHEN cu + cd = 0 THEN 50.0 ELSE 100 * cu / nullif(cu + cd, 0) END", *chain, {"u": up, "d": down}, *linear("cu", f"{1 - gamma!r}", "u"), *linear("cd", f"{1 - gamma!r}", "d"))
+
+
+@indicator("OptimalTracking")
+def _() -> Plan:
+    k1 = math.exp(-0.25)
+    near = f"CASE WHEN i = 0 THEN 1.0 ELSE {1 - k1!r} END"
+    return one(
+        "CASE WHEN i > 0 THEN y END",
+        {"mid": MID, "half": "(high - low) / 2"},
+        {"move": f"coalesce(mid - {lag('mid')}, 0.0)"},
+        *linear("sd", near, "move"),
+        *linear("sr", near, "half"),
+        {"r": "CASE WHEN i > 0 AND sr <> 0 THEN abs(sd / nullif(sr, 0)) END"},
+        {"q": (f"coalesce(last_value(r) IGNORE NULLS OVER {RUNNING}, 0.0)", f"coalesce(last_value(r IGNORE NULLS) OVER {RUNNING}, 0.0)")},
+        {"k": "CASE WHEN i = 0 THEN 1.0 ELSE (-q * q + sqrt(power(q, 4) + 16 * q * q)) / 8 END"},
+        *linear("y", "k", "mid"),
+    )
+
+
+# compositions
+
+
+@indicator("KasePeakOscillator", "kpo", atrLength=10, shortPeriod=9, longPeriod=18)
+def _(atrLength: int, shortPeriod: int, longPeriod: int) -> Plan:
+    prev, first = lag("close"), atrLength - 1
+    return Plan(
+        [
+            {"t": FULL_RANGE},
+            [Average("a", "t", atrLength, "grow")],
+            {
+                "peak": f"CASE WHEN i < {first} THEN NULL WHEN i > {first} AND close > {prev} THEN greatest(high, {prev} + a) WHEN i > {first} AND close < {prev} THEN least(high, {prev} + 0.5 * a) ELSE high END",
+                "valley": f"CASE WHEN i < {first} THEN NULL WHEN i > {first} AND close > {prev} THEN greatest(low, {prev} - 0.5 * a) WHEN i > {first} AND close < {prev} THEN least(low, {prev} - a) ELSE low END",
+            },
+            {"p0": f"coalesce({lag('peak')}, peak)", "v0": f"coalesce({lag('valley')}, valley)"},
+            {
+                "shortTerm": f"CASE WHEN i >= {first + shortPeriod - 1} THEN coalesce(100 * (close - least(valley, v0)) / nullif(greatest(peak, p0) - least(valley, v0), 0), 0.0) END",
+                "longTerm": f"CASE WHEN i >= {first + longPeriod - 1} THEN coalesce(100 * (close - v0) / nullif(p0 - v0, 0), 0.0) END",
+            },
+        ],
+        {"shortTerm": "shortTerm", "longTerm": "longTerm"},
+    )
+
+
+@indicator("MassIndex", length=25, emaLength=9)
+def _(length: int, emaLength: int) -> Plan:
+    return one(total("r", length), {"x": "high - low"}, [ema("a", "x", emaLength, "partial")], [ema("b", "a", emaLength, "partial")], {"r": f"CASE WHEN i >= {emaLength - 1} THEN {ratio('a', 'b')} END"})
+
+
+@indicator("MarketMeannessIndex", "mmi", length=200)
+def _(length: int) -> Plan:
+    # on eviction the direction that leaves is held against the latest one
+    gone = f"sign({lag('close', length - 1)} - {lag('close', length)})"
+    return one(
+        f"CASE WHEN i >= {length - 1} THEN coalesce(100.0 * c / nullif(p, 0), 0.0) END",
+        {"d": f"coalesce(sign({CHANGE}), 0)", "g": f"CASE WHEN i >= {length} THEN {gone} END"},
+        {"e": f"coalesce({lag('d')}, 0)"},
+        {"dp": "CASE WHEN i > 0 AND d <> 0 THEN 1 ELSE 0 END - CASE WHEN g <> 0 THEN 1 ELSE 0 END", "dc": "CASE WHEN i > 0 AND d <> e AND e <> 0 THEN 1 ELSE 0 END - CASE WHEN g <> e AND e <> 0 THEN 1 ELSE 0 END"},
+        {"p": running("dp"), "c": running("dc")},
+    )
+
+
+@indicator("PsychologicalLine", "psy", length=20)
+def _(length: int) -> Plan:
+    # on eviction the oldest price is held against the newest in the window
+    return one(f"CASE WHEN i >= {length - 1} THEN {running('x')} / {length} END", {"x": f"CASE WHEN close > {lag('close')} THEN 1.0 ELSE 0.0 END - CASE WHEN i >= {length} AND {lag('close', length)} < {lag('close')} THEN 1.0 ELSE 0.0 END"})
+
+
+def _gain(x: str, sign: int = 1) -> str:
+    d = f"{x} - {lag(x)}" if sign > 0 else f"{lag(x)} - ({x})"
+    return f"CASE WHEN {lag(x)} IS NOT NULL THEN greatest(0.0, {d}) END"
+
+
+def _rsi_steps(out: str, x: str, n: int) -> list[Step]:
+    """RSI that gives values while its averages fill."""
+    return [{f"{out}_g": _gain(x), f"{out}_l": _gain(x, -1)}, [Average(f"{out}_a", f"{out}_g", n, "smooth"), Average(f"{out}_b", f"{out}_l", n, "smooth")], _rsi(out, f"{out}_a", f"{out}_b")]
+
+
+@indicator("ConstanceBrownCompositeIndex", "cbci", rsiLength=14, rocLength=9, shortRsiLength=3, momentumLength=3, fastSmaLength=13, slowSmaLength=33)
+def _(rsiLength: int, rocLength: int, shortRsiLength: int, momentumLength: int, fastSmaLength: int, slowSmaLength: int) -> Plan:
+    gate = max(rsiLength, shortRsiLength, rocLength + 1, momentumLength)
+    return Plan(
+        [
+            *_rsi_steps("r", "close", rsiLength),
+            *_rsi_steps("q", "close", shortRsiLength),
+            {"c": ratio(f"100 * (r - {lag('r', rocLength)})", lag("r", rocLength)), "m": partial_mean("q", momentumLength)},
+            {"composite": f"CASE WHEN i >= {gate} THEN c + m END"},
+            {"fastSma": mean("composite", fastSmaLength), "slowSma": mean("composite", slowSmaLength)},
+        ],
+        {x: x for x in ("composite", "fastSma", "slowSma")},
+    )
+
+
+@indicator("CompositeMomentum", shortRocLength=14, longRocLength=28, rsiLength=14, fastLength=12, slowLength=26, smaLength=9)
+def _(shortRocLength: int, longRocLength: int, rsiLength: int, fastLength: int, slowLength: int, smaLength: int) -> Plan:
+    roc = lambda n: ratio(f"100 * (close - {lag('close', n)})", lag("close", n))
+    return Plan(
+        [
+            *_rsi_steps("r", "close", rsiLength),
+            [ema("f", "close", fastLength), ema("s", "close", slowLength)],
+            {"composite": f"CASE WHEN i >= {rsiLength} THEN (({roc(shortRocLength)} + {roc(longRocLength)}) / 100 + (r - 50) / 50 + CASE WHEN s = 0 THEN 0.0 ELSE (f - s) / nullif(s, 0) END) / 4 * 100 END"},
+            {"sma": mean("composite", smaLength)},
+        ],
+        {"composite": "composite", "sma": "sma"},
+    )
+
+
+@indicator("ConnorsRSI", rsiLength=3, streakLength=2, rocLength=100)
+def _(rsiLength: int, streakLength: int, rocLength: int) -> Plan:
+    old = f"CASE WHEN i < {rocLength} THEN first_value(close) OVER {RUNNING} ELSE {lag('close', rocLength)} END"
+    gate = max(rsiLength, streakLength, rocLength)
+    held = lambda x: f"CASE WHEN i >= {gate} THEN {x} END"
+    return Plan(
+        [
+            {"d": f"coalesce(sign({CHANGE}), 1)"},
+            {"turn": f"CASE WHEN i = 0 OR d = {lag('d')} THEN 0 ELSE 1 END"},
+            {"island": running("turn")},
+            {"streak": "d * row_number() OVER (PARTITION BY symbol, island ORDER BY time)", "roc": ratio(f"100 * (close - {old})", old)},
+            *_rsi_steps("r1", "close", rsiLength),
+            *_rsi_steps("r2", "streak", streakLength),
+            *_rsi_steps("r3", "roc", rocLength),
+            {"rsi": held("r1"), "updown": held("r2"), "rocrsi": held("r3"), "crsi": held("(r1 + r2 + r3) / 3")},
+        ],
+        {x: x for x in ("rsi", "updown", "rocrsi", "crsi")},
+    )
+
+
+@indicator("SchaffTrendCycle", "stc", length=10, shortLength=23, longLength=50, cycleLength=5, signalLength=3)
+def _(length: int, shortLength: int, longLength: int, cycleLength: int, signalLength: int) -> Plan:
+    low, high = f"min(close) OVER {frame(length)}", f"max(close) OVER {frame(length)}"
+    edge = lambda fn: f"{fn}(raw) OVER {frame(cycleLength)}"
+    return Plan(
+        [
+            *_macd(shortLength, longLength, signalLength),
+            # the histogram is normalised by the range of the closes
+            {"raw": f"CASE WHEN histogram IS NOT NULL THEN {ratio(f'histogram - {low}', f'{high} - {low}')} END", "formed": f"count(histogram) OVER {RUNNING}"},
+            {"k": f"CASE WHEN raw IS NULL OR formed < {cycleLength} THEN NULL WHEN {edge('max')} = {edge('min')} THEN 0.0 ELSE 100 * (raw - {edge('min')}) / nullif({edge('max')} - {edge('min')}, 0) END"},
+            [ema("value", "k", length)],
+        ],
+        {"value": "value"},
+    )
+
+
+# state machines
+
+
+def machine(advance: Callable, outs: dict[str, str], reads: tuple[str, ...], *before: Step, **params: float) -> Plan:
+    return Plan([*before, [Machine(outs, advance, reads, params)]], {x: x for x in outs})
+
+
+_VALUE = {"value": "double"}
+
+
+@indicator("Aroon", length=14)
+def _(length: int) -> Plan:
+    return machine(M.aroon, {"up": "double", "down": "double"}, ("high", "low"), length=length)
+
+
+@indicator("AroonOscillator", length=14)
+def _(length: int) -> Plan:
+    return one("up - down", *machine(M.aroon, {"up": "double", "down": "double"}, ("high", "low"), length=length).steps)
+
+
+@indicator("ApprovalFlowIndex", "afi", length=14)
+def _(length: int) -> Plan:
+    return machine(M.approval_flow, _VALUE, ("close", "volume"), length=length)
+
+
+@indicator("EaseOfMovement", "eom", length=14)
+def _(length: int) -> Plan:
+    return machine(M.ease_of_movement, _VALUE, ("high", "low", "volume"), length=length)
+
+
+@indicator("DemandIndex", length=14)
+def _(length: int) -> Plan:
+    return machine(M.demand, _VALUE, ("close", "volume"), length=length)
+
+
+@indicator("EhlersFisherTransform", "ehlerfisher", length=10)
+def _(length: int) -> Plan:
+    return machine(M.fisher, {"main": "double", "trigger": "double"}, ("x",), {"a": highest("high", length), "b": lowest("low", length)}, {"x": f"coalesce(0.5 * (({MID} - b) / nullif(a - b, 0) - 0.5), CASE WHEN a IS NOT NULL THEN 0.0 END)"})
+
+
+@indicator("McGinleyDynamic", "mcginley", length=14)
+def _(length: int) -> Plan:
+    return machine(M.mcginley, _VALUE, ("close", "seed"), {"seed": f"CASE WHEN i = {length - 1} THEN {mean('close', length)} END"}, length=length)
+
+
+@indicator("MomentumOfMovingAverage", "momma", length=14)
+def _(length: int) -> Plan:
+    return machine(M.interleaved, _VALUE, ("close",), length=length)
+
+
+@indicator("KalmanFilter", "kalman", processNoise=1e-5, measurementNoise=1e-3, length=10)
+def _(processNoise: float, measurementNoise: float, length: int) -> Plan:
+    return machine(M.kalman, _VALUE, ("close",), process=processNoise, measurement=measurementNoise, length=length)
+
+
+@indicator("NickRypockTrailingReverse", "nrtr", length=50, multiple=100.0)
+def _(length: int, multiple: float) -> Plan:
+    return machine(M.trailing_reverse, _VALUE, ("close",), length=length, multiple=max(1.0, multiple) / 1000)
+
+
+@indicator("SuperTrend", length=10, multiplier=3.0)
+def _(length: int, multiplier: float) -> Plan:
+    return machine(M.super_trend, {"value": "double", "direction": "double"}, ("high", "low", "close", "a", "ready"), {"t": FULL_RANGE, "ready": f"CASE WHEN i >= {length - 1} THEN 1 ELSE 0 END"}, [Average("a", "t", length, "grow")], multiplier=multiplier)
+
+
+@indicator("ParabolicSar", "psar", acceleration=0.02, accelerationMax=0.2, accelerationStep=0.02)
+def _(acceleration: float, accelerationMax: float, accelerationStep: float) -> Plan:
+    return machine(M.parabolic, _VALUE, ("high", "low"), acceleration=acceleration, step=accelerationStep, most=accelerationMax)
+
+
+_PIVOT = {"value": "double", "shift": "double", "is_up": "boolean"}
+
+
+@indicator("ZigZag", deviation=0.001)
+def _(deviation: float) -> Plan:
+    return machine(M.zigzag, _PIVOT, ("close",), deviation=deviation, sides=0)
+
+
+@indicator("Peak", deviation=0.001)
+def _(deviation: float) -> Plan:
+    return machine(M.zigzag, _PIVOT, ("high",), deviation=deviation, sides=1)
+
+
+@indicator("Trough", deviation=0.001)
+def _(deviation: float) -> Plan:
+    return machine(M.zigzag, _PIVOT, ("low",), deviation=deviation, sides=-1)
+
+
+@indicator("Fractals", length=5)
+def _(length: int) -> Plan:
+    if length <= 2 or length % 2 == 0:
+        return wide({"up": "CAST(NULL AS DOUBLE)", "down": "CAST(NULL AS DOUBLE)", "shift": "CAST(NULL AS DOUBLE)"})
+    half = length // 2
+
+    def pivot(x: str, sign: str) -> str:
+        back = "<" if sign == ">" else ">"
+        pairs = [f"{lag(x, k)} {sign if k >= half else back} {lag(x, k + 1)}" for k in range(length - 1)]
+        return f"CASE WHEN {' AND '.join(pairs)} THEN {lag(x, half)} END"
+
+    return Plan([{"a": pivot("high", ">"), "b": pivot("low", "<")}, [Machine({"up": "double", "down": "double"}, M.spaced, ("a", "b"), {"length": length})], {"shift": f"CASE WHEN up IS NOT NULL OR down IS NOT NULL THEN {half} END"}], {"up": "up", "down": "down", "shift": "shift"})
