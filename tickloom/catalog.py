@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tickloom.operators.indicators import REGISTRY
 from tickloom.plans.duck import plan_sql
+from tickloom.plans import market_queries as market
 from tickloom.plans.run import indicator, indicators
 from tickloom.sources.market import bars, bars_sql
 
@@ -44,6 +45,21 @@ def _indicator_sql(name: str) -> str | None:
     return f"SELECT symbol, time, {cols} FROM ({made})"
 
 
+#: Columns of the market queries that are doubles, by name.
+DOUBLES = (
+    "open high low close volume price bid_volume ask_volume delta poc poc_volume compared_volume base relative click purchase hl2 logarithmic quantised "
+    "ratio level change percent remaining total_close ha_open ha_high ha_low ha_close"
+).split()
+
+
+def _rounded_sql(name: str, sql: str) -> str:
+    if name in market.WHOLE:
+        return sql
+    doubles = set(DOUBLES) | ({"total"} if name == "indicator_of_indicator" else set())
+    columns = ", ".join(f"'{c}'" for c in sorted(doubles))
+    return f"SELECT round(CAST(COLUMNS(lambda c: c IN ({columns})) AS DOUBLE) * {NUDGE!r}, 6) + 0.0, COLUMNS(lambda c: c NOT IN ({columns})) FROM ({sql})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour bars of every symbol with ten indicators, in one pass over each symbol."""
     return _plain(indicators(bars(spark, sf_dir), TEN))
@@ -64,8 +80,9 @@ TEN: dict[str, tuple[str, dict[str, float]]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
+    own = {name: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in market.QUERIES.items()}
+    return {"flagship": flagship, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}
+    return {**{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tickloom.operators.machines import average
 from tickloom.ship import by_group
 
 
@@ -40,6 +41,9 @@ class Average:
     def renamed(self, names: dict[str, str]) -> Average:
         return Average(names.get(self.out, self.out), names.get(self.x, self.x), self.n, self.start, self.alpha)
 
+    def machine(self) -> Machine:
+        return Machine(self.outs, average, (self.x,), {"n": self.n, "start": self.start, "rate": self.rate})
+
     def run(self, bars: pd.DataFrame) -> dict[str, list]:
         return {self.out: seeded(bars[self.x].to_numpy(dtype=float, na_value=np.nan), self.n, self.start, self.rate)}
 

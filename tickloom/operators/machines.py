@@ -10,6 +10,23 @@ import math
 Row = tuple | None
 
 
+def average(s: dict, x: float | None, n: int, start: str, rate: float) -> Row:
+    """One step of a recursive average; the ways of starting are those of `folds.seeded`."""
+    strict = start in ("strict", "fixed")
+    if s.get("dead") or n <= 0:
+        return None
+    if x is None:
+        s["dead"] = (strict and s.get("seen", 0) < n) or start == "fixed"
+        return None
+    s["seen"] = seen = s.get("seen", 0) + 1
+    if seen > n:
+        s["y"] += rate * (x - s["y"])
+        return (s["y"],)
+    s["total"] = s.get("total", 0.0) + x
+    s["y"] = s["total"] / (seen if start == "grow" else n)
+    return (s["y"],) if seen == n or start in ("partial", "smooth", "grow") else None
+
+
 def aroon(s: dict, high: float | None, low: float | None, length: int) -> Row:
     """Ages of the highest high and lowest low; when the extreme leaves, an age is its place in the old window."""
     if high is None or low is None:
