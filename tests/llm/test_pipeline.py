@@ -12,7 +12,7 @@ def test_stages_keep_the_columns_and_equal_the_operators(spark):
     kept, stages = docs, dict(corpus_pipeline.STAGES)
     want = {
         "quality rules": lambda d: quality_rules.quality_rules(d, labels).where("kept"),
-        "quality classifier": lambda d: line_crf.line_quality(d, labels).where("predicted = 1"),
+        "quality classifier": lambda d: line_crf.score(d, line_crf.train(docs, labels)).where("predicted = 1"),
         "SimHash near-dedup": lambda d: simhash.near_duplicates(d).where("doc_id = component_id"),
         "benchmark decontamination": lambda d: d.join(decontam.contaminated(d, bench), "doc_id", "left_anti"),
     }
@@ -26,6 +26,16 @@ def test_stages_keep_the_columns_and_equal_the_operators(spark):
     assert corpus_pipeline.run(spark, sf_dir).count() == packing.pack(kept).count()
 
 
+def test_classifier_rejects_what_rules_would_have(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").select(docs.columns)
+    bad = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").select(docs.columns)
+    stage = dict(corpus_pipeline.STAGES)["quality classifier"]
+    assert stage(spark, good, sf_dir).count() >= 0.95 * good.count()
+    assert stage(spark, bad, sf_dir).count() <= 0.1 * bad.count()
+
+
 def test_stages_take_empty_and_awkward_tables(spark):
     from helpers import awkward
 
