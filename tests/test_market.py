@@ -57,8 +57,8 @@ def test_value_area_grows_by_the_larger_side(spark):
     for _ in range(15):
         totals = [float(random.randint(0, 4)) for _ in range(random.randint(1, 9))]
         at = totals.index(max(totals))
-        df = spark.createDataFrame([(totals, at + 1)], "t array<double>, at int")
-        got = df.select(orderflow.value_area(F.col("t"), F.col("at"), 0.7).alias("v")).first()["v"]
+        df = spark.createDataFrame([([(x,) for x in totals], at + 1)], "t array<struct<v: double>>, at int")
+        got = df.select(orderflow.value_area(F.col("t"), "v", F.lit(sum(totals)), F.col("at"), 0.7).alias("v")).first()["v"]
         assert (got["lo"] - 1, got["hi"] - 1) == area(totals, at, 0.7)
 
 

@@ -57,26 +57,25 @@ def poc_struct(total: Column, distance: Column, price: Column, policy: str = "cl
     return {"closest": F.struct(total, -distance, -price), "lower": F.struct(total, -price), "higher": F.struct(total, price)}[policy]
 
 
-def value_area(totals: Column, at: Column, share: float) -> Column:
-    """struct(lo, hi, volume): positions (from 1) of the area around `at` that holds `share` of the totals.
+def value_area(cells: Column, name: str, total: Column, at: Column, share: float) -> Column:
+    """struct(lo, hi, volume): positions (from 1) of the area around `at` that holds `share` of the total.
 
-    It grows by the larger neighbour, by both where they are equal, and stops at the goal.
+    It grows by the larger neighbour, by both where they are equal, and stops at the goal. `cells` should be
+    a column, not an expression: it is looked up at every step.
     """
-    goal = F.aggregate(totals, F.lit(0.0), lambda s, x: s + x) * share
-    cell = lambda k: F.when((k >= 1) & (k <= F.size(totals)), F.element_at(totals, k.cast("int"))).otherwise(F.lit(-1.0))
-    start = F.struct(at.cast("long").alias("lo"), at.cast("long").alias("hi"), F.element_at(totals, at.cast("int")).alias("volume"))
+    cell = lambda k: F.when((k >= 1) & (k <= F.size(cells)), F.element_at(cells, k.cast("int"))[name]).otherwise(F.lit(-1.0))
+    state = lambda lo, hi, v, goal: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), v.cast("double").alias("volume"), goal.cast("double").alias("goal"))
 
     def grow(s: Column, _: Column) -> Column:
         below, above = cell(s["lo"] - 1), cell(s["hi"] + 1)
-        more = lambda lo, hi, v: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), v.alias("volume"))
         return (
-            F.when((s["volume"] >= goal) | ((below < 0) & (above < 0)), s)
-            .when((below == above) & (below >= 0), more(s["lo"] - 1, s["hi"] + 1, s["volume"] + below + above))
-            .when(above > below, more(s["lo"], s["hi"] + 1, s["volume"] + above))
-            .otherwise(more(s["lo"] - 1, s["hi"], s["volume"] + below))
+            F.when((s["volume"] >= s["goal"]) | ((below < 0) & (above < 0)), s)
+            .when((below == above) & (below >= 0), state(s["lo"] - 1, s["hi"] + 1, s["volume"] + below + above, s["goal"]))
+            .when(above > below, state(s["lo"], s["hi"] + 1, s["volume"] + above, s["goal"]))
+            .otherwise(state(s["lo"] - 1, s["hi"], s["volume"] + below, s["goal"]))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(totals)), start, grow)
+    return F.aggregate(F.sequence(F.lit(1), F.size(cells)), state(at, at, cell(at), total * share), grow)
 
 
 def footprint_metrics(levels: DataFrame, bars: DataFrame, policy: str = "closest", share: float = 0.7) -> DataFrame:
@@ -96,7 +95,7 @@ def footprint_metrics(levels: DataFrame, bars: DataFrame, policy: str = "closest
         (F.abs(F.max("price") - F.first("high")) < 1e-9).alias("has_high"),
     )
     at = F.array_position(F.transform("cells", lambda c: c["price"]), F.col("poc"))
-    area = value_area(F.transform("cells", lambda c: c["total"]), at, share)
+    area = value_area(F.col("cells"), "total", F.col("volume"), at, share)
     state = lambda has, v: F.when(~has, "unavailable").when(v > 0, "unfinished").otherwise("finished")
     return grouped.withColumn("area", area).select(
         *LEVEL,
@@ -151,7 +150,7 @@ def volume_profile(levels: DataFrame, bars: DataFrame, share: float = 0.7) -> Da
         F.max_by("price", poc_struct(F.col("total"), F.abs(F.col("price") - F.col("near")), F.col("price"))).alias("poc"),
         F.array_sort(F.collect_list(F.struct("price", "total"))).alias("cells"),
     )
-    area = value_area(F.transform("cells", lambda c: c["total"]), F.array_position(F.transform("cells", lambda c: c["price"]), F.col("poc")), share)
+    area = value_area(F.col("cells"), "total", F.col("volume"), F.array_position(F.transform("cells", lambda c: c["price"]), F.col("poc")), share)
     return out.withColumn("area", area).select("symbol", "bid_volume", "ask_volume", "volume", "n_levels", "poc", F.element_at("cells", F.col("area.lo").cast("int"))["price"].alias("va_low"), F.element_at("cells", F.col("area.hi").cast("int"))["price"].alias("va_high"))
 
 
@@ -203,7 +202,7 @@ def tpo_profile(bars: DataFrame, size: float, share: float = 0.7, balance: int =
     out = cells.groupBy("symbol", "session", "start", "end", "periods", "ib_low", "ib_high").agg(
         F.sum("n").alias("total"), F.max_by("tick", F.struct("n", -away, -F.col("tick"))).alias("poc_tick"), F.max("n").alias("poc_count"), F.count_if(F.col("n") == 1).alias("single_prints"), F.array_sort(F.collect_list(F.struct("tick", F.col("n").cast("double").alias("n")))).alias("cells")
     )
-    area = value_area(F.transform("cells", lambda c: c["n"]), F.array_position(F.transform("cells", lambda c: c["tick"]), F.col("poc_tick")), share)
+    area = value_area(F.col("cells"), "n", F.col("total"), F.array_position(F.transform("cells", lambda c: c["tick"]), F.col("poc_tick")), share)
     price = lambda t: t * F.lit(size)
     return out.withColumn("area", area).select(
         "symbol", "session", "start", "end", "periods", "total", price(F.col("poc_tick")).alias("poc"), "poc_count", "single_prints", "ib_low", "ib_high",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +38,27 @@ def indicator(bars: DataFrame, name: str, **params: float) -> DataFrame:
 
 def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:
     """Several indicators as columns `prefix_output` of one table: one sort, and one pass for each round of folds."""
-    out, outputs = clean(bars), {}
+    out = clean(bars)
     plans = {prefix: find(name).plan(**params) for prefix, (name, params) in asked.items()}
-    made = {prefix: {} for prefix in plans}
-    for k in range(max((len(p.steps) for p in plans.values()), default=0)):
+    made: dict[str, dict[str, str]] = {prefix: {} for prefix in plans}
+    left = {prefix: list(plan.steps) for prefix, plan in plans.items()}
+    while any(left.values()):
+        # every plan goes on to its next folds, and these share one pass
         folds = []
-        for prefix, plan in plans.items():
-            if k >= len(plan.steps):
-                continue
-            step = plan.steps[k]
-            own = made[prefix]
-            if isinstance(step, dict):
-                out = out.withColumns({f"{prefix}__{x}": F.expr(_renamed(text_of(v, 0), own)) for x, v in step.items()})
-                own.update({x: f"{prefix}__{x}" for x in step})
-            else:
-                for f in step:
-                    folds.append(f.renamed({**own, **{x: f"{prefix}__{x}" for x in f.outs}}))
-                    own.update({x: f"{prefix}__{x}" for x in f.outs})
+        while any(steps and isinstance(steps[0], dict) for steps in left.values()):
+            columns = {}
+            for prefix, steps in left.items():
+                if steps and isinstance(steps[0], dict):
+                    step = steps.pop(0)
+                    columns |= {f"{prefix}__{x}": F.expr(_renamed(text_of(v, 0), made[prefix])) for x, v in step.items()}
+                    made[prefix] |= {x: f"{prefix}__{x}" for x in step}
+            out = out.withColumns(columns)
+        for prefix, steps in left.items():
+            if steps:
+                step = steps.pop(0)
+                outs = {x: f"{prefix}__{x}" for f in step for x in f.outs}
+                folds += [f.renamed({**made[prefix], **outs}) for f in step]
+                made[prefix] |= outs
         if folds:
             out = fold(out, folds)
     outputs = {f"{prefix}_{x}": _renamed(v, made[prefix]) for prefix, plan in plans.items() for x, v in plan.outputs.items()}
@@ -60,6 +66,4 @@ def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]])
 
 
 def _renamed(text: str, names: dict[str, str]) -> str:
-    import re
-
     return re.sub(r"'[^']*'|\b[A-Za-z_]\w*\b", lambda m: names.get(m[0], m[0]), text) if names else text
