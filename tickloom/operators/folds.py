@@ -1,8 +1,8 @@
 """Recursive averages and state machines along a series.
 
 A fold needs every earlier bar of its symbol, so symbols are grouped and each is read in time order; all
-folds of a step share one pass and one shuffle. The averages also have a two-pass form, `scan_linear`, for
-series that are too long for one task.
+folds of a step share one pass and one shuffle. Linear recurrences, and so every seeded average, also have a
+two-pass form, `scan_linear`, for series that are too long for one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.machines import average
@@ -141,3 +142,41 @@ def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
         return bars[schema.names]
 
     return by_group(df, ["symbol"], run, schema)
+
+
+def scan_linear(df: DataFrame, a: str, b: str, out: str, span: int) -> DataFrame:
+    """`Linear` in two passes, for series too long for one task: the rows of df with the column `out`.
+
+    Each stretch of `span` units of time is first reduced to the one step it makes as a whole, the stretches
+    of a symbol are then chained, a few rows each, and last every stretch runs from the value it starts at.
+    """
+    parts = df.withColumn("_part", F.floor(F.col("time") / span).cast("long"))
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rate, add = 1.0, 0.0
+        for x, y in zip(*_pairs(rows, a, b), strict=True):
+            if math.isfinite(x) and math.isfinite(y):
+                rate, add = rate * x, x * add + y
+        return pd.DataFrame({"symbol": [rows["symbol"].iloc[0]], "time": [rows["_part"].iloc[0]], "_a": [rate], "_b": [add]})
+
+    steps = by_group(parts.select("symbol", "time", "_part", a, b), ["symbol", "_part"], whole, "symbol string, time long, _a double, _b double")
+    ends = fold(steps, [Linear("_end", "_a", "_b")])
+    start = F.coalesce(F.lag("_end").over(Window.partitionBy("symbol").orderBy("time")), F.lit(0.0)).alias("_start")
+    begun = parts.join(ends.select("symbol", F.col("time").alias("_part"), start), ["symbol", "_part"])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("time", kind="stable")
+        y, made = float(rows["_start"].iloc[0]), []
+        for x, add in zip(*_pairs(rows, a, b), strict=True):
+            known = math.isfinite(x) and math.isfinite(add)
+            y = x * y + add if known else y
+            made.append(y if known else None)
+        return rows.assign(**{out: pd.Series(made, index=rows.index, dtype="float64")})[schema.names]
+
+    return by_group(begun, ["symbol", "_part"], run, schema)
+
+
+def _pairs(rows: pd.DataFrame, a: str, b: str) -> tuple[list[float], list[float]]:
+    rows = rows.sort_values("time", kind="stable")
+    return rows[a].astype(float).tolist(), rows[b].astype(float).tolist()

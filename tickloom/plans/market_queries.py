@@ -277,8 +277,8 @@ def order_checks(spark, sf_dir):
     orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     sums = items.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("q"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0)).alias("f"))
     rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")).join(sums, "id")
-    judged = trading.judged(rows.withColumn("id", F.col("id")), [("unknown status", F.col("status").isin("O", "F", "P")), ("quantity is not positive", F.col("q") > 0), ("filled is outside the quantity", F.col("f") <= F.col("q"))])
-    return judged.select("id", "status", trading.F.greatest(F.lit(0.0), F.col("q") - F.col("f")).alias("remaining"), "reason")
+    judged = trading.judged(rows, [("unknown status", F.col("status").isin("O", "F", "P")), ("quantity is not positive", F.col("q") > 0), ("filled is outside the quantity", F.col("f") <= F.col("q"))])
+    return judged.select("id", "status", scalars.remaining(F.col("q"), F.col("f")).alias("remaining"), "reason")
 
 
 @query(f"SELECT symbol, time, sum(close) OVER {RUNNING} AS total FROM (SELECT symbol, time, close FROM ({bars_sql()}) WHERE close > open)")
