@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Queries without doubles.
-WHOLE = {"session_trades", "trading_time", "session_neighbours", "visible_counts", "tpo_levels"}
+WHOLE = {"session_trades", "countdown", "date_presets", "profile_modes", "trading_time", "session_neighbours", "visible_counts", "tpo_levels"}
 TICK = 1.0
 DAY = 86400
 
@@ -286,3 +286,33 @@ def indicator_of_indicator(spark, sf_dir):
     """A running study over another's samples: missing ones are skipped, not carried."""
     some = bars(spark, sf_dir).where("close > open").select("symbol", "time", "close")
     return some.select("symbol", "time", F.expr(f"sum(close) OVER {RUNNING}").alias("total"))
+
+
+@query(f"""
+SELECT symbol, time, CASE WHEN n < time THEN 'pending' WHEN n < e THEN 'open' ELSE 'closed' END AS state, greatest(0, least(n, e) - time) AS elapsed, e - time - greatest(0, least(n, e) - time) AS remaining_seconds
+FROM (SELECT symbol, time, time + 18000 * (1 - 2 * (time % 2)) + 7200 * (time % 3) AS n, time + {BAR_SECONDS} AS e FROM ({bars_sql()}))""")
+def countdown(spark, sf_dir):
+    now = F.col("time") + 18000 * (1 - 2 * (F.col("time") % 2)) + 7200 * (F.col("time") % 3)
+    c = calendar.countdown(now, F.col("time"), F.col("time") + BAR_SECONDS)
+    return bars(spark, sf_dir).select("symbol", "time", c["state"].alias("state"), c["elapsed"].alias("elapsed"), c["remaining"].alias("remaining_seconds"))
+
+
+@query(f"""
+SELECT symbol, time, time - 432000 AS five_days, CAST(epoch(t - INTERVAL 1 MONTH) AS BIGINT) AS one_month, CAST(epoch(t - INTERVAL 1 YEAR) AS BIGINT) AS one_year,
+       CASE WHEN CAST(epoch(date_trunc('year', t)) AS BIGINT) < time THEN CAST(epoch(date_trunc('year', t)) AS BIGINT) ELSE time - 86400 END AS year_to_date
+FROM (SELECT symbol, time, make_timestamp(time * 1000000) AS t FROM ({bars_sql()}))""")
+def date_presets(spark, sf_dir):
+    at = lambda p: scalars.preset_start(F.col("time"), p, F.lit(0))
+    return bars(spark, sf_dir).select("symbol", "time", at("5D").alias("five_days"), at("1M").alias("one_month"), at("1Y").alias("one_year"), at("YTD").alias("year_to_date"))
+
+
+@query(f"SELECT symbol, CASE WHEN min(m) = max(m) AND min(m) = 'exact' THEN 'ready' WHEN min(m) = max(m) THEN 'approximate' ELSE 'mixed' END AS status, coalesce(string_agg(DISTINCT r, ',' ORDER BY r), '') AS reasons FROM (SELECT symbol, CASE WHEN symbol < 'm' THEN 'exact' WHEN time % 2 = 0 AND symbol < 'q' THEN 'exact' ELSE 'approximate' END AS m, CASE WHEN symbol < 'm' OR (time % 2 = 0 AND symbol < 'q') THEN NULL WHEN time % 3 = 0 THEN 'candles' ELSE 'gaps' END AS r FROM ({bars_sql()})) GROUP BY symbol")
+def profile_modes(spark, sf_dir):
+    exact = (F.col("symbol") < "m") | ((F.col("time") % 2 == 0) & (F.col("symbol") < "q"))
+    rows = bars(spark, sf_dir).select("symbol", F.when(exact, "exact").otherwise("approximate").alias("data_mode"), F.when(exact, None).when(F.col("time") % 3 == 0, "candles").otherwise("gaps").alias("reason"))
+    return orderflow.profile_modes(rows)
+
+
+@query(f"SELECT symbol, time, price, id FROM ({TICKS_SQL}) WHERE abs(price - floor(price / 0.05 + 0.5) * 0.05) > greatest(1e-12, abs(price) * 3.552713678800501e-15, 0.05e-9)")
+def off_grid_trades(spark, sf_dir):
+    return orderflow.off_grid(ticks(spark, sf_dir), "price", 0.05).select("symbol", "time", "price", "id")
