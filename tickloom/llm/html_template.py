@@ -5,7 +5,7 @@ them. Over all pages of a host, roles whose occurrence vectors are equal (the sa
 form an equivalence class; the vectors are compared by an order-free hash that Spark aggregates, so a host
 with a third of all pages costs one row a role and task. Classes on most pages that nest in one another are
 the host's template, and the text between their tokens is its slots. The slots inside the container that
-holds most of the host's plain text, without those in menus, headers, footers, sidebars, notices, adverts,
+holds all of the host's plain text, without those in menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and reader comments, are the article; a second pass cuts them out of every page.
 """
 
@@ -202,7 +202,7 @@ def deduce(pages: DataFrame, common: float = 0.5) -> DataFrame:
     """host, template (paths of its classes), container: the template of each host.
 
     A role belongs to the template if its class is on at least `common` of the host's pages. The container
-    is the deepest path that holds nine tenths of the most plain text that any path holds outside furniture.
+    is the deepest path that holds all plain text outside furniture, that of paths on few pages included.
     """
     schema = "host string, path string, pages long, n long, vector long, chars long, linked long, furniture long"
     roles = in_arrow(_rows(pages).select("page_id", "host", "html"), _roles, schema)
@@ -216,9 +216,9 @@ def deduce(pages: DataFrame, common: float = 0.5) -> DataFrame:
     steps = F.split(F.col("path"), "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("at"))))
     plain = F.when((F.col("furniture") == 0) & (2 * F.col("linked") <= F.col("chars")), F.col("chars")).otherwise(0)
-    mass = template.select("host", plain.alias("mass"), above.alias("up")).groupBy("host", "up.at", "up.depth").agg(F.sum("mass").alias("mass"))
+    mass = roles.select("host", plain.alias("mass"), above.alias("up")).groupBy("host", "up.at", "up.depth").agg(F.sum("mass").alias("mass"))
     top = mass.groupBy("host").agg(F.max("mass").alias("most"))
-    held = mass.join(top, "host").where("mass >= 0.9 * most and mass > 0")
+    held = mass.join(top, "host").where("mass = most and mass > 0")
     container = held.groupBy("host").agg(F.max_by("at", F.struct("depth", "mass", "at")).alias("container"))
     listed = template.groupBy("host").agg(F.sort_array(F.collect_set("class")).alias("template"))
     return checkpointed(listed.join(container, "host", "left"))
