@@ -22,10 +22,12 @@ def fold(key: str | Column, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a local session gets one of its own; a cluster raises."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -59,3 +61,29 @@ def one_label(labels: DataFrame, column: str = "quality") -> DataFrame:
         .where("_low = _high")
         .select("doc_id", F.col("_low").cast("int").alias("label"))
     )
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, n: str, total: int, most: int = 10_000) -> DataFrame:
+    """`rows` joined to `one`, which has a single row for each key and in the column `n` the key's number of rows.
+
+    Fewer than `most` keys can have more than a share of 1 / `most` of the `total` rows. These are broadcast, so a
+    key with a third of all rows is not gathered in one task; the other keys are joined by a shuffle.
+    """
+    hot = F.col(n) * F.lit(most) > F.lit(total)
+    few = F.broadcast(one.where(hot).drop(n))
+    others = rows.join(few.select(key), key, "left_anti").join(one.where(~hot).drop(n), key)
+    return rows.join(few, key).unionByName(others)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, bound: int, column: str = "quality") -> DataFrame:
+    """doc_id, text, label of about `bound` different labelled texts at most, chosen by hashes of doc_id and text.
+
+    Rows with the same doc_id and text are one. A doc_id that many different texts share is thinned like many ids.
+    """
+    sample = hash_sample(one_label(labels, column), "doc_id", bound)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = checkpointed(rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(F.first("text").alias("text"), F.first("label").alias("label")))
+    n = found.count()
+    if n > bound:
+        found = found.where(F.pmod(F.xxhash64("doc_id", "_key", F.lit("texts")), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    return found.drop("_key")

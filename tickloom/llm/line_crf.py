@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fold, hash_sample, one_label
+from tickloom.llm.common import fold, labelled
 from tickloom.ship import in_arrow
 
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -88,45 +88,79 @@ class LineField:
         return out
 
 
-def marginals(node: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(node: np.ndarray, counts: np.ndarray, steps: np.ndarray, weight: np.ndarray | None = None, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over chains laid end to end: line marginals, summed pair marginals, log partition.
 
-    `node` is the potential of good against bad, `counts` the lines of each chain (at least 1).
+    `node` is the potential of good against bad, `counts` the lines of each chain (at least 1), `weight` what a
+    line's pair with its successor counts for. Chains run in blocks side by side: what a block does to a message
+    is a 2 x 2 matrix, these are chained, and each block then starts from the messages that reach it. So the
+    result is that of whole chains, and a chain of n lines takes about 3 x `block` + 2 n / `block` steps.
     """
-    order = np.argsort(-counts, kind="stable")
-    first = (np.cumsum(counts) - counts)[order]
-    longest, sizes = int(counts.max()), counts[order]
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left")
     move = np.exp(steps)
     top = np.maximum(node, 0)
     emit = np.stack([np.exp(-top), np.exp(node - top)], axis=1)
+    parts = -(-counts // block)
+    chain = np.repeat(np.arange(len(counts)), parts)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = (np.cumsum(counts) - counts)[chain] + number * block
+    size = np.minimum(block, counts[chain] - number * block)
+    order = np.argsort(-size, kind="stable")
+    active = np.searchsorted(-size[order], -np.arange(size.max()), side="left")
+    lead, tail = np.ones((len(chain), 2)), np.ones((len(chain), 2))
+    by_number = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[by_number], np.arange(parts.max() + 1))
+    turns = np.tile(np.eye(2), (len(chain), 1, 1))
+    if parts.max() > 1:
+        for t in range(len(active)):
+            some = order[: active[t]]
+            moved = turns[some] @ move
+            if t == 0:
+                moved[number[some] == 0] = np.eye(2)
+            moved *= emit[start[some] + t][:, None, :]
+            turns[some] = moved / moved.sum(axis=(1, 2), keepdims=True)
+        for k in range(1, parts.max()):
+            some = by_number[edges[k] : edges[k + 1]]
+            made = np.einsum("bi,bij->bj", lead[some - 1], turns[some - 1])
+            lead[some] = made / made.sum(axis=1, keepdims=True)
+        for k in range(parts.max() - 1, 0, -1):
+            some = by_number[edges[k] : edges[k + 1]]
+            made = np.einsum("bij,bj->bi", turns[some], tail[some])
+            tail[some - 1] = made / made.sum(axis=1, keepdims=True)
     ahead, scale = np.empty_like(emit), np.empty(len(node))
-    for t in range(longest):
-        at = first[: active[t]] + t
-        a = emit[at] if t == 0 else (ahead[at - 1] @ move) * emit[at]
+    for t in range(len(active)):
+        some = order[: active[t]]
+        at = start[some] + t
+        a = (lead[some] if t == 0 else ahead[at - 1]) @ move
+        if t == 0:
+            a[number[some] == 0] = 1.0
+        a *= emit[at]
         scale[at] = s = a.sum(axis=1)
         ahead[at] = a / s[:, None]
-    behind = np.ones_like(emit)
-    pairs = np.zeros((2, 2))
-    for t in range(longest - 2, -1, -1):
-        at = first[: active[t + 1]] + t
-        b = emit[at + 1] * behind[at + 1] / scale[at + 1][:, None]
-        pairs += (ahead[at].T @ b) * move
-        behind[at] = b @ move.T
+    behind = np.empty_like(emit)
+    last = start + size - 1
+    behind[last] = tail / (ahead[last] * tail).sum(axis=1, keepdims=True)
+    for t in range(len(active) - 2, -1, -1):
+        at = start[order[: active[t + 1]]] + t
+        behind[at] = (emit[at + 1] * behind[at + 1] / scale[at + 1][:, None]) @ move.T
+    inner = np.ones(len(node), dtype=bool)
+    inner[np.cumsum(counts) - 1] = False
+    at = np.flatnonzero(inner)
+    left = ahead[at] if weight is None else ahead[at] * weight[at][:, None]
+    pairs = (left.T @ (emit[at + 1] * behind[at + 1] / scale[at + 1][:, None])) * move
     both = ahead * behind
     return both / both.sum(axis=1, keepdims=True), pairs, np.array(np.log(scale).sum() + top.sum())
 
 
-def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, rounds: int = 150, chunk: int = 64) -> LineField | None:
-    """Weights by gradient ascent on the conditional likelihood, every line starting with its document's label.
+def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray, rounds: int = 150) -> LineField | None:
+    """Weights by gradient ascent on the conditional likelihood of whole documents, every line having its document's label.
 
-    Training chains are cut every `chunk` lines, which bounds the steps of a round. The Platt line is then
-    fitted to whole documents. None where there are no labels of both kinds.
+    Lines and their pairs weigh so that both labels weigh the same. The Platt line is then fitted to whole
+    documents. None where there are no labels of both kinds.
     """
     if len(set(labels.tolist())) < 2:
         return None
     x, y = np.vstack(features), np.repeat(labels, [len(f) for f in features])
-    counts = np.concatenate([[min(chunk, len(f) - k) for k in range(0, len(f), chunk)] for f in features])
+    counts = np.array([len(f) for f in features])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -135,12 +169,12 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
     inner[ends - 1] = False
     at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at], y[at + 1]), 1)
+    np.add.at(seen, (y[at], y[at + 1]), weight[at])
     w, steps = np.zeros(z.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for k in range(1, rounds + 1):
-        good, pairs, _ = marginals(z @ w, counts, steps)
-        step = np.concatenate([z.T @ ((y - good[:, 1]) * weight) - 1e-4 * w, ((seen - pairs) / max(1, len(at))).ravel() - 1e-2 * steps.ravel()])
+        good, pairs, _ = marginals(z @ w, counts, steps, weight)
+        step = np.concatenate([z.T @ ((y - good[:, 1]) * weight) - 1e-4 * w, (seen - pairs).ravel() - 1e-2 * steps.ravel()])
         m, v = 0.9 * m + 0.1 * step, 0.99 * v + 0.01 * step**2
         move = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, steps = w + move[:-4], steps + move[-4:].reshape(2, 2)
@@ -163,14 +197,17 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [line_features(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())]
         flat, sizes = pa.array([f.ravel() for f, _ in made], pa.list_(pa.float64())), pa.array([n for _, n in made], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, sizes], names=["doc_id", "features", "lengths"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), flat, sizes], names=["doc_id", "label", "features", "lengths"])
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 4000) -> LineField | None:
-    """Learn from about `bound` labelled documents at most (by a hash of doc_id) whose fold of 3 is not 1."""
-    sample = hash_sample(one_label(labels).where(fold("doc_id", 3) != 1), "doc_id", bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    got = in_arrow(rows, _line_rows, "doc_id long, features array<double>, lengths array<double>").join(F.broadcast(sample), "doc_id").toPandas()
+    """Learn from about `bound` different labelled texts at most (by a hash of doc_id) whose fold of 3 is not 1.
+
+    A null doc_id or label, a doc_id labelled both ways and repeated rows teach nothing more; a null text is an empty
+    line. None where there are no labels of both kinds.
+    """
+    sample = labelled(docs, labels.where(fold("doc_id", 3) != 1), bound)
+    got = in_arrow(sample, _line_rows, "doc_id long, label int, features array<double>, lengths array<double>").toPandas()
     if not len(got):
         return None
     got = got.assign(n=[len(x) for x in got["lengths"]], s=[float(np.sum(x)) for x in got["features"]]).sort_values(["doc_id", "n", "s"], kind="stable")
@@ -199,11 +236,15 @@ def score(docs: DataFrame, model: LineField | None) -> DataFrame:
 
 
 def line_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What `score` returns for every row of `docs`, learned from `labels`; without labels of both kinds every score is 0.5."""
     return score(docs, train(docs, labels))
 
 
 def keep_good(docs: DataFrame, model: LineField | None, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns, that score `least` or more; all where there is no model."""
+    """The rows of `docs`, all columns, that score `least` or more; all where there is no model.
+
+    Null and wordless texts score the training share of label 1. Repeated rows and rows without a doc_id are judged like any.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import hash_sample, one_label
+from tickloom.llm.common import labelled
 from tickloom.ship import in_arrow
 
 SYMBOLS = b"#*$%&|<>"
@@ -188,13 +188,13 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> list[Rule]:
-    """Rules learned from about `bound` labelled documents at most, chosen by a hash of doc_id.
+    """Rules learned from about `bound` different labelled texts at most, chosen by a hash of doc_id.
 
     Documents that the base heuristics reject teach nothing. Without labels of both kinds the list is empty.
     """
-    sample = hash_sample(one_label(labels), "doc_id", bound)
-    rows = with_features(text_statistics(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"))).where(f"not ({BASE_FAILED})")
-    got = rows.select("doc_id", *FEATURES).join(F.broadcast(sample), "doc_id").toPandas()
+    sample = labelled(docs, labels, bound)
+    rows = with_features(text_statistics(sample)).where(f"not ({BASE_FAILED})")
+    got = rows.select("doc_id", *FEATURES).join(F.broadcast(sample.select("doc_id", "label").distinct()), "doc_id").toPandas()
     got = got.sort_values(["doc_id", *FEATURES], kind="stable")
     order = np.argsort(np.array([hash_order(i) for i in got["doc_id"]], dtype=np.uint64), kind="stable")
     got = got.iloc[order]
@@ -226,7 +226,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of `docs`, all columns, that the base heuristics and the rules keep; nothing is shuffled."""
+    """The rows of `docs`, all columns, that the base heuristics and the rules keep; nothing is shuffled.
+
+    Null and empty texts have no word, so they go. Repeated rows and rows without a doc_id are judged like any.
+    """
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
