@@ -9,6 +9,8 @@ matrix times landmark matrix times weights.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,17 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import fold
 from tickloom.ship import in_arrow
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _not_letters() -> str:
+    """The characters that a regular expression takes for word characters though they are no letters (category L), as ranges."""
+    odd = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and unicodedata.category(chr(i))[0] != "L"]
+    starts = [i for i, before in zip(odd, [-2, *odd], strict=False) if i != before + 1]
+    ends = [i for i, after in zip(odd, [*odd[1:], -2], strict=True) if i + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+WORD = re.compile(rf"[^\W_{_not_letters()}]+")
 UNKNOWN = "und"
 BATCH = 64
 
@@ -73,11 +85,15 @@ class LanguageModel:
         return langs, scores
 
 
-def fit(langs: list[str], grams: list[np.ndarray], landmarks: int = 32, ridge: float = 1e-2) -> LanguageModel | None:
-    """Kernel ridge regression on Nyström features; `landmarks` of each language, the first with 100 n-grams."""
+def fit(langs: list[str], grams: list[np.ndarray], landmarks: int = 32, ridge: float = 1e-2, most: int = 1024) -> LanguageModel | None:
+    """Kernel ridge regression on Nyström features; `landmarks` of each language, the first with 100 n-grams.
+
+    With many languages each has fewer, so that there are about `most` in all.
+    """
     names = tuple(sorted(set(langs)))
     if not names:
         return None
+    landmarks = max(4, min(landmarks, most // len(names)))
     chosen = []
     for name in names:
         own = [i for i, x in enumerate(langs) if x == name]
@@ -108,21 +124,22 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array(made, pa.list_(pa.int64()))], names=["lang", "u", "grams"])
 
 
-def train(docs: DataFrame, per_language: int = 400) -> LanguageModel | None:
+def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> LanguageModel | None:
     """Learn from text and lang of rows whose fold (crc32 of doc_id modulo 3) is not 1.
 
-    About `per_language` rows of each language at most, chosen by a hash of doc_id, reach the driver as
-    n-gram codes. Rows without a language, a doc_id or a letter teach nothing.
+    About `per_language` rows of each of the `languages` commonest languages at most, chosen by a hash of doc_id and
+    text, reach the driver as n-gram codes. Repeated rows teach once; rows without a language, a doc_id or a letter
+    teach nothing.
     """
-    rows = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return None
     # rank in a hash order, as a share: a language with n rows keeps those below per_language / n
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    picked = rows.select("text", "lang", u.alias("u")).where(F.col("u") < F.try_element_at(share, "lang"))
-    got = in_arrow(picked.select(F.col("text").cast("string"), "lang", "u"), _grams, "lang string, u double, grams array<long>").where("size(grams) > 0").toArrow()
+    picked = rows.select("text", "lang", u.alias("u")).where(F.col("u") < F.try_element_at(share, "lang")).groupBy("lang", "u").agg(F.first("text").alias("text"))
+    got = in_arrow(picked.select("text", "lang", "u"), _grams, "lang string, u double, grams array<long>").where("size(grams) > 0").toArrow()
     made = [(lang, u, np.asarray(g.values.to_numpy(zero_copy_only=False)).view(np.uint64)) for lang, u, g in zip(got["lang"].to_pylist(), got["u"].to_pylist(), got["grams"].combine_chunks(), strict=True)] if got.num_rows else []
     made.sort(key=lambda r: (r[1], r[0], len(r[2])))
     return fit([r[0] for r in made], [r[2] for r in made])
