@@ -161,15 +161,13 @@ def test_network_gradient_and_distribution():
     def loss():
         state, out = np.zeros((2, 4)), 0.0
         for t in range(4):
-            state = net.step(state, part[:, t])[0]
+            state = net.step(state, net.inputs[part[:, t]])[0]
             out -= net.log_chance(state, part[:, t + 1]).sum() / 8
         return out
 
-    state, kept = np.zeros((2, 4)), []
-    for t in range(4):
-        kept.append((state, *net.step(state, part[:, t])))
-        state = kept[-1][1]
-    grads = net._back(kept, part)
+    got, touched, _ = net.gradient(np.zeros((2, 4)), np.ascontiguousarray(part.T))
+    grads = {**got, "inputs": np.zeros_like(net.inputs)}
+    grads["inputs"][touched] = got["inputs"]
     for name, at in (("inputs", (2, 5)), ("recur", (1, 9)), ("recur", (0, 2)), ("classes", (2, 1)), ("within", (1, 3))):
         w = getattr(net, name)
         old = w[at]
@@ -178,12 +176,12 @@ def test_network_gradient_and_distribution():
         w[at] = old - 1e-5
         down = loss()
         w[at] = old
-        assert np.isclose(grads[name][at], (up - down) / 2e-5, rtol=1e-3, atol=1e-7)
+        assert np.isclose(grads[name][at], (up - down) / 2e-5, rtol=1e-2, atol=1e-5)
 
 
 def test_likelihoods_of_documents(spark):
     docs = awkward(spark).unionByName(documents(spark, [(k, "the cat sat on the mat and the dog ran off " * 3) for k in range(20, 60)]))
-    got = rows(gru_lm.score(docs, head=8, known=5, hidden=4, classes=2, sample=50))
+    got = rows(gru_lm.score(docs, head=8, coverage=0.6, hidden=4, classes=2, least=10_000))
     assert len(got) == 50
     words = {r["doc_id"]: (r["text"] or "").lower().encode().split() + [b""] for r in rows(docs) if r["doc_id"] is not None and r["doc_id"] != 6}
     train, counts = [r for r in rows(docs) if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10], Counter()
@@ -197,3 +195,47 @@ def test_likelihoods_of_documents(spark):
             assert np.isclose(r["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
             assert r["score"] < 0
     assert gru_lm.score(documents(spark, [])).count() == 0
+
+
+def by_hand(net, ids):
+    """The likelihood of one id sequence, word by word in plain loops."""
+    h, total = net.size, 0.0
+    state = np.zeros(h)
+    of = lambda i: max(c for c in range(len(net.first) - 1) if net.first[c] <= i)
+    for i in ids:
+        full, c = np.append(state, 1.0), of(i)
+        logits = full @ net.classes
+        total += logits[c] - math.log(sum(math.exp(x) for x in logits))
+        inside = [full @ net.within[:, k] for k in range(net.first[c], net.first[c + 1])]
+        total += inside[i - net.first[c]] - math.log(sum(math.exp(x) for x in inside))
+        given, own = net.inputs[i], state @ net.recur
+        update, reset = (1 / (1 + np.exp(-(given[k * h : (k + 1) * h] + own[k * h : (k + 1) * h]))) for k in (0, 1))
+        state = state + update * (np.tanh(given[2 * h :] + reset * own[2 * h :]) - state)
+    return total
+
+
+def test_scores_equal_word_by_word_and_carry_state_across_windows():
+    rng = np.random.default_rng(4)
+    net = gru_lm.Network.blank(1 / np.arange(1.0, 30), 5, 6)
+    net.recur *= 3
+    texts = [rng.integers(0, 29, n) for n in (1, 3, 64, 65, 200, 64, 129)]
+    want = [by_hand(net, t) for t in texts]
+    assert np.allclose(net.score(texts, window=64), want, rtol=1e-4) and np.allclose(net.score(texts, window=7), want, rtol=1e-4)
+    again = net.score([np.concatenate([texts[4][:64], texts[5]])])[0]
+    assert abs(again - by_hand(net, texts[4][:64]) - by_hand(net, texts[5])) > 1e-3  # the first window is not forgotten
+
+
+def test_training_uses_every_document_and_beats_the_unigram(spark):
+    order = "alpha beta gamma delta epsilon zeta".split()
+    docs = documents(spark, [(k, " ".join(order * 6)) for k in range(60)])
+    got = rows(gru_lm.score(docs, hidden=8, coverage=0.95, classes=4, least=200_000))
+    assert all(r["score"] > r["base_score"] / 2 for r in got)
+    # a word that only one document has is known to the network once it is trained on all of them
+    counts = gru_lm.word_counts(docs, docs.doc_id >= 0).collect()
+    assert {bytes(r["word"]): (r["n"], r["m"]) for r in counts}[b""] == (60, 60)
+
+
+def test_head_of_words_that_are_equally_common(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 1, 1) for k in range(3000)], "word binary, n long, m long")
+    assert 800 < len(gru_lm.frequent(counts, 1000)) < 1200
+    assert len(gru_lm.frequent(counts, 5000)) == 3000
