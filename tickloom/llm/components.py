@@ -2,8 +2,8 @@
 
 Each round, every node's larger neighbours are hung on its smallest neighbour (large star), then its
 smaller ones are (small star); rounds grow with the logarithm of the longest path. A node's minimum is
-an aggregate with map-side partials that is joined back on, so a hub with a third of all links is never
-gathered in one task: Spark splits the hub's side of the join.
+an aggregate with map-side partials that is joined back on: the few nodes with a large share of all links
+by broadcast, the others by a shuffle, so the links of a hub are never gathered in one task.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed
+from tickloom.llm.common import checkpointed, join_by_key
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return join_by_key(both, least, "a", "n", 2 * total).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(down, least, "a", "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,10 +39,11 @@ def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFra
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    seen = None
-    while True:
-        edges = checkpointed(_small_star(_large_star(edges).distinct()))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    seen = (edges.count(), None)
+    while seen[0]:
+        hung = checkpointed(_large_star(edges, seen[0]).distinct())
+        edges = checkpointed(_small_star(hung, seen[0]))
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             break
         seen = now
