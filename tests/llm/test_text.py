@@ -47,18 +47,55 @@ def test_presence_is_the_set_of_grams():
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "a"))
     assert rollup.totals().count() == 0
-    make = lambda *x: spark.createDataFrame([("s", None, "t", *y) for y in x], "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long")
-    rollup.commit("one", make(("insert", 10, None), ("insert", 5, None)))
-    for _ in range(2):
-        rollup.commit("two", make(("delete", 5, None), ("revise", 12, 10)))
-    assert rows(rollup.totals()) == [{"source": "s", "lang": None, "tokenizer": "t", "n_docs": 1, "n_tokens": 12}]
+    make = lambda *x: spark.createDataFrame([("s", None, "t", "1", *y) for y in x], "source string, lang string, tokenizer string, version string, op string, n_tokens long, old_tokens long")
+    assert rollup.commit("one", make(("insert", 10, None), ("insert", 5, None)))
+    assert [rollup.commit("two", make(("delete", 5, None), ("revise", 12, 10))) for _ in range(2)] == [True, False]
+    assert rows(rollup.totals()) == [{"source": "s", "lang": None, "tokenizer": "t", "version": "1", "n_docs": 1, "n_tokens": 12}]
     folded = rollup.compact(str(tmp_path / "b"))
-    folded.commit("two", make(("insert", 99, None)))
-    folded.commit("three", make(("delete", 12, None)))
-    assert folded.totals().count() == 0 and folded.batches() == {"base", "one", "two", "three"}
+    assert not folded.commit("two", make(("insert", 99, None)))
+    for name in ("base", "folded"):  # no name of a batch meets one of the ledger's own
+        assert folded.commit(name, make(("insert", 3, None)))
+    assert folded.totals().first()["n_tokens"] == 18
+    folded.commit("three", make(("delete", 12, None), ("delete", 3, None), ("delete", 3, None)))
+    assert folded.totals().count() == 0
+    again = folded.compact(str(tmp_path / "c"))
+    assert all(again.committed(x) for x in ("base", "folded", "one", "two", "three")) and not again.committed("four")
     for bad in (("drop", 1, None), ("insert", None, None), ("revise", 1, None)):
         with pytest.raises(Exception):  # noqa: B017
             rollup.commit("bad", make(bad))
+    assert rollup.totals().first()["n_tokens"] == 12  # what failed left nothing that counts
+
+
+def test_a_run_without_pointer_does_not_count(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "a"))
+    one = spark.createDataFrame([("s", "en", "t", "1", "insert", 10, None)], "source string, lang string, tokenizer string, version string, op string, n_tokens long, old_tokens long")
+    rollup.commit("one", one)
+    rollup._write(spark.createDataFrame([("s", "en", "t", "1", 1, 7)], "source string, lang string, tokenizer string, version string, n_docs long, n_tokens long"))
+    assert rollup.totals().first()["n_tokens"] == 10
+
+
+def test_rollup_query_equals_sums(spark, exact):
+    from tickloom.llm.queries import op3_token_counts
+
+    sf_dir, want = "/root/testdata/sf0.001", Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for name, n in (("words", len((r["text"] or "").encode().split())), ("byte_bpe_50k", len(exact.encode(r["text"] or "", add_special_tokens=False).ids))):
+            want[r["source"], r["lang"], name, "n_docs"] += 1
+            want[r["source"], r["lang"], name, "n_tokens"] += n
+    got = {(r["source"], r["lang"], r["tokenizer"], c): r[c] for r in op3_token_counts(spark, sf_dir).collect() for c in ("n_docs", "n_tokens")}
+    assert got == dict(want)
+
+
+def test_word_counts_equal_sql(spark):
+    import duckdb
+
+    from tickloom.llm.queries import op3_token_counts
+
+    sf_dir = "/root/testdata/sf0.001"
+    sql = f"""SELECT source, lang, count(*) AS n_docs, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS n_tokens
+              FROM '{sf_dir}/documents.parquet' GROUP BY source, lang"""
+    got = op3_token_counts(spark, sf_dir).where("tokenizer = 'words'").select("source", "lang", "n_docs", "n_tokens").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((a, b, c, int(d)) for a, b, c, d in duckdb.sql(sql).fetchall()), key=str)
 
 
 def test_token_counts_match_the_library(spark, exact):

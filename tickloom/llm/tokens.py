@@ -8,6 +8,7 @@ the driver and broadcast, so workers need no vocabulary files.
 from __future__ import annotations
 
 import base64
+import hashlib
 from dataclasses import dataclass
 from typing import Any
 
@@ -23,6 +24,11 @@ class Vocabulary:
     pattern: str
     special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),)
 
+    @property
+    def version(self) -> str:
+        """Twelve digits of a hash of all that decides the ids."""
+        return hashlib.sha256(b"\0".join([self.lines, self.pattern.encode(), repr(self.special).encode()])).hexdigest()[:12]
+
     @staticmethod
     def load(path: str | None = None, name: str = "byte_bpe_50k") -> Vocabulary:
         import public_tokenizers
