@@ -1,10 +1,12 @@
 """Near-duplicate documents by 64-bit SimHash fingerprints and anchor-point covering.
 
-The anchors are a covering code: the direct sum of two perfect binary Golay codes on fingerprint bits
-0-22 and 23-45 (bits 46-63 are free), so there are 2^24 anchors and every fingerprint lies within radius
-3 of an anchor's word in each block. Two fingerprints that differ in at most t = 2 bits meet at the home
+The anchors are a covering code, a direct sum of perfect codes: two binary Golay codes (radius 3) on fingerprint
+bits 0-22 and 23-45 and, where there are more fingerprints than those 2^24 anchors can part, a Hamming code
+(radius 1) on bits 46-60 with bits 61-63 as they are, which makes 2^38. Every fingerprint lies within the radius
+of its home anchor in each block. Two fingerprints that differ in at most t = 2 bits meet at the home
 anchor of either one, if every fingerprint is replicated to all anchors within radius plus threshold: to
-the words at distance at most 3 + e1 and 3 + e2 with e1 + e2 <= 2, which is about 61 of 2^24.
+the words at distance at most radius + e in each block, the e of all blocks summing to 2 at most. These are
+about 61 of 2^24, or 153 of 2^38.
 
 Exact copies share one fingerprint row, so a large group of copies costs one row. Anchors at home to more
 than `crowd` fingerprints are not compared pair by pair: a link between two such fingerprints is found by
@@ -15,21 +17,27 @@ distance 0 or 1), where everything that meets is linked, so a star of links says
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.llm.common import LOWER_ASCII, checkpointed
+from tickloom.llm.common import LOWER_ASCII, checkpointed, join_by_key
 from tickloom.llm.components import components
 from tickloom.ship import in_arrow
 
 THRESHOLD = 2
-#: Generator polynomial of the binary Golay code of length 23: x^11+x^10+x^6+x^5+x^4+x^2+1.
-GOLAY = 0b110001110101
+#: Blocks of the covering code: bits, generator polynomial, covering radius, bits behind it that are taken as they are.
+GOLAY = (23, 0b110001110101, 3, 0)
+HAMMING = (15, 0b10011, 1, 3)
+#: Beyond this number of fingerprints to an anchor the third block is used.
+FULL = 4
 SHINGLE = 3
 SEED = 42
 #: From here on, nodes stand for fingerprints of which no row has a doc_id; doc_ids are smaller.
@@ -63,89 +71,84 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return in_arrow(rows, _fingerprints, "doc_id long, fp long")
 
 
-@lru_cache(1)
-def golay_patterns() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By syndrome (2048 rows): words of weight at most 5 with that syndrome, what each costs, and how many.
+def blocks_for(fingerprints: int) -> int:
+    """Blocks of the code: enough for fewer than FULL fingerprints to an anchor."""
+    return 2 if fingerprints <= FULL << 24 else 3
 
-    y XOR a pattern of y's syndrome is a code word; cost is its distance over the covering radius 3.
+
+@lru_cache(4)
+def patterns(block: tuple[int, int, int, int], threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By syndrome: words with that syndrome, what each costs (99: no word), and the syndromes of single bits.
+
+    y XOR a pattern of y's syndrome is an anchor's word; cost is its distance over the covering radius.
     """
-    bits = np.arange(23)
+    size, generator, radius, free = block
+    degree = generator.bit_length() - 1
     unit = []
-    for bit in bits:
-        rest = 1 << int(bit)
-        for k in range(22, 10, -1):
+    for bit in range(size):
+        rest = 1 << bit
+        for k in range(size - 1, degree - 1, -1):
             if rest >> k & 1:
-                rest ^= GOLAY << (k - 11)
+                rest ^= generator << (k - degree)
         unit.append(rest)
-    words, syndromes, weights = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-    last = [(0, 0, -1)]
-    for weight in range(1, 6):
-        last = [(w | 1 << b, s ^ unit[b], b) for w, s, top in last for b in range(top + 1, 23)]
-        words.append(np.array([x[0] for x in last]))
-        syndromes.append(np.array([x[1] for x in last]))
-        weights.append(np.full(len(last), weight))
-    word, syndrome, weight = map(np.concatenate, (words, syndromes, weights))
-    order = np.lexsort((word, weight, syndrome))
-    word, syndrome, cost = word[order], syndrome[order], np.maximum(weight[order] - 3, 0)
-    counts = np.bincount(syndrome, minlength=2048)
-    table, costs = np.zeros((2048, counts.max()), np.int64), np.full((2048, counts.max()), 99)
-    column = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-    table[syndrome, column], costs[syndrome, column] = word, cost
-    return table, costs, np.array(unit)
-
-
-def _syndrome(block: np.ndarray) -> np.ndarray:
-    unit = golay_patterns()[2]
-    out = np.zeros(len(block), np.int64)
-    for bit in range(23):
-        out ^= np.where(block >> bit & 1, unit[bit], 0)
-    return out
-
-
-def anchors(prints: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    unit += [0] * free
+    found = []
+    for weight in range(radius + threshold + 1):
+        for bits in combinations(range(size), weight):
+            syndrome = reduce(xor, (unit[b] for b in bits), 0)
+            for flips in range(threshold - max(weight - radius, 0) + 1):
+                found += [(syndrome, max(weight - radius, 0) + flips, sum(1 << b for b in (*bits, *more))) for more in combinations(range(size, size + free), flips)]
+    table = np.array(sorted(found), dtype=np.int64)
+    counts = np.bincount(table[:, 0], minlength=1 << degree)
+    words, costs = np.zeros((1 << degree, counts.max()), np.int64), np.full((1 << degree, counts.max()), 99)
+    column = np.arange(len(table)) - np.repeat(np.cumsum(counts) - counts, counts)
+    words[table[:, 0], column], costs[table[:, 0], column] = table[:, 2], table[:, 1]
+    return words, costs, np.array(unit)
+
+
+def anchors(prints: np.ndarray, threshold: int = THRESHOLD, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replicas as (row, anchor, is_home): for each fingerprint its anchors within radius plus threshold."""
-    if threshold > 2:
-        raise ValueError("the pattern tables reach a threshold of 2")
-    table, costs, _ = golay_patterns()
-    low, high = prints & 0x7FFFFF, prints >> 23 & 0x7FFFFF
-    parts = []
-    of_low, of_high = _syndrome(low), _syndrome(high)
-    for extra in range(threshold + 1):
-        row, i = np.nonzero(costs[of_low] == extra)
-        # every second-block word that the rest of the threshold reaches
-        reach = costs[of_high[row]] <= threshold - extra
-        k, j = np.nonzero(reach)
-        word = (low[row[k]] ^ table[of_low[row[k]], i[k]]) | (high[row[k]] ^ table[of_high[row[k]], j]) << 23
-        parts.append((row[k], word, (extra == 0) & (costs[of_high[row[k]], j] == 0)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "fp", "node", "home"]
-    for batch in batches:
-        prints = batch.column("fp").to_numpy(zero_copy_only=False)
-        nodes = batch.column("node").to_numpy(zero_copy_only=False)
-        for at in range(0, len(prints), 1024):
-            some, ids = prints[at : at + 1024], nodes[at : at + 1024]
-            row, anchor, home = anchors(some)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row]), pa.array(ids[row]), pa.array(home)], names=names)
-
-
-def links(prints: DataFrame, threshold: int = THRESHOLD, crowd: int = 16) -> DataFrame:
+    row, anchor, spent, start = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.zeros(len(prints), np.int64), 0
+    for block in (GOLAY, GOLAY, HAMMING)[:blocks]:
+        words, costs, unit = patterns(block, threshold)
+        part = prints >> start & ((1 << len(unit)) - 1)
+        syndrome = reduce(xor, (np.where(part >> bit & 1, unit[bit], 0) for bit in range(len(unit))))
+        k, j = np.nonzero(costs[syndrome[row]] + spent[:, None] <= threshold)
+        of = syndrome[row[k]]
+        anchor, spent = anchor[k] | (part[row[k]] ^ words[of, j]) << start, spent[k] + costs[of, j]
+        row, start = row[k], start + len(unit)
+    return row, anchor, spent == 0
+
+
+def _replicas(threshold: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "fp", "node", "home"]
+        for batch in batches:
+            prints = batch.column("fp").to_numpy(zero_copy_only=False)
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for at in range(0, len(prints), 1024):
+                some, ids = prints[at : at + 1024], nodes[at : at + 1024]
+                row, anchor, home = anchors(some, threshold, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(some[row]), pa.array(ids[row]), pa.array(home)], names=names)
+
+    return run
+
+
+def links(prints: DataFrame, threshold: int = THRESHOLD, crowd: int = 16, blocks: int = 2) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in at most `threshold` bits.
 
     `prints` has one row (fp, node) for each distinct fingerprint. Every close pair is linked directly, or
     both are linked to a third node that is close to each. No pair of a crowded anchor is listed.
     """
-    replicas = in_arrow(prints.select("fp", "node"), _replicas, "anchor long, fp long, node long, home boolean")
+    if threshold != 2:
+        raise ValueError("crowded anchors are resolved for a threshold of 2")
+    replicas = in_arrow(prints.select("fp", "node"), _replicas(threshold, blocks), "anchor long, fp long, node long, home boolean")
     homes = checkpointed(replicas.where("home").select("anchor", "fp", "node"))
     busy = homes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor")
     quiet = homes.join(busy, "anchor", "left_anti").select("anchor", F.col("fp").alias("fp1"), F.col("node").alias("a"))
     near = F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp"))) <= threshold
     compared = quiet.join(replicas.select("anchor", "fp", F.col("node").alias("b")), "anchor").where(near & (F.col("fp1") != F.col("fp"))).select("a", "b")
     crowded = homes.join(busy, "anchor", "left_semi").select("fp", "node")
-    if threshold != 2:
-        raise ValueError("crowded anchors are resolved for a threshold of 2")
     flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
     around = crowded.select("node", F.explode(flips).alias("word"))
     least = around.groupBy("word").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -163,31 +166,29 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     rows = checkpointed(fingerprints(docs))
     nameless = F.xxhash64("fp").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("node")))
-    linked = components(links(nodes, threshold))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).select("fp", F.coalesce("least", nameless).alias("node"), "n"))
+    many, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    linked = components(links(nodes, threshold, blocks=blocks_for(many)))
     smallest = F.coalesce("component", "node")
-    known = nodes.join(linked, "node", "left").select("fp", F.when(smallest < NAMELESS, smallest).alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = nodes.join(linked, "node", "left").select("fp", "n", F.when(smallest < NAMELESS, smallest).alias("component_id"))
+    return join_by_key(rows, known, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, without near-duplicates: of each group the row with the smallest doc_id.
 
-    Of several rows with that doc_id one is kept. Rows without a doc_id are kept only where their group has
-    no row with one, and then one of them for each fingerprint.
+    Of several such rows with one fingerprint one is kept; where rows of other groups share the doc_id, theirs is
+    judged by their own group. Rows without a doc_id are kept only where their group has no row with one, and then
+    one of them for each fingerprint.
     """
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [f"{fingerprint(x.as_py()):016x}" for x in batch.column("text").cast(pa.string()).cast(pa.binary())]
+            yield batch.append_column("_print", pa.array(prints, pa.string()))
+
     found = checkpointed(near_duplicates(docs, threshold))
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    nameless = found.where("component_id is null").select("fingerprint").distinct()
-    named = docs.join(keep.select(F.col("doc_id").alias("_kept"), F.col("n").alias("_rows")), F.col("doc_id") == F.col("_kept")).drop("_kept")
-    # repeated ids are rare enough to be dealt with apart, so that other texts move once
-    single = named.where("_rows = 1").drop("_rows")
-    repeated = named.where("_rows > 1").drop("_rows")
-    if not keep.where("n > 1").isEmpty():
-        single = single.unionByName(repeated.dropDuplicates(["doc_id"]))
-    if not nameless.isEmpty():
-        lone = docs.where("doc_id is null").dropDuplicates(["text"])
-        prints = fingerprints(lone.select(F.xxhash64("text").alias("doc_id"), "text"))
-        chosen = prints.groupBy("fp").agg(F.min("doc_id").alias("_text")).select("_text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(nameless, "fingerprint", "left_semi")
-        single = single.unionByName(lone.join(chosen.select("_text"), F.xxhash64("text") == F.col("_text"), "left_semi"))
-    return single
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_of")).distinct()
+    tagged = in_arrow(docs, tag, T.StructType([*docs.schema.fields, T.StructField("_print", T.StringType())]))
+    some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_of")), "left_semi")
+    return some.withColumn("_id", F.col("doc_id")).dropDuplicates(["_id", "_print"]).drop("_id", "_print")
