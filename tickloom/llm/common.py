@@ -69,6 +69,8 @@ def join_by_key(rows: DataFrame, one: DataFrame, key: str, n: str, total: int, m
     Fewer than `most` keys can have more than a share of 1 / `most` of the `total` rows. These are broadcast, so a
     key with a third of all rows is not gathered in one task; the other keys are joined by a shuffle.
     """
+    if total <= most:
+        return rows.join(one.drop(n), key)
     hot = F.col(n) * F.lit(most) > F.lit(total)
     few = F.broadcast(one.where(hot).drop(n))
     others = rows.join(few.select(key), key, "left_anti").join(one.where(~hot).drop(n), key)
