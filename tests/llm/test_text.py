@@ -185,6 +185,33 @@ def test_leak_spans_and_filter(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.without_leaks(docs, bench.limit(0)).count() == 7
 
 
+def test_short_items_and_excerpts():
+    passage = "A passage of the benchmark that is long enough to be evidence wherever it may stand in a text, and that goes on for more than two windows of it so that an excerpt is less than the whole."
+    index = decontam.Index.of([(1, passage), (2, "forty two is it"), (3, "tiny")])
+    for at in range(0, len(passage) - decontam.WINDOW - decontam.STRIDE + 1, 7):
+        assert [h[0] for h in decontam.leaks("x" + passage[at : at + decontam.WINDOW + decontam.STRIDE - 1] + "y", index)] == [1]
+    assert decontam.leaks("say forty  TWO is it.", index) == [(2, 4, 20, 0)]
+    assert decontam.leaks("say forty two is italic, tiny", index) == []
+
+
+def test_items_that_cannot_be_searched_are_listed(spark):
+    bench = spark.createDataFrame([(1, "long enough"), (2, " too \n short"[:6]), (None, "long enough too"), (3, None)], "item_id long, text string")
+    assert sorted(r["item_id"] or 0 for r in decontam.unsearched(bench).collect()) == [0, 2, 3]
+
+
+def test_repetitive_texts_stay_cheap():
+    import time
+    import tracemalloc
+
+    index = decontam.Index.of([(k, "a " * 200) for k in range(20)])
+    tracemalloc.start()
+    begun = time.perf_counter()
+    got = decontam.leaks("b " * 50 + "a " * 20_000 + "c " * 50, index)
+    assert [g[0] for g in got] == list(range(20)) and all(g[1:] == (99, 40_100, 0) for g in got)
+    assert tracemalloc.get_traced_memory()[1] < 400e6 and time.perf_counter() - begun < 60
+    tracemalloc.stop()
+
+
 def test_network_gradient_and_distribution():
     counts = np.array([5.0, 9, 7, 4, 3, 2, 1])
     net = gru_lm.Network.blank(counts, 4, 3)
