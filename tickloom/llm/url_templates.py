@@ -2,20 +2,24 @@
 
 Everything is DataFrame and SQL work. Segments that look variable (numbers, hexadecimal ids) and segments
 of which a node has many rare ones become wildcards; sibling branches whose labelled shares do not differ
-significantly from the rest are merged; a template is rejected where its smoothed labelled purity falls
+significantly from each other are merged; a template is rejected where its smoothed labelled purity falls
 under a threshold. The labels are the verdicts of the rules, so the tree carries what the rules say about
 some addresses of a template to the others. Statistics are aggregated by host and path before any level of
 the tree is built, so a host with a third of all pages is a few rows by then.
+
+Paths may have any number of segments. What all paths of a node begin with is passed in one step, and a path
+that is alone in its node is done, so the rounds are as many as the tree has branchings one under another.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed
+from tickloom.llm.common import checkpointed, join_by_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,8 +67,8 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...], what: str =
     return out
 
 
-def segments_of(path: Column, depth: int) -> Column:
-    """The path's segments, numbers and ids replaced by wildcards; past `depth` the rest is one wildcard."""
+def segments_of(path: Column) -> Column:
+    """The path's segments, numbers and ids replaced by wildcards."""
 
     def shape(s: Column) -> Column:
         return (
@@ -74,38 +78,72 @@ def segments_of(path: Column, depth: int) -> Column:
             .otherwise(s)
         )
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("{rest}")))).otherwise(parts)
-
-
-def _grow(paths: DataFrame, level: int, children: int, share: float, least: int, z: float) -> DataFrame:
-    """One level of the tree: `template` gets the token that stands for segment `level` of each path."""
-    paths = paths.withColumn("seg", F.when(F.size("segs") >= level, F.element_at("segs", level)))
-    sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    nodes = paths.where("seg is not null").groupBy("host", "template", "seg").agg(*sums)
-    parents = nodes.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    own, rest = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
-    pooled = F.col("all_good") / F.greatest(F.col("all_good") + F.col("all_bad"), F.lit(1))
-    gap = F.col("good") / F.greatest(own, F.lit(1)) - (F.col("all_good") - F.col("good")) / F.greatest(rest, F.lit(1))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(own, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-    token = (
-        F.when((F.col("kids") > children) & (F.col("n") < share * F.col("all_n")), F.lit("{any}"))
-        .when((own >= least) & (rest >= least) & (F.abs(gap) <= z * spread), F.lit("{like}"))
-        .otherwise(F.col("seg"))
-    )
-    named = nodes.join(parents, ["host", "template"]).select("host", "template", "seg", token.alias("token"))
-    grown = F.when(F.col("token").isNotNull(), F.concat("template", F.lit("/"), F.col("token"))).otherwise(F.col("template"))
-    return paths.join(named, ["host", "template", "seg"], "left").withColumn("template", grown).drop("seg", "token")
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
+
+
+def _tail(skip: Column) -> Column:
+    """The segments left after the first `skip`."""
+    return F.when(F.size("left") > skip, F.slice("left", skip + 1, F.size("left"))).otherwise(F.slice("left", 1, 0))
+
+
+def _grow(paths: DataFrame, total: int, children: int, share: float, least: int, z: float) -> DataFrame:
+    """One branching of every node: what its paths share is passed, and the next segment gets the token it stands for.
+
+    `paths` has `total` rows: at (host, template), segs, left, n, good, bad. Hot nodes are joined by broadcast.
+    """
+    node = paths.groupBy("at").agg(F.min("left").alias("low"), F.max("left").alias("high"), F.count("*").alias("paths"))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.size("low")), lambda k: F.slice("low", 1, k) == F.slice("high", 1, k)))
+    node = node.select("at", "paths", same.alias("same"), F.slice("low", 1, same).alias("passed"))
+    more = F.when(F.size("passed") > 0, F.concat("at.template", F.lit("/"), F.array_join("passed", "/"))).otherwise(F.col("at.template"))
+    paths = join_by_key(paths, node, "at", "paths", total).withColumns({"at": F.struct("at.host", more.alias("template")), "left": _tail(F.col("same"))}).drop("same", "passed")
+    paths = paths.withColumn("key", F.struct("at", F.try_element_at("left", F.lit(1)).alias("seg")))
+    nodes = paths.where("key.seg is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")), F.count("*").alias("paths"))
+    parents = nodes.groupBy("key.at").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"))
+    # a node may have very many segments; what is asked of it is two numbers
+    nodes = join_by_key(nodes.withColumn("at", F.col("key.at")), parents.withColumn("rows", F.col("kids")), "at", "rows", total)
+    nodes = nodes.withColumns({"rare": (F.col("kids") > children) & (F.col("n") < share * F.col("all_n")), "seg": F.col("key.seg")})
+    # at most the greater of `children` and 1 / `share` siblings are left; in the order of their labelled shares those
+    # that do not differ significantly from the one before are one branch with it
+    rank = Window.partitionBy("at").orderBy(F.col("good") / (F.col("good") + F.col("bad")), "seg")
+    own = F.col("good") + F.col("bad")
+    other, before = F.lag(own).over(rank), F.lag("good").over(rank)
+    pooled = (F.col("good") + before) / (own + other)
+    apart = F.abs(F.col("good") / own - before / other) > z * F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / other))
+    told = nodes.where(~F.col("rare") & (own >= least)).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    told = told.withColumn("branch", F.sum("apart").over(rank)).withColumn("many", F.count("*").over(Window.partitionBy("at", "branch")))
+    merged = told.where("many > 1").select("key", F.concat(F.lit("{like"), F.col("branch"), F.lit("}")).alias("like"))
+    token = F.when(F.col("rare"), F.lit("{any}")).otherwise(F.coalesce("like", "seg"))
+    named = nodes.join(merged, "key", "left").select("key", token.alias("token"), "paths")
+    grown = join_by_key(paths.where("key.seg is not null"), named, "key", "paths", total)
+    grown = grown.withColumns({"at": F.struct("at.host", F.concat("at.template", F.lit("/"), F.col("token")).alias("template")), "left": _tail(F.lit(1))})
+    columns = ["at", "segs", "left", "n", "good", "bad"]
+    return grown.select(columns).union(paths.where("key.seg is null").select(columns))
+
+
+def _templates(paths: DataFrame, children: int, share: float, least: int, z: float) -> DataFrame:
+    """host, segs, template, n, good, bad for every path of `paths` (host, segs, n, good, bad)."""
+    ends = F.when(F.size("left") > 0, F.concat("at.template", F.lit("/"), F.array_join("left", "/"))).otherwise(F.col("at.template"))
+    rest, done = paths.select(F.struct("host", F.lit("").alias("template")).alias("at"), "segs", F.col("segs").alias("left"), "n", "good", "bad"), []
+    total = paths.count()
+    while total:
+        # a path without segments left, or alone in its node, has its template
+        alone = rest.groupBy("at").agg(F.count_if(F.size("left") > 0).alias("open"), F.count("*").alias("paths"))
+        marked = checkpointed(join_by_key(rest, alone, "at", "paths", total).withColumn("ends", (F.size("left") == 0) | (F.col("open") == 1)).drop("open"))
+        done.append(marked.where("ends").select("at.host", "segs", ends.alias("template"), "n", "good", "bad"))
+        rest = marked.where("not ends").drop("ends")
+        total = rest.count()
+        rest = _grow(rest, total, children, share, least, z)
+    return reduce(DataFrame.union, done) if done else paths.select("host", "segs", F.lit("").alias("template"), "n", "good", "bad")
 
 
 def judge(
-    pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, depth: int = 6, children: int = 20, share: float = 0.05, least: int = 5, z: float = 1.96, weight: float = 4.0, purity: float = 0.5
+    pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, children: int = 20, share: float = 0.05, least: int = 5, z: float = 1.96, weight: float = 4.0, purity: float = 0.5
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row.
 
     `children`/`share`: a node with more than so many segments turns those rarer than this share into one
     wildcard. `least`: labels without which a branch is not merged and a template not rejected. `z`: how
-    far a branch may differ from its siblings and still be merged. `weight`: labels that the overall good
+    far branches may differ and still be merged. `weight`: labels that the overall good
     share counts for when a template's purity is smoothed. Null and relative addresses have an empty host
     and path, no rule and the verdict of their (empty) template, allow. Repeated rows each have theirs;
     extra columns are ignored.
@@ -113,16 +151,16 @@ def judge(
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     fits, verdict = (rule_of(F.col("host"), F.col("path"), rules, x) for x in ("name", "verdict"))
-    rows = rows.select("page_id", "host", "path", fits.alias("rule"), verdict.alias("ruled"), segments_of(F.col("path"), depth).alias("segs"))
+    rows = rows.select("page_id", "host", "path", fits.alias("rule"), verdict.alias("ruled"), segments_of(F.col("path")).alias("segs"))
     paths = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     paths = checkpointed(paths)
-    deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(1, deepest + 1):
-        tree = checkpointed(_grow(tree, level, children, share, least, z))
-    prior = paths.agg((F.sum("good") / F.nullif(F.sum(F.col("good") + F.col("bad")), F.lit(0))).alias("prior"))
-    leaves = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(prior))
-    smooth = (F.col("good") + weight * F.coalesce("prior", F.lit(0.5))) / (F.col("good") + F.col("bad") + weight)
-    leaves = leaves.select("host", "template", smooth.alias("purity"), F.when((F.col("good") + F.col("bad") >= least) & (smooth < purity), "block").otherwise("allow").alias("learned"))
-    known = tree.select("host", "segs", "template").join(leaves, ["host", "template"])
-    return rows.join(known, ["host", "segs"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"), "template", "purity")
+    tree = _templates(paths, children, share, least, z)
+    prior = paths.agg(F.sum("good") / F.nullif(F.sum(F.col("good") + F.col("bad")), F.lit(0))).first()[0]
+    key = F.struct("host", "template").alias("key")
+    leaves = tree.groupBy(key).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("paths"))
+    smooth = (F.col("good") + weight * F.lit(0.5 if prior is None else float(prior))) / (F.col("good") + F.col("bad") + weight)
+    leaves = leaves.select("key", "paths", smooth.alias("purity"), F.when((F.col("good") + F.col("bad") >= least) & (smooth < purity), "block").otherwise("allow").alias("learned"))
+    known = join_by_key(tree.select(key, F.struct("host", "segs").alias("at"), "n"), leaves, "key", "paths", paths.count())
+    known = known.select("at", F.col("key.template").alias("template"), "purity", "learned", "n")
+    judged = join_by_key(rows.withColumn("at", F.struct("host", "segs")), known, "at", "n", rows.count())
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"), "template", "purity")
