@@ -25,7 +25,7 @@ def test_article_without_furniture(spark):
 
 
 def test_parse_closes_what_html_leaves_open():
-    blocks, _ = html_template.parse("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table><p>f<div>g</div>h")
+    _, blocks = html_template.parse("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table><p>f<div>g</div>h")
     assert [b.text for b in blocks] == list("abcdefgh")
 
 
