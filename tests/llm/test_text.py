@@ -192,6 +192,9 @@ def test_short_items_and_excerpts():
         assert [h[0] for h in decontam.leaks("x" + passage[at : at + decontam.WINDOW + decontam.STRIDE - 1] + "y", index)] == [1]
     assert decontam.leaks("say forty  TWO is it.", index) == [(2, 4, 20, 0)]
     assert decontam.leaks("say forty two is italic, tiny", index) == []
+    # enough equal q-grams in one place, but on no diagonal
+    pieces = [passage[k : k + 14] for k in range(0, len(passage) - 14, 14)]
+    assert decontam.leaks(" ".join(reversed(pieces)), index) == []
 
 
 def test_items_that_cannot_be_searched_are_listed(spark):

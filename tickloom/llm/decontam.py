@@ -175,7 +175,7 @@ class Index:
         group, count = np.unique(seen >> 7, return_counts=True)
         enough = count >= self.need[group // STRETCH]
         owner = group[enough] // STRETCH
-        return [(owner, (group[enough] % STRETCH + lead) // self.width[owner])]
+        return [(owner, (group[enough] % STRETCH + lead) // self.width[owner])] if len(owner) else []
 
 
 def align(window: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> list[tuple[int, int, int]]:
