@@ -2,8 +2,8 @@
 
 A configuration is a multiset of lengths that fits one sequence. The program covers every length's count
 with as few configurations as it can; it is solved by multiplicative weights, whose pricing problem is a
-knapsack over 2048 capacities. The fractional counts are rounded down without covering anything twice, and
-what is left is filled by exact subset sums. Driver and broadcasts see lengths, counts and configurations
+knapsack over 2048 capacities. The fractional counts are rounded without covering anything twice, the program is
+solved again over what that leaves, and so on; the last few items are filled in by exact subset sums. Driver and broadcasts see lengths, counts and configurations
 only: their sizes depend on the capacity, not on the corpus. Documents find their places by rank within
 their length, which needs no sort of a whole length: tasks number their own rows, and an offset by task
 and length is joined on.
@@ -133,23 +133,33 @@ def _subset(target: int, left: dict[int, int], lengths: list[int]) -> list[int]:
     return out
 
 
-def round_up(counts: dict[int, int], x: dict[Config, float], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
-    """Whole configuration counts that place every item exactly once."""
-    covered = dict.fromkeys(counts, 0.0)
+def _rounded(left: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
+    """Whole configuration counts from the program over what is `left`, full configurations only.
+
+    They are taken in the order of their fractional counts, rounded down without covering anything twice, but once at
+    least where all their items are still there. `left` loses what they place.
+    """
+    x = solve(left, capacity)
+    covered = dict.fromkeys(left, 0.0)
     for config, k in x.items():
         for n, a in config:
-            covered[n] += k * a / counts[n]
-    left, plan = dict(counts), []
-
-    def use(config: Config, k: int) -> None:
-        if k > 0:
-            plan.append((config, k))
-            for n, a in config:
-                left[n] -= k * a
-
+            covered[n] += k * a / left[n]
+    placed = []
     for config, k in sorted(x.items(), key=lambda c: (-c[1], c[0])):
         if sum(n * a for n, a in config) == capacity:
-            use(config, min(int(k / max(covered[n] for n, _ in config) + 1e-9), *(left[n] // a for n, a in config)))
+            many = min(max(1, int(k / max(covered[n] for n, _ in config) + 1e-9)), *(left.get(n, 0) // a for n, a in config))
+            if many > 0:
+                placed.append((config, many))
+                for n, a in config:
+                    left[n] -= many * a
+    for n in [n for n, k in left.items() if not k]:
+        del left[n]
+    return placed
+
+
+def _rest(counts: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
+    """Configurations for the few items that the program leaves: the longest first, filled up by exact subset sums."""
+    left, plan = dict(counts), []
     for n in sorted(counts, reverse=True):
         while left[n]:
             left[n] -= 1
@@ -157,10 +167,35 @@ def round_up(counts: dict[int, int], x: dict[Config, float], capacity: int = CAP
             rest = _subset(capacity - n, left, small)
             left[n] += 1
             config = tuple(sorted(((m, [n, *rest].count(m)) for m in {n, *rest}), reverse=True))
-            use(config, min(left[m] // a for m, a in config))
+            many = min(left[m] // a for m, a in config)
+            plan.append((config, many))
+            for m, a in config:
+                left[m] -= many * a
     return plan
 
 
+def round_up(counts: dict[int, int], capacity: int = CAPACITY, patience: int = 4) -> tuple[list[tuple[Config, int]], list[tuple[Config, int]]]:
+    """Whole configuration counts that place every item exactly once: those of the program, and those of the rest.
+
+    The program is solved again over what its rounding leaves. Of these solutions as many are used as make for the
+    fewest sequences with the rest; the search ends when `patience` solutions in a row have brought no gain.
+    """
+    left, plan, waited = dict(counts), [], 0
+    rest = _rest(left, capacity)
+    best = (sum(k for _, k in rest), [], rest)
+    while left and waited < patience:
+        placed = _rounded(left, capacity)
+        if not placed:
+            break
+        plan = plan + placed
+        rest = _rest(left, capacity)
+        total = sum(k for _, k in plan + rest)
+        waited = 0 if total <= best[0] else waited + 1
+        if total <= best[0]:
+            best = (total, plan, rest)
+    return best[1], best[2]
+
+
 def places(plan: list[tuple[Config, int]], capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, number in a sequence, first sequence, offset), sorted by length and rank."""
     rows, ranks, sequence = [], {}, 0
@@ -185,8 +220,8 @@ def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, capacity: int =
     rows = checkpointed(pieces(docs, vocabulary or Vocabulary.load(), capacity))
     groups = checkpointed(rows.groupBy("task", "length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = round_up(counts, solve(counts, capacity), capacity) if counts else []
-    shared = spark.sparkContext.broadcast(places(plan, capacity))
+    of_program, rest = round_up(counts, capacity)
+    shared = spark.sparkContext.broadcast(places(of_program + rest, capacity))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = rows.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own_rank")).alias("rank"))
