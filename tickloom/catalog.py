@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.indicators import REGISTRY
+from tickloom.operators.indicators import REGISTRY, find
 from tickloom.plans.duck import plan_sql
 from tickloom.plans import market_queries as market
 from tickloom.plans.run import indicator, indicators
@@ -25,9 +25,16 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(F.col(f.name).cast("double") * NUDGE, 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f.name) for f in df.schema.fields))
 
 
+def _levels(name: str) -> Column:
+    """A list of price levels as text, in millionths, so that engines can be compared."""
+    millionths = lambda x: F.round(x * 1_000_000).cast("long").cast("string")
+    return F.array_join(F.transform(name, lambda b: F.concat(millionths(b["price"]), F.lit(":"), millionths(b["volume"]))), ";").alias(name)
+
+
 def _plain(df: DataFrame) -> DataFrame:
-    """Numbers of an indicator as doubles; time, text and flags as they are."""
+    """Numbers of an indicator as doubles; time, text and flags as they are; levels as text."""
     keep = (T.StringType, T.BooleanType)
+    df = df.select(*(_levels(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields))
     return rounded(df.select(*(F.col(f.name) if f.name == "time" or isinstance(f.dataType, keep) else F.col(f.name).cast("double").alias(f.name) for f in df.schema.fields)))
 
 
@@ -35,7 +42,20 @@ def _indicator_query(name: str) -> Query:
     return lambda spark, sf_dir: _plain(indicator(bars(spark, sf_dir), name))
 
 
+#: SQL written by hand for plans that have none.
+BY_HAND = {
+    "VolumeProfileIndicator": f"""
+WITH b AS ({bars_sql()}),
+     h AS (SELECT a.symbol, a.time, trunc(c.close) AS price, sum(c.volume) AS volume FROM b a JOIN b c ON c.symbol = a.symbol AND c.time <= a.time GROUP BY 1, 2, 3)
+SELECT symbol, time, round(sum(volume) * {NUDGE!r}, 6) + 0.0 AS value,
+       string_agg(CAST(CAST(round(price * 1000000) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(volume * 1000000) AS BIGINT) AS VARCHAR), ';' ORDER BY price) AS buckets
+FROM h GROUP BY symbol, time""",
+}
+
+
 def _indicator_sql(name: str) -> str | None:
+    if name in BY_HAND:
+        return BY_HAND[name]
     plan = REGISTRY[name].plan()
     made = plan_sql(plan, bars_sql())
     if made is None:
@@ -79,10 +99,18 @@ TEN: dict[str, tuple[str, dict[str, float]]] = {
 }
 
 
+def flagship_sql() -> str:
+    """The ten indicators' own SQL, joined by bar."""
+    parts = {prefix: (find(name).plan(**params)) for prefix, (name, params) in TEN.items()}
+    columns = ", ".join(f"round(CAST({prefix}.{x} AS DOUBLE) * {NUDGE!r}, 6) + 0.0 AS {prefix}_{x}" for prefix, plan in parts.items() for x in plan.outputs)
+    first, *others = [f"({plan_sql(plan, bars_sql())}) AS {prefix}" for prefix, plan in parts.items()]
+    return f"SELECT symbol, time, {columns} FROM {first} " + " ".join(f"JOIN {other} USING (symbol, time)" for other in others)
+
+
 def queries() -> dict[str, Query]:
     own = {name: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in market.QUERIES.items()}
     return {"flagship": flagship, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}
+    return {"flagship": flagship_sql(), **{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}

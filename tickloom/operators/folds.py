@@ -132,7 +132,7 @@ def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
     schema = T.StructType(list(df.schema.fields))
     for f in folds:
         for name, kind in f.outs.items():
-            schema = schema.add(name, kind)
+            schema = schema.add(name, T.DataType.fromDDL(kind))
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("time", kind="stable").reset_index(drop=True)

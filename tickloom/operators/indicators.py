@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from tickloom.operators import machines as M
 from tickloom.operators.folds import Average, Fold, Linear, Machine
-from tickloom.operators.windows import RUNNING, deviation, frame, highest, lag, lowest, mean, partial_mean, ratio, running, slope, total, weighted
+from tickloom.operators.windows import RUNNING, deviation, frame, highest, lag, lowest, mean, partial_mean, prior, ratio, rise, running, slope, total, weighted
 
 Step = dict[str, "str | tuple[str, str]"] | list[Fold]
 
@@ -75,6 +75,8 @@ TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('
 #: True range whose first value is the first bar's own range.
 FULL_RANGE = f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE {TRUE_RANGE} END"
 CHANGE = f"close - {lag('close')}"
+#: Whether a bar has its prices.
+PRICED = "high + low + close IS NOT NULL"
 
 
 # bars alone
@@ -151,7 +153,7 @@ def _(length: int) -> Plan:
 
 @indicator("TrueRange", "tr")
 def _() -> Plan:
-    return one(f"CASE WHEN {lag('close')} IS NOT NULL THEN {TRUE_RANGE} END")
+    return one("CASE WHEN p IS NOT NULL AND high - low IS NOT NULL THEN greatest(high - low, abs(high - p), abs(low - p)) END", {"c": "CASE WHEN high - low IS NOT NULL THEN close END"}, {"p": prior("c")})
 
 
 # bounded windows
@@ -223,11 +225,13 @@ def _(period: int, multiplier: float, stopPeriod: int) -> Plan:
 
 @indicator("ChoppinessIndex", "chop", length=14)
 def _(length: int) -> Plan:
-    prev = f"coalesce({lag('close')}, 0)"
+    # bars without prices are left out, not gaps in the window
+    part, prev = "symbol, ok", f"coalesce({lag('close', 1, 'symbol, ok')}, 0)"
     return one(
-        f"CASE WHEN a > 0 AND b > 0 AND {length} > 1 THEN 100 * log10(a / nullif(b, 0)) / {math.log10(length) or 1!r} END",
-        {"t": f"greatest(high - low, abs(high - {prev}), abs(low - {prev}))", "r": "high - low"},
-        {"a": total("t", length), "b": total("r", length)},
+        f"CASE WHEN ok AND a > 0 AND b > 0 AND {length} > 1 THEN 100 * log10(a / nullif(b, 0)) / {math.log10(length) or 1!r} END",
+        {"ok": PRICED},
+        {"t": f"CASE WHEN ok THEN greatest(high - low, abs(high - {prev}), abs(low - {prev})) END", "r": "CASE WHEN ok THEN high - low END"},
+        {"a": total("t", length, part), "b": total("r", length, part)},
     )
 
 
@@ -235,10 +239,10 @@ def _(length: int) -> Plan:
 def _(length: int) -> Plan:
     # as bars leave the window their money flow, not their volume, is taken off the volume sum
     return one(
-        f"CASE WHEN i >= {length - 1} THEN coalesce(a / nullif(b - c, 0), 0.0) END",
-        {"f": "coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0.0)"},
-        {"a": f"sum(f) OVER {frame(length)}", "b": running("volume"), "g": f"coalesce({lag('f', length)}, 0.0)"},
-        {"c": running("g")},
+        "CASE WHEN a IS NOT NULL THEN coalesce(a / nullif(b - c, 0), 0.0) END",
+        {"f": f"CASE WHEN {PRICED} AND volume IS NOT NULL THEN coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0.0) END"},
+        {"a": total("f", length), "v": "CASE WHEN f IS NOT NULL THEN volume END", "g": f"coalesce({lag('f', length)}, 0.0)"},
+        {"b": running("v"), "c": running("g")},
     )
 
 
@@ -254,10 +258,14 @@ def _(length: int) -> Plan:
 
 @indicator("DeMarker", length=14)
 def _(length: int) -> Plan:
+    # bars without prices are left out, not gaps in the window
+    part = "symbol, ok"
     return one(
-        "coalesce(u / nullif(u + d, 0), CASE WHEN u IS NOT NULL THEN 0.5 END)",
-        {"a": f"CASE WHEN i > 0 THEN greatest(0.0, high - {lag('high')}) END", "b": f"CASE WHEN i > 0 THEN greatest(0.0, {lag('low')} - low) END"},
-        {"u": mean("a", length), "d": mean("b", length)},
+        "CASE WHEN ok THEN coalesce(u / nullif(u + d, 0), CASE WHEN u IS NOT NULL THEN 0.5 END) END",
+        {"ok": "high - low IS NOT NULL"},
+        {"x": f"high - {lag('high', 1, part)}", "y": f"{lag('low', 1, part)} - low"},
+        {"a": rise("x"), "b": rise("y")},
+        {"u": mean("a", length, part), "d": mean("b", length, part)},
     )
 
 
@@ -337,7 +345,7 @@ def _(length: int) -> Plan:
 
 @indicator("FiniteVolumeElement", "fve", length=22)
 def _(length: int) -> Plan:
-    return one(f"100 * {mean('x', length)}", {"x": "CASE WHEN high = low OR coalesce(volume, 0) = 0 THEN 0.0 ELSE 2 * (close - low) / nullif(high - low, 0) - 1 END"})
+    return one(f"100 * {mean('x', length)}", {"x": f"CASE WHEN NOT ({PRICED}) OR high = low OR coalesce(volume, 0) = 0 THEN 0.0 ELSE 2 * (close - low) / nullif(high - low, 0) - 1 END"})
 
 
 @indicator("GopalakrishnanRangeIndex", "gri", length=14)
@@ -425,7 +433,7 @@ def _(length: int) -> Plan:
 
 @indicator("IntradayMomentumIndex", "imi", length=14)
 def _(length: int) -> Plan:
-    return one("coalesce(100 * u / nullif(u + d, 0), CASE WHEN u IS NOT NULL THEN 0.0 END)", {"a": "greatest(0.0, close - open)", "b": "greatest(0.0, open - close)"}, {"u": total("a", length), "d": total("b", length)})
+    return one("coalesce(100 * u / nullif(u + d, 0), CASE WHEN u IS NOT NULL THEN 0.0 END)", {"x": "close - open", "y": "open - close"}, {"a": rise("x"), "b": rise("y")}, {"u": total("a", length), "d": total("b", length)})
 
 
 @indicator("KaufmanEfficiencyRatio", "ker", length=10)
@@ -508,9 +516,10 @@ def _(length: int) -> Plan:
 @indicator("MoneyFlowIndex", "mfi", length=14)
 def _(length: int) -> Plan:
     return one(
-        f"CASE WHEN i < {length - 1} THEN NULL WHEN n = 0 THEN 100.0 ELSE 100 * p / nullif(p + n, 0) END",
-        {"tp": TYPICAL},
-        {"a": f"CASE WHEN tp > coalesce({lag('tp')}, 0) THEN tp * volume ELSE 0.0 END", "b": f"CASE WHEN tp < coalesce({lag('tp')}, 0) THEN tp * volume ELSE 0.0 END"},
+        f"CASE WHEN i < {length - 1} OR tp IS NULL THEN NULL WHEN n = 0 THEN 100.0 ELSE 100 * p / nullif(p + n, 0) END",
+        {"tp": f"CASE WHEN volume IS NOT NULL THEN {TYPICAL} END"},
+        {"before": prior("tp")},
+        {"a": "CASE WHEN tp > coalesce(before, 0) THEN tp * volume ELSE 0.0 END", "b": "CASE WHEN tp < coalesce(before, 0) THEN tp * volume ELSE 0.0 END"},
         {"p": f"sum(a) OVER {frame(length)}", "n": f"sum(b) OVER {frame(length)}"},
     )
 
@@ -593,7 +602,9 @@ def _(length: int, signalLength: int) -> Plan:
 def _() -> Plan:
     return one(
         f"100 * (4 * {ratio('b7', 't7')} + 2 * {ratio('b14', 't14')} + {ratio('b28', 't28')}) / 7",
-        {"b": f"CASE WHEN i > 0 THEN close - least(low, {lag('close')}) END", "t": f"CASE WHEN i > 0 THEN greatest(high, {lag('close')}) - least(low, {lag('close')}) END"},
+        {"c": f"CASE WHEN {PRICED} THEN close END"},
+        {"p": prior("c")},
+        {"b": "CASE WHEN c + p IS NOT NULL THEN close - least(low, p) END", "t": "CASE WHEN c + p IS NOT NULL THEN greatest(high, p) - least(low, p) END"},
         {f"{x}{n}": total(x, n) for n in (7, 14, 28) for x in "bt"},
     )
 
@@ -605,9 +616,10 @@ def _(length: int) -> Plan:
 
 @indicator("VortexIndicator", "vi", "vortex", length=14)
 def _(length: int) -> Plan:
+    whole = f"high + low + {lag('high')} + {lag('low')} + {lag('close')} IS NOT NULL"
     return wide(
         {"viPlus": "coalesce(p / nullif(t, 0), CASE WHEN t IS NOT NULL THEN 0.0 END)", "viMinus": "coalesce(m / nullif(t, 0), CASE WHEN t IS NOT NULL THEN 0.0 END)"},
-        {"x": f"CASE WHEN i > 0 THEN {TRUE_RANGE} END", "y": f"abs(high - {lag('low')})", "z": f"abs(low - {lag('high')})"},
+        {"x": f"CASE WHEN {whole} THEN {TRUE_RANGE} END", "y": f"CASE WHEN {whole} THEN abs(high - {lag('low')}) END", "z": f"CASE WHEN {whole} THEN abs(low - {lag('high')}) END"},
         {"t": total("x", length), "p": total("y", length), "m": total("z", length)},
     )
 
@@ -630,43 +642,60 @@ def _() -> Plan:
     return one(running("x"), {"x": "coalesce(((close - low) - (high - close)) / nullif(high - low, 0) * volume, 0.0)"})
 
 
-_SIGNED = f"CASE WHEN {CHANGE} > 0 THEN volume WHEN {CHANGE} < 0 THEN -volume ELSE 0.0 END"
+def _signed(first: str) -> list[Step]:
+    """Volume with the sign of the change since the last bar that has a close and, but for the first, a volume.
+
+    `first` is what the bar gives that has none before it. Bars without give null and are passed over.
+    """
+    return [{"c": "CASE WHEN volume IS NOT NULL OR " + f"count(close) OVER {RUNNING} = 1 THEN close END"}, {"p": prior("c")}, {"x": f"CASE WHEN close + volume IS NULL THEN NULL WHEN p IS NULL THEN {first} WHEN c > p THEN volume WHEN c < p THEN -volume ELSE 0.0 END"}]
+
+
+#: The same where a close of zero counts as none.
+_BALANCE: list[Step] = [
+    {"c": "CASE WHEN volume IS NOT NULL THEN close END"},
+    {"p": prior("c")},
+    {"x": "CASE WHEN c IS NULL THEN NULL WHEN coalesce(p, 0) = 0 OR c = p THEN 0.0 WHEN c > p THEN volume ELSE -volume END"},
+    {"y": f"CASE WHEN x IS NOT NULL THEN {running('x')} END"},
+]
 
 
 @indicator("BalanceVolume", "obv")
 def _() -> Plan:
-    return one(f"CASE WHEN i > 0 THEN {running('x')} END", {"x": _SIGNED})
+    return one(f"CASE WHEN x IS NOT NULL THEN {running('x')} END", *_signed("NULL"))
 
 
 @indicator("OnBalanceVolume")
 def _() -> Plan:
-    return one(running("x"), {"x": _SIGNED})
+    return Plan(_BALANCE, {"value": "y"})
 
 
 @indicator("OnBalanceVolumeMean", "obvmean", length=14)
 def _(length: int) -> Plan:
-    return one(mean("y", length), {"x": _SIGNED}, {"y": running("x")})
+    return one(mean("y", length), *_BALANCE)
 
 
 @indicator("PriceVolumeTrend", "pvt")
 def _() -> Plan:
-    return one(f"CASE WHEN i > 0 THEN {running('x')} END", {"x": f"coalesce(volume * {ratio(CHANGE, lag('close'))}, 0.0)"})
+    return one(f"CASE WHEN x IS NOT NULL THEN {running('x')} END", {"c": "CASE WHEN volume IS NOT NULL THEN close END"}, {"p": prior("c")}, {"x": "volume * (c - p) / nullif(p, 0)"})
 
 
 @indicator("TimeWeightedAveragePrice", "twap")
 def _() -> Plan:
-    return one(f"avg(x) OVER {RUNNING}", {"x": TYPICAL})
+    return one(f"CASE WHEN x IS NOT NULL THEN avg(x) OVER {RUNNING} END", {"x": TYPICAL})
 
 
 @indicator("VolumeWeightedAveragePrice", "vwap")
 def _() -> Plan:
-    return one(ratio(running("x"), running("volume")), {"x": f"{TYPICAL} * volume"})
+    return one(f"CASE WHEN {running('v')} > 0 THEN {ratio(running('x'), running('v'))} END", {"x": f"{TYPICAL} * volume"}, {"v": "CASE WHEN x IS NOT NULL THEN volume END"})
 
 
 @indicator("WilliamsAccumulationDistribution", "wad", "williamsad")
 def _() -> Plan:
-    prev = lag("close")
-    return one(f"CASE WHEN i > 0 THEN {running('x')} END", {"x": f"CASE WHEN close > {prev} THEN close - least(low, {prev}) WHEN close < {prev} THEN close - greatest(high, {prev}) ELSE 0.0 END"})
+    return one(
+        f"CASE WHEN x IS NOT NULL THEN {running('x')} END",
+        {"p": prior("close")},
+        {"x": f"CASE WHEN NOT ({PRICED}) OR coalesce(p, 0) = 0 THEN NULL WHEN close > p THEN close - least(low, p) WHEN close < p THEN close - greatest(high, p) ELSE 0.0 END"},
+    )
 
 
 @indicator("WilliamsVariableAccumulationDistribution", "wvad")
@@ -676,9 +705,8 @@ def _() -> Plan:
 
 @indicator("VolumeProfileIndicator", "vp", "volumeprofile", step=1.0)
 def _(step: float) -> Plan:
-    """Volume so far in the bucket of the bar's close."""
-    cum = "(PARTITION BY symbol, bucket ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return Plan([{"bucket": f"sign(close) * floor(abs(close) / {step}) * {step}"}, {"value": f"sum(volume) OVER {cum}"}], {"bucket": "bucket", "value": "value"})
+    """Volume so far, and by bucket of the close, in the order of prices; each bar has all buckets so far."""
+    return machine(M.buckets, {"value": "double", "buckets": "array<struct<price:double,volume:double>>"}, ("close", "volume"), step=step if step > 0 else 1.0)
 
 
 # recursive averages
@@ -776,7 +804,7 @@ def _(emaLength: int, rocLength: int) -> Plan:
     return one(ratio(f"100 * (e - {lag('e', rocLength)})", lag("e", rocLength)), {"x": "high - low"}, [ema("e", "x", emaLength)])
 
 
-_GAINS: Step = {"g": f"CASE WHEN i > 0 THEN greatest(0.0, {CHANGE}) END", "l": f"CASE WHEN i > 0 THEN greatest(0.0, -({CHANGE})) END"}
+_GAINS: Step = {"g": rise(f"({CHANGE})"), "l": rise(f"({lag('close')} - close)")}
 
 
 def _rsi(out: str, g: str, l: str) -> dict[str, str]:  # noqa: E741
@@ -962,7 +990,7 @@ def _(length: int) -> Plan:
 def _(length: int) -> Plan:
     return Plan(
         [
-            {"u": f"CASE WHEN i > 0 THEN greatest(0.0, {CHANGE}) END", "d": f"CASE WHEN i > 0 THEN greatest(0.0, -({CHANGE})) END"},
+            {"u": rise(f"({CHANGE})"), "d": rise(f"({lag('close')} - close)")},
             {"a": total("u", length), "b": total("d", length), "m": mean("close", length)},
             {"k": f"CASE WHEN i = {2 * length - 1} THEN 1.0 WHEN i >= {2 * length} THEN coalesce({2 / (length + 1)!r} * abs((a - b) / nullif(a + b, 0)), 0.0) END", "x": f"CASE WHEN i = {2 * length - 1} THEN m ELSE close END"},
             *linear("value", "k", "x"),
@@ -1094,7 +1122,7 @@ def _(length: int) -> Plan:
 
 def _gain(x: str, sign: int = 1) -> str:
     d = f"{x} - {lag(x)}" if sign > 0 else f"{lag(x)} - ({x})"
-    return f"CASE WHEN {lag(x)} IS NOT NULL THEN greatest(0.0, {d}) END"
+    return rise(f"({d})")
 
 
 def _rsi_steps(out: str, x: str, n: int) -> list[Step]:

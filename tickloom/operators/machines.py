@@ -5,6 +5,7 @@ Each advances by one bar and keeps its state in a dict of plain values, so batch
 
 from __future__ import annotations
 
+import bisect
 import math
 
 Row = tuple | None
@@ -27,6 +28,20 @@ def average(s: dict, x: float | None, n: int, start: str, rate: float) -> Row:
     return (s["y"],) if seen == n or start in ("partial", "smooth", "grow") else None
 
 
+def buckets(s: dict, close: float | None, volume: float | None, step: float) -> Row:
+    """Volume so far, and by bucket of the close (cut toward zero to a multiple of `step`), in the order of prices."""
+    levels = s.setdefault("levels", [])
+    if close is not None and volume is not None:
+        price = math.trunc(close / step) * step
+        at = bisect.bisect_left(levels, [price])
+        if at < len(levels) and levels[at][0] == price:
+            levels[at][1] += volume
+        else:
+            levels.insert(at, [price, volume])
+        s["total"] = s.get("total", 0.0) + volume
+    return s.get("total", 0.0), [{"price": p, "volume": v} for p, v in levels]
+
+
 def aroon(s: dict, high: float | None, low: float | None, length: int) -> Row:
     """Ages of the highest high and lowest low; when the extreme leaves, an age is its place in the old window."""
     if high is None or low is None:

@@ -7,24 +7,26 @@ frame makes a gated result null.
 from __future__ import annotations
 
 ORDER = "(PARTITION BY symbol ORDER BY time)"
+BEFORE = "(PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 RUNNING = "(PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def frame(n: int) -> str:
-    return f"(PARTITION BY symbol ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+def frame(n: int, part: str = "symbol") -> str:
+    """The last n rows; with more columns in `part` (a flag of the step before), the last n rows that have the row's flag."""
+    return f"(PARTITION BY {part} ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def gated(aggregate: str, x: str, n: int) -> str:
+def gated(aggregate: str, x: str, n: int, part: str = "symbol") -> str:
     """The aggregate over the last n rows, null until there are n and while one of them is null."""
-    return f"CASE WHEN count({x}) OVER {frame(n)} = {n} THEN {aggregate}({x}) OVER {frame(n)} END"
+    return f"CASE WHEN count({x}) OVER {frame(n, part)} = {n} THEN {aggregate}({x}) OVER {frame(n, part)} END"
 
 
-def mean(x: str, n: int) -> str:
-    return gated("avg", x, n)
+def mean(x: str, n: int, part: str = "symbol") -> str:
+    return gated("avg", x, n, part)
 
 
-def total(x: str, n: int) -> str:
-    return gated("sum", x, n)
+def total(x: str, n: int, part: str = "symbol") -> str:
+    return gated("sum", x, n, part)
 
 
 def highest(x: str, n: int) -> str:
@@ -39,8 +41,18 @@ def deviation(x: str, n: int) -> str:
     return gated("stddev_pop", x, n)
 
 
-def lag(x: str, k: int = 1) -> str:
-    return f"lag({x}, {k}) OVER {ORDER}" if k else f"({x})"
+def lag(x: str, k: int = 1, part: str = "symbol") -> str:
+    return f"lag({x}, {k}) OVER (PARTITION BY {part} ORDER BY time)" if k else f"({x})"
+
+
+def prior(x: str) -> str:
+    """The last value that is not null on a row before; `x` is a column."""
+    return f"last_value({x}) IGNORE NULLS OVER {BEFORE}"
+
+
+def rise(x: str) -> str:
+    """x where it is positive, 0 where it is not, null where it is null (`greatest` would take a null for less than 0)."""
+    return f"CASE WHEN {x} > 0 THEN {x} WHEN {x} IS NOT NULL THEN 0.0 END"
 
 
 def running(x: str) -> str:

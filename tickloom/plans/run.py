@@ -20,7 +20,9 @@ def clean(bars: DataFrame) -> DataFrame:
 
 
 def text_of(item: str | tuple[str, str], dialect: int) -> str:
-    return item if isinstance(item, str) else item[dialect]
+    """The text for Spark (0) or DuckDB (1), which puts IGNORE NULLS inside."""
+    text = item if isinstance(item, str) else item[dialect]
+    return re.sub(r"last_value\((\w+)\) IGNORE NULLS", r"last_value(\1 IGNORE NULLS)", text) if dialect else text
 
 
 def run_plan(bars: DataFrame, plan: Plan) -> DataFrame:
