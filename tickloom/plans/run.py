@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.folds import fold
 from tickloom.operators.indicators import Plan, find
+from tickloom.operators.stretches import bounded, folded, long_symbols, lookback, numbered
 
 BARS = ["symbol", "time", "open", "high", "low", "close", "volume"]
 
 
+#: Rows of a symbol beyond which it is spread over stretches of so many.
+SPAN = 2_000_000
+
+
 def clean(bars: DataFrame) -> DataFrame:
-    """Bars with NaN and infinite numbers as nulls, and the row index `i` of each within its symbol."""
+    """Bars with NaN and infinite numbers as nulls."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in BARS[2:]}
-    return bars.select("symbol", "time", *(F.col(c).cast("double").alias(c) for c in BARS[2:])).withColumns(finite).withColumn("i", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY time) - 1"))
+    return bars.select("symbol", "time", *(F.col(c).cast("double").alias(c) for c in BARS[2:])).withColumns(finite)
+
+
+def indexed(bars: DataFrame, texts: list[str]) -> DataFrame:
+    """`i`, the number of the row within its symbol, where the texts use it."""
+    return bars.withColumn("i", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY time) - 1")) if any(re.search(r"\bi\b", t) for t in texts) else bars
 
 
 def text_of(item: str | tuple[str, str], dialect: int) -> str:
@@ -25,23 +35,47 @@ def text_of(item: str | tuple[str, str], dialect: int) -> str:
     return re.sub(r"last_value\((\w+)\) IGNORE NULLS", r"last_value(\1 IGNORE NULLS)", text) if dialect else text
 
 
-def run_plan(bars: DataFrame, plan: Plan) -> DataFrame:
-    """symbol, time and the plan's outputs, one row a bar. All steps share one partitioning by symbol."""
-    out = clean(bars)
-    for step in plan.steps:
-        out = out.withColumns({k: F.expr(text_of(v, 0)) for k, v in step.items()}) if isinstance(step, dict) else fold(out, step)
+def run_plan(bars: DataFrame, plan: Plan, span: int = SPAN) -> DataFrame:
+    """symbol, time and the plan's outputs, one row a bar.
+
+    All steps share one partitioning by symbol, unless a symbol has more than `span` rows; see `stretches`.
+    """
+    rows = clean(bars)
+    long = long_symbols(rows, span)
+    if long.isEmpty():
+        out = indexed(rows, [text_of(v, 0) for step in plan.steps if isinstance(step, dict) for v in step.values()])
+        for step in plan.steps:
+            out = out.withColumns({k: F.expr(text_of(v, 0)) for k, v in step.items()}) if isinstance(step, dict) else fold(out, step)
+    else:
+        out = _in_stretches(numbered(rows, long, span), plan, span)
     return out.select("symbol", "time", *(F.col(v).alias(k) for k, v in plan.outputs.items()))
 
 
-def indicator(bars: DataFrame, name: str, **params: float) -> DataFrame:
+def _in_stretches(out: DataFrame, plan: Plan, span: int) -> DataFrame:
+    steps = [{k: text_of(v, 0) for k, v in step.items()} if isinstance(step, dict) else step for step in plan.steps]
+    while steps:
+        held, back = [], 0
+        while steps and isinstance(steps[0], dict) and (more := lookback(list(steps[0].values()))) is not None:
+            held.append(steps.pop(0))
+            back += more
+        if held:
+            out = bounded(out, held, back, span)
+        elif isinstance(steps[0], dict):
+            out = out.withColumns({k: F.expr(v) for k, v in steps.pop(0).items()})
+        else:
+            out = folded(out, steps.pop(0))
+    return out
+
+
+def indicator(bars: DataFrame, name: str, span: int = SPAN, **params: float) -> DataFrame:
     """An indicator of the catalogue by name or alias, over bars keyed by symbol and time."""
-    return run_plan(bars, find(name).plan(**params))
+    return run_plan(bars, find(name).plan(**params), span)
 
 
 def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:
     """Several indicators as columns `prefix_output` of one table: one sort, and one pass for each round of folds."""
-    out = clean(bars)
     plans = {prefix: find(name).plan(**params) for prefix, (name, params) in asked.items()}
+    out = indexed(clean(bars), [text_of(v, 0) for plan in plans.values() for step in plan.steps if isinstance(step, dict) for v in step.values()])
     made: dict[str, dict[str, str]] = {prefix: {} for prefix in plans}
     left = {prefix: list(plan.steps) for prefix, plan in plans.items()}
     while any(left.values()):
