@@ -66,7 +66,10 @@ def test_upserts_survive_a_second_run_and_corrections_recompute(spark, tmp_path)
     for k, b in enumerate(batches):
         for _ in range(2):
             run(spark.createDataFrame(b, schema), k)
-    kept = spark.read.parquet(f"{folder}/generation=1")
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "table").glob("_symbol=x/*/*.parquet")}
+    run(spark.createDataFrame([("y", 7, 9.0, 1)], schema), 0)  # a new checkpoint goes on, and x is not touched
+    assert files == {f: f.stat().st_mtime_ns for f in (tmp_path / "out" / "table").glob("_symbol=x/*/*.parquet")}
+    kept = live.held(spark, folder).where("symbol = 'x'")
     assert sorted((r["time"], r["close"]) for r in kept.collect()) == [(0, 1), (60, 3), (120, 4)]
     study = lambda bars: bars.select("symbol", "time", F.expr("sum(close) OVER (PARTITION BY symbol ORDER BY time)").alias("s"))
     fixed = live.corrected(kept, spark.createDataFrame([("x", 60, 30.0, 9)], schema), study)

@@ -102,18 +102,35 @@ def trading_rows(rows: DataFrame, table: DataFrame, kinds: tuple[str, ...] = ("r
     return with_session(rows, table, kinds).where("session is not null").select(*rows.columns)
 
 
+def _by_day(table: DataFrame, start: Column, end: Column, *columns: Column) -> tuple[DataFrame, int, int]:
+    """Stretches of time (end not included) listed on each UTC day they touch, and the first and last of these days.
+
+    A null start or end reaches to all earlier or later times: rows of those look up the first or last day.
+    """
+    day = lambda t: F.floor(t / 86400)
+    rows = table.select(start.alias("_start"), end.alias("_end"), *columns)
+    first, last = rows.agg(F.min(F.coalesce(day(F.col("_start")), day(F.col("_end") - 1))), F.max(F.coalesce(day(F.col("_end") - 1), day(F.col("_start"))))).first()
+    first, last = (first or 0), (last or 0)
+    days = F.sequence(F.coalesce(day(F.col("_start")), F.lit(first)), F.coalesce(day(F.col("_end") - 1), F.lit(last)))
+    return rows.where(F.coalesce(F.col("_end") > F.col("_start"), F.lit(True))).withColumn("_day", F.explode(days)), first, last
+
+
+def _looked_up(rows: DataFrame, found: tuple[DataFrame, int, int], time: str = "time") -> DataFrame:
+    """Rows with the columns of the stretch that holds their time; a join by day, so no row meets all stretches."""
+    listed, first, last = found
+    day = F.greatest(F.lit(first), F.least(F.lit(last), F.floor(F.col(time) / 86400)))
+    on = (day == F.col("_day")) & (F.col("_start").isNull() | (F.col(time) >= F.col("_start"))) & (F.col("_end").isNull() | (F.col(time) < F.col("_end")))
+    return rows.join(listed, on, "left").drop("_day", "_start", "_end")
+
+
 def neighbours(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (time) with next_open (first open at or after) and previous_close (last close at or before)."""
-    marks = rows.select(*rows.columns, F.lit(None).cast("long").alias("_open"), F.lit(None).cast("long").alias("_close")).unionByName(
-        table.select(F.col("open").alias("time"), F.col("open").alias("_open")).unionByName(table.select(F.col("close").alias("time"), F.col("close").alias("_close")), allowMissingColumns=True), allowMissingColumns=True
-    )
-    if "symbol" not in rows.columns:
-        raise ValueError("rows need a symbol")
-    symbols = rows.select("symbol").distinct()
-    marks = marks.where("symbol is not null").unionByName(marks.where("symbol is null").drop("symbol").join(symbols))
-    w = Window.partitionBy("symbol").orderBy("time")
-    ahead, behind = w.rangeBetween(0, Window.unboundedFollowing), w.rangeBetween(Window.unboundedPreceding, 0)
-    return marks.select("*", F.min("_open").over(ahead).alias("next_open"), F.max("_close").over(behind).alias("previous_close")).where("_open is null and _close is null").drop("_open", "_close")
+    w = Window.orderBy("at")
+    opens = table.select(F.col("open").alias("at")).distinct().select("at", (F.lag("at").over(w) + 1).alias("since"))
+    closes = table.select(F.col("close").alias("at")).distinct().select("at", F.lead("at").over(w).alias("until"))
+    ahead = _by_day(opens, F.col("since"), F.col("at") + 1, F.col("at").alias("next_open"))
+    behind = _by_day(closes, F.col("at"), F.col("until"), F.col("at").alias("previous_close"))
+    return _looked_up(_looked_up(rows, ahead), behind)
 
 
 def bar_close(bars: DataFrame, seconds: int, table: DataFrame | None = None) -> DataFrame:
@@ -134,6 +151,16 @@ def daily_close(bars: DataFrame, table: DataFrame, days: int = 1) -> DataFrame:
     return own.join(F.broadcast(ends), "k", "left").select(*bars.columns, "close_time")
 
 
+def weekly_close(bars: DataFrame, table: DataFrame, weeks: int = 1) -> DataFrame:
+    """Bars with close_time: the last close before the ISO week that begins `weeks` weeks after the bar's own trading week."""
+    week = F.floor(F.datediff(F.date_trunc("week", F.col("trading_date")), F.lit("1970-01-05")) / 7)
+    closes = table.groupBy(week.alias("week")).agg(F.max("close").alias("close"))
+    ahead = Window.orderBy("week").rangeBetween(0, weeks - 1)
+    ends = closes.select("week", F.max("close").over(ahead).alias("close_time"))
+    own = with_session(bars, table).withColumn("week", week)
+    return own.join(F.broadcast(ends), "week", "left").select(*bars.columns, "close_time")
+
+
 def countdown(now: Column, start: Column, end: Column) -> Column:
     state = F.when(now < start, "pending").when(now < end, "open").otherwise("closed")
     gone = F.greatest(F.lit(0), F.least(now, end) - start)
@@ -147,14 +174,13 @@ def projected(rows: DataFrame, table: DataFrame, kinds: tuple[str, ...] = ("regu
     """
     w = Window.orderBy("open")
     spans = table.where(F.col("kind").isin(*kinds)).select("open", "close", F.coalesce(F.sum(F.col("close") - F.col("open")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("close").over(w).alias("last_close"))
-    # each row falls between two closes; the sessions are few, so they go to every task
-    on = (F.col("time") < F.col("close")) & ((F.col("time") >= F.col("last_close")) | F.col("last_close").isNull())
-    return rows.join(F.broadcast(spans), on, "left").withColumn("trading_time", F.col("before") + F.greatest(F.lit(0), F.col("time") - F.col("open"))).select(*rows.columns, "trading_time")
+    found = _by_day(spans, F.col("last_close"), F.col("close"), F.col("open").alias("_open"), F.col("before").alias("_before"))
+    return _looked_up(rows, found).withColumn("trading_time", F.col("_before") + F.greatest(F.lit(0), F.col("time") - F.col("_open"))).select(*rows.columns, "trading_time")
 
 
 def unprojected(rows: DataFrame, table: DataFrame, kinds: tuple[str, ...] = ("regular",)) -> DataFrame:
     """The inverse: rows (trading_time) with the time it stands for; a boundary is the next session's open."""
     w = Window.orderBy("open")
     spans = table.where(F.col("kind").isin(*kinds)).select("open", (F.col("close") - F.col("open")).alias("size"), F.coalesce(F.sum(F.col("close") - F.col("open")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    on = (F.col("trading_time") >= F.col("before")) & (F.col("trading_time") < F.col("before") + F.col("size"))
-    return rows.join(F.broadcast(spans), on, "left").withColumn("time", F.col("open") + F.col("trading_time") - F.col("before")).select(*rows.columns, "time")
+    found = _by_day(spans, F.col("before"), F.col("before") + F.col("size"), F.col("open").alias("_open"), F.col("before").alias("_before"))
+    return _looked_up(rows, found, "trading_time").withColumn("time", F.col("_open") + F.col("trading_time") - F.col("_before")).select(*rows.columns, "time")

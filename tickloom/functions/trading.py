@@ -88,3 +88,41 @@ def check_intents(intents: DataFrame) -> DataFrame:
 
 def profit(realised: Column, unrealised: Column) -> Column:
     return realised + unrealised
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """What setting a collection to `new` changes: key and change (added, updated, removed); rows that stay have none."""
+    columns = [c for c in new.columns if c != key]
+    before = old.select(F.col(key), F.struct(*columns).alias("_old"))
+    after = new.select(F.col(key), F.struct(*columns).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "updated")
+    return before.join(after, key, "full").select(key, change.alias("change")).where("change is not null")
+
+
+class TradingStore:
+    """The latest accepted orders, positions, executions and quotes, each a table that is set as a whole.
+
+    A table is refused as a whole if one of its rows breaks a rule, and the version grows only with a change. Tables are
+    kept as they are given: write them first where they are costly.
+    """
+
+    def __init__(self, tick: float, lot: float):
+        self.version, self.tables = 0, {}
+        self._checks = {"orders": lambda t: check_orders(t, tick, lot), "positions": lambda t: check_positions(t, tick, lot), "executions": lambda t: check_executions(t, tick, lot), "quotes": lambda t: check_quotes(t, tick)}
+        self._keys = {"quotes": "symbol"}
+
+    def set(self, name: str, rows: DataFrame) -> DataFrame:
+        """Replace a table; returns what changed (key, change)."""
+        if name not in self._checks:
+            raise ValueError(f"{name} is no table of the store")
+        bad = self._checks[name](rows).where("not valid").select("reason").first()
+        if bad:
+            raise ValueError(f"{name}: {bad[0]}")
+        changes = replaced(self.tables.get(name, rows.limit(0)), rows, self._keys.get(name, "id"))
+        if not changes.isEmpty():
+            self.tables[name] = rows
+            self.version += 1
+        return changes
+
+    def snapshot(self) -> dict[str, DataFrame]:
+        return dict(self.tables)

@@ -102,3 +102,9 @@ def popped(bars: DataFrame, n: int) -> DataFrame:
     """Bars without the last n of each symbol."""
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("time")))
     return bars.withColumn("_rank", rank).where(F.col("_rank") > n).drop("_rank")
+
+
+def nearest_value(values: list[Column], at: Column) -> Column:
+    """The one of a row's values that is nearest to `at`; of equally near ones the first given, null where all are."""
+    marks = [F.when(valid(v), F.struct(F.abs(v - at).alias("gap"), F.lit(k).alias("k"), v.cast("double").alias("v"))) for k, v in enumerate(values)]
+    return F.array_min(F.filter(F.array(*marks), lambda m: m.isNotNull()))["v"]

@@ -48,6 +48,14 @@ REGISTRY: dict[str, Indicator] = {}
 
 def indicator(name: str, *names: str, **params: float) -> Callable:
     def put(build: Callable[..., Plan]) -> Callable[..., Plan]:
+        known = {x for item in REGISTRY.values() for x in item.names}
+        for x in (name.lower(), *names):
+            if not x or x != x.strip() or x != x.lower():
+                raise ValueError(f"{x!r} is no name of an indicator: names are lower-case and not empty")
+            if x in known:
+                raise ValueError(f"there is an indicator named {x}")
+        if any(isinstance(v, bool) or not isinstance(v, int | float) or not math.isfinite(v) for v in params.values()):
+            raise ValueError(f"parameters of {name} have finite numbers as defaults")
         REGISTRY[name] = Indicator(name, (name.lower(), *names), params, build)
         return build
 

@@ -135,6 +135,37 @@ def stacked(found: DataFrame, least: int = 3) -> DataFrame:
     return runs.groupBy(*LEVEL, "side", "island").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high")).where(F.col("n") >= least).drop("island")
 
 
+def profile_range(rows: DataFrame, mode: str, visible: tuple[int, int], fixed: tuple[int, int] | None = None, sessions: DataFrame | None = None, anchor: int | None = None) -> DataFrame:
+    """The bars or levels (time) that a profile is made of: those of the visible or a fixed range, ends included, or of
+    the session (open, close) that holds `anchor`, else the end of the visible range; none where no session does."""
+    if mode == "session":
+        at = visible[1] if anchor is None else anchor
+        found = sessions.where((F.col("open") <= at) & (F.col("close") > at)).agg(F.min("open"), F.min("close")).first()
+        return rows.where(F.lit(False)) if found[0] is None else rows.where((F.col("time") >= found[0]) & (F.col("time") < found[1]))
+    if mode not in ("visible", "fixed") or (mode == "fixed" and fixed is None):
+        raise ValueError("a profile range is visible, fixed (with a range) or session")
+    low, high = sorted(visible if mode == "visible" else fixed)
+    return rows.where(F.col("time").between(low, high))
+
+
+def order_faults(trades: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Trades (symbol, time, id, sequence, and the column `arrival`) that break the order, with the first reason.
+
+    A trade may not be earlier than the one before it; at the same time its sequence, if it has one, may not be lower than
+    the last one; and no id comes twice. A strict reader refuses a stream with any of these.
+    """
+    series = Window.partitionBy("symbol").orderBy(arrival)
+    same = Window.partitionBy("symbol", "time").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    number = F.row_number().over(Window.partitionBy("symbol", "id").orderBy(arrival))
+    rows = trades.select("*", F.lag("time").over(series).alias("_before"), F.last("sequence", ignorenulls=True).over(same).alias("_last"), number.alias("_nth"))
+    reason = (
+        F.when(F.col("time") < F.col("_before"), "time goes back")
+        .when((F.col("time") == F.col("_before")) & (F.col("sequence") < F.col("_last")), "sequence goes back")
+        .when(F.col("id").isNotNull() & (F.col("_nth") > 1), "id occurs twice")
+    )
+    return rows.withColumn("reason", reason).where("reason is not null").drop("_before", "_last", "_nth")
+
+
 def volume_profile(levels: DataFrame, bars: DataFrame, share: float = 0.7) -> DataFrame:
     """Profile of all bars of a symbol; ties of the point of control go to the last close, then the lower price."""
     last = bars.groupBy("symbol").agg(F.max_by("close", "time").alias("close"))

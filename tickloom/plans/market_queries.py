@@ -11,14 +11,14 @@ from tickloom.functions import calendar, resample, scalars, trading
 from tickloom.operators import compare, derived, orderflow
 from tickloom.operators.windows import RUNNING
 from tickloom.plans.duck import plan_sql
-from tickloom.plans.run import run_plan
+from tickloom.plans.run import chained, indicator, run_plan
 from tickloom.sources.market import BAR_SECONDS, TICKS_SQL, bars, bars_sql, ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Queries without doubles.
-WHOLE = {"session_trades", "countdown", "date_presets", "profile_modes", "trading_time", "session_neighbours", "visible_counts", "tpo_levels"}
+WHOLE = {"weekly_bounds", "trade_order", "position_checks", "quote_checks", "session_trades", "countdown", "date_presets", "profile_modes", "trading_time", "session_neighbours", "visible_counts", "tpo_levels"}
 TICK = 1.0
 DAY = 86400
 
@@ -316,3 +316,77 @@ def profile_modes(spark, sf_dir):
 @query(f"SELECT symbol, time, price, id FROM ({TICKS_SQL}) WHERE abs(price - floor(price / 0.05 + 0.5) * 0.05) > greatest(1e-12, abs(price) * 3.552713678800501e-15, 0.05e-9)")
 def off_grid_trades(spark, sf_dir):
     return orderflow.off_grid(ticks(spark, sf_dir), "price", 0.05).select("symbol", "time", "price", "id")
+
+
+@query(f"SELECT symbol, time, CASE WHEN count(*) OVER w = 5 THEN avg((high + low) / 2) OVER w END AS level FROM ({bars_sql()}) WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS 4 PRECEDING)")
+def indicator_of_field(spark, sf_dir):
+    """A moving average of the middle of each bar."""
+    return indicator(bars(spark, sf_dir), "sma", source="hl2", length=5).withColumnRenamed("value", "level")
+
+
+@query(f"""
+WITH m AS (SELECT symbol, time, close - lag(close, 5) OVER (PARTITION BY symbol ORDER BY time) AS x FROM ({bars_sql()})),
+s AS (SELECT symbol, time, CASE WHEN count(*) OVER w = 3 THEN avg(x) OVER w END AS level FROM m WHERE x IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS 2 PRECEDING))
+SELECT symbol, time, level FROM m LEFT JOIN s USING (symbol, time)""")
+def indicator_chain(spark, sf_dir):
+    """A moving average of momentum: it reads the other's samples and skips those it lacks."""
+    return chained(bars(spark, sf_dir), ("momentum", {"length": 5}, "value"), ("sma", {"length": 3}, "value")).withColumnRenamed("value", "level")
+
+
+@query(f"""
+WITH s AS ({_SESSIONS_SQL}), own AS (SELECT symbol, time, date_trunc('week', CAST(day AS DATE)) AS w FROM ({bars_sql()}) JOIN s ON time >= a AND time < b)
+SELECT symbol, time, (SELECT max(b) FROM s WHERE date_trunc('week', CAST(day AS DATE)) >= w AND date_trunc('week', CAST(day AS DATE)) < w + INTERVAL 14 DAY) AS close_time FROM own""")
+def weekly_bounds(spark, sf_dir):
+    """Where two-week bars that begin with each bar end; bars outside the sessions have none and are left out."""
+    return calendar.weekly_close(bars(spark, sf_dir).select("symbol", "time"), _sessions(spark), 2).where("close_time is not null")
+
+
+@query(f"SELECT symbol, count(*) AS n_levels, sum(bid_volume + ask_volume) AS volume FROM ({LEVELS_SQL}) WHERE time >= (SELECT a FROM ({_SESSIONS_SQL}) WHERE a <= 1704900600 AND b > 1704900600) AND time < (SELECT b FROM ({_SESSIONS_SQL}) WHERE a <= 1704900600 AND b > 1704900600) GROUP BY symbol")
+def session_profile(spark, sf_dir):
+    """Levels and volume of the session that holds an anchor (10 January 2024, 15:30 UTC)."""
+    some = orderflow.profile_range(_levels(spark, sf_dir), "session", (0, 0), sessions=_sessions(spark), anchor=1704900600)
+    return some.groupBy("symbol").agg(F.count("*").alias("n_levels"), F.sum(F.col("bid_volume") + F.col("ask_volume")).alias("volume"))
+
+
+#: Trades in an order of arrival that is not theirs: every hundredth comes two places late.
+_ARRIVED_SQL = f"SELECT symbol, time, id % 9999 AS id, id % 7 AS sequence, id + CASE WHEN id % 100 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 100 = 0 THEN 0.5 ELSE 0 END AS arrival FROM ({TICKS_SQL})"
+
+
+@query(f"""
+WITH t AS ({_ARRIVED_SQL}),
+p AS (SELECT *, lag(time) OVER (PARTITION BY symbol ORDER BY arrival) AS before, lag(sequence) OVER (PARTITION BY symbol, time ORDER BY arrival) AS last, row_number() OVER (PARTITION BY symbol, id ORDER BY arrival) AS nth FROM t)
+SELECT symbol, time, id, CASE WHEN time < before THEN 'time goes back' WHEN time = before AND sequence < last THEN 'sequence goes back' WHEN nth > 1 THEN 'id occurs twice' END AS reason FROM p WHERE reason IS NOT NULL""")
+def trade_order(spark, sf_dir):
+    """Trades that break the order of arrival."""
+    id_, late = F.col("id"), F.col("id") % 100 == 0
+    rows = ticks(spark, sf_dir).select("symbol", "time", (id_ % 9999).alias("id"), (id_ % 7).alias("sequence"), (id_ + F.when(late, 2.5).otherwise(0.0)).alias("arrival"))
+    return orderflow.order_faults(rows).select("symbol", "time", "id", "reason")
+
+
+@query("""
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id is not unique' WHEN l_returnflag = 'R' THEN 'unknown side' WHEN l_quantity % 2 <> 0 THEN 'quantity is off the grid' END AS reason
+FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag, l_quantity FROM lineitem)""")
+def position_checks(spark, sf_dir):
+    """Line items read as positions: returned ones have no side that is known, and a lot is two."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = F.when(F.col("l_returnflag") == "A", "long").when(F.col("l_returnflag") == "N", "short").otherwise("none")
+    q = F.col("l_quantity").cast("double")
+    rows = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("s").alias("symbol"), side.alias("side"), q.alias("quantity"), F.lit(10.0).alias("average_price"))
+    return trading.check_positions(rows, 0.5, 2.0).select("id", "reason")
+
+
+@query("""
+SELECT CAST(ps AS VARCHAR) AS symbol, CASE WHEN ps % 5 = 0 THEN 'bid or ask is missing' WHEN ps % 3 = 1 THEN 'bid is over ask' END AS reason FROM (SELECT p_partkey AS ps FROM part)""")
+def quote_checks(spark, sf_dir):
+    """Quotes made of parts: some have neither side, some have the bid over the ask."""
+    k = F.col("p_partkey")
+    price = lambda x: F.when(k % 5 != 0, x.cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("string").alias("symbol"), F.lit(1).alias("time"), price(F.when(k % 3 == 1, 12).otherwise(10)).alias("bid"), price(F.lit(11)).alias("ask"))
+    return trading.check_quotes(rows, 0.5).select("symbol", "reason")
+
+
+@query(f"SELECT symbol, time, CASE WHEN abs(open - m) <= least(abs(high - m), abs(low - m), abs(close - m)) THEN open WHEN abs(high - m) <= least(abs(low - m), abs(close - m)) THEN high WHEN abs(low - m) <= abs(close - m) THEN low ELSE close END AS level FROM (SELECT *, (open + close) / 3 AS m FROM ({bars_sql()}))")
+def nearest_price(spark, sf_dir):
+    """The price of each bar that a pointer at a third of open plus close would hold to."""
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    return bars(spark, sf_dir).select("symbol", "time", compare.nearest_value(prices, (F.col("open") + F.col("close")) / 3).alias("level"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import lifted
 from tickloom.operators.folds import fold
 from tickloom.operators.indicators import Plan, find
 from tickloom.operators.stretches import bounded, folded, long_symbols, lookback, numbered
@@ -67,9 +68,40 @@ def _in_stretches(out: DataFrame, plan: Plan, span: int) -> DataFrame:
     return out
 
 
-def indicator(bars: DataFrame, name: str, span: int = SPAN, **params: float) -> DataFrame:
-    """An indicator of the catalogue by name or alias, over bars keyed by symbol and time."""
-    return run_plan(bars, find(name).plan(**params), span)
+def sourced(bars: DataFrame, value: Column) -> DataFrame:
+    """Bars that have `value` for all four prices; rows where it is missing are left out, not gaps."""
+    number = value.cast("double")
+    rows = bars.select("symbol", "time", number.alias("_value"), "volume").where(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs("_value") < float("inf")))
+    return rows.select("symbol", "time", *(F.col("_value").alias(c) for c in BARS[2:6]), "volume")
+
+
+def indicator(bars: DataFrame, name: str, span: int = SPAN, source: str | Column | None = None, **params: float) -> DataFrame:
+    """An indicator of the catalogue by name or alias, over bars keyed by symbol and time.
+
+    With a `source` it reads that in place of prices: the name of a field (open, high, low, close, hl2, hlc3, ohlc4,
+    volume), or a column of numbers, whose missing values are skipped and have nulls.
+    """
+    plan = find(name).plan(**params)
+    if source is None:
+        return run_plan(bars, plan, span)
+    if isinstance(source, str):
+        return run_plan(lifted(bars, source), plan, span)
+    return bars.select("symbol", "time").join(run_plan(sourced(bars, source), plan, span), ["symbol", "time"], "left")
+
+
+def chained(bars: DataFrame, *names: tuple[str, dict[str, float], str], span: int = SPAN) -> DataFrame:
+    """Indicators of indicators: each (name, parameters, output) reads the output of the one before, the first the bars.
+
+    The rows are those of `bars` with the outputs of the last; samples that an indicator lacks are skipped by the next.
+    """
+    out, rows = None, bars
+    for k, (name, params, output) in enumerate(names):
+        out = indicator(rows, name, span, **params)
+        if k < len(names) - 1:
+            if output not in out.columns:
+                raise ValueError(f"{name} has no output {output}")
+            rows = sourced(out.join(bars.select("symbol", "time", "volume"), ["symbol", "time"]), F.col(output))
+    return bars.select("symbol", "time").join(out, ["symbol", "time"], "left")
 
 
 def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:

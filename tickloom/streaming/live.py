@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -77,22 +77,35 @@ def live_study(bars: DataFrame, study: Machine | Average) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(advance, f"symbol string, time long, {outs}, final boolean", "done string, pending string", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(folder: str):
+def upsert_into(folder: str, seconds: int = 86400):
     """A foreachBatch function that keeps the newest version of each (symbol, time) under `folder`.
 
-    Each batch writes a whole new generation beside the last one; a batch that is run again writes the same
-    generation again, so a retry changes nothing.
+    The table is partitioned by symbol and stretch of `seconds`, and a batch rewrites only the partitions it touches.
+    These are merged aside first and then put in place; the newest version wins however often a batch is run, so a
+    retry changes nothing, and a new checkpoint goes on with the table as it is.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = upserted(batch.limit(0), batch)
-        merged = upserted(spark.read.parquet(f"{folder}/generation={number - 1}"), fresh) if number else fresh
-        merged.write.mode("overwrite").parquet(f"{folder}/generation={number}")
+        part = [F.col("symbol").alias("_symbol"), F.floor(F.col("time") / seconds).alias("_stretch")]
+        fresh = upserted(batch.limit(0), batch).select("*", *part)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            touched = fresh.select("_symbol", "_stretch").distinct()
+            held = spark.read.parquet(str(path)).join(touched, ["_symbol", "_stretch"], "left_semi").select(*batch.columns)
+            fresh = upserted(held, batch.select(*held.columns)).select("*", *part)
+        fresh.write.mode("overwrite").parquet(f"{folder}/aside")
+        merged = spark.read.parquet(f"{folder}/aside")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_symbol", "_stretch").parquet(str(path))
 
     return run
 
 
+def held(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that `upsert_into` keeps."""
+    return spark.read.parquet(f"{folder}/table").drop("_symbol", "_stretch")
+
+
 def corrected(history: DataFrame, corrections: DataFrame, study, version: str = "version") -> DataFrame:
     """Study rows that a correction of past bars changes: of the symbols concerned, from the first corrected time on.
 
