@@ -225,6 +225,25 @@ def _on_word_bounds(text: np.ndarray, start: int, end: int) -> bool:
     return not any(chr(p).isalnum() for p in (*text[max(0, start - 1) : start].tolist(), *text[end : end + 1].tolist()) if p < 0x110000)
 
 
+def matches(text: str, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of each window of an item in the text, places being those of the normalised text."""
+    points = normalise(text)[0]
+    hashed = grams(points)
+    for w, diagonal, width in index.candidates(hashed) if len(hashed) else []:
+        window = index.windows[w]
+        # a match is counted in two bands that overlap, so one alone makes three widths at most
+        alone = width <= 4 * max(1, window.edits)
+        for edits, start, end in (verbatim(window.points, points, diagonal, width) if alone else []) or align(window.points, points, diagonal, width, window.edits):
+            if window.edits or _on_word_bounds(points, start, end):
+                for item in window.items:
+                    yield item, start, end, edits
+
+
+def is_leak(text: str | None, index: Index) -> bool:
+    """Whether the text holds a window of an item."""
+    return bool(text and index.windows) and next(matches(text, index), None) is not None
+
+
 def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
     """(item, start, end, edits) for each stretch of the text that holds windows of an item.
 
@@ -233,16 +252,10 @@ def leaks(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
     """
     if not text or not index.windows:
         return []
-    points, where = normalise(text)
-    hashed = grams(points)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for w, diagonal, width in index.candidates(hashed) if len(hashed) else []:
-        window = index.windows[w]
-        single = width == 2 * max(1, window.edits)
-        for edits, start, end in (verbatim(window.points, points, diagonal, width) if single else []) or align(window.points, points, diagonal, width, window.edits):
-            if window.edits or _on_word_bounds(points, start, end):
-                for item in window.items:
-                    found.setdefault(item, []).append((start, end, edits))
+    for item, *span in matches(text, index):
+        found.setdefault(item, []).append(tuple(span))
+    where = normalise(text)[1] if found else None
     out = []
     for item, spans in sorted(found.items()):
         spans.sort()
@@ -306,7 +319,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not leaks(t.as_py(), shared.value) for t in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([not is_leak(t.as_py(), shared.value) for t in batch.column("text")], pa.bool_()))
 
         out = in_arrow(out, run, out.schema)
     return out
