@@ -45,8 +45,8 @@ class Average:
     def machine(self) -> Machine:
         return Machine(self.outs, average, (self.x,), {"n": self.n, "start": self.start, "rate": self.rate})
 
-    def run(self, bars: pd.DataFrame) -> dict[str, list]:
-        return {self.out: seeded(bars[self.x].to_numpy(dtype=float, na_value=np.nan), self.n, self.start, self.rate)}
+    def run(self, bars: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {self.out: seeded_array(bars[self.x].to_numpy(dtype=float, na_value=np.nan), self.n, self.start, self.rate)}
 
 
 @dataclass(frozen=True)
@@ -99,31 +99,29 @@ Fold = Average | Linear | Machine
 
 
 def seeded(x: np.ndarray, n: int, start: str, rate: float) -> list[float | None]:
-    """A recursive average. Gaps (null, NaN, infinite) give null and, but for the strict kinds, no change.
+    """`seeded_array` with None for NaN."""
+    return [None if math.isnan(v) else v for v in seeded_array(x, n, start, rate).tolist()]
+
+
+def seeded_array(x: np.ndarray, n: int, start: str, rate: float) -> np.ndarray:
+    """A recursive average. Gaps (null, NaN, infinite) give NaN and, but for the strict kinds, no change.
 
     mean: null until n samples, whose mean is the first value. strict: the same, but the first n rows must
     all be there. fixed: strict, and a later gap ends the series (Wilder). partial, smooth: sum over n from
     the first sample on. grow: mean of the samples so far.
     """
-    out: list[float | None] = [None] * len(x)
-    ok = np.isfinite(x)
+    out, ok = np.full(len(x), np.nan), np.isfinite(x)
     if n <= 0 or (start in ("strict", "fixed") and (len(x) < n or not ok[:n].all())):
         return out
-    seen, total, y = 0, 0.0, 0.0
-    for i, (value, valid) in enumerate(zip(x.tolist(), ok.tolist(), strict=True)):
-        if not valid:
-            if start == "fixed":
-                break
-            continue
-        seen += 1
-        if seen <= n:
-            total += value
-            y = total / (seen if start == "grow" else n)
-            if seen < n and start in ("mean", "strict", "fixed"):
-                continue
-        else:
-            y += rate * (value - y)
-        out[i] = y
+    if start == "fixed" and not ok.all():
+        ok[np.argmin(ok) :] = False
+    at, samples = np.flatnonzero(ok), x[ok]
+    sums = np.cumsum(samples[:n])
+    if start in ("partial", "smooth", "grow"):
+        out[at[:n]] = sums / (np.arange(1, len(sums) + 1) if start == "grow" else n)
+    if len(samples) >= n:
+        # the recurrence runs in compiled code, from the mean of the first n on
+        out[at[n - 1 :]] = pd.Series(np.concatenate([[sums[-1] / n], samples[n:]])).ewm(alpha=rate, adjust=False).mean()
     return out
 
 
