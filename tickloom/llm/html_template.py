@@ -21,6 +21,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -57,7 +58,6 @@ NAMES = re.compile(
 )
 WEAK = re.compile(r"(?:^|[-_\s])(?:promo\w*|side|notices?|alert|share|sharing|social|related|recommend\w*|reply|respond|discussion|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SPACE = re.compile(r"\s+")
 
 
 #: How sure an element is furniture by itself: not, by a weak name, or surely.
@@ -86,6 +86,12 @@ def _id(*parts: object) -> int:
     return made - (1 << 64) if made >> 63 else made
 
 
+@lru_cache(1 << 16)
+def _child(role: int, step: str) -> int:
+    return _id(role, step)
+
+
+@lru_cache(1 << 14)
 def _named(tag: str, attributes: str) -> tuple[str, int]:
     """The element's step in a path, and how sure it is furniture by its tag, name, role or style."""
     step, hint = tag, SURE if tag in FURNITURE else PLAIN
@@ -122,7 +128,7 @@ def parse(page: str | None) -> tuple[list[Element], list[Block]]:
 
     def flush() -> None:
         nonlocal linked
-        whole = SPACE.sub(" ", "".join(text)).strip()
+        whole = " ".join("".join(text).split()) if text else ""
         if whole:
             blocks.append(Block(stack[-1][1] if stack else 0, whole, linked))
         text.clear()
@@ -131,7 +137,7 @@ def parse(page: str | None) -> tuple[list[Element], list[Block]]:
     def put(raw: str) -> None:
         nonlocal linked
         if raw and not (stack and stack[-1][2]):
-            made = html.unescape(raw)
+            made = html.unescape(raw) if "&" in raw else raw
             text.append(made)
             if links:
                 linked += len(made.strip())
@@ -188,7 +194,7 @@ def parse(page: str | None) -> tuple[list[Element], list[Block]]:
         above = elements[parent]
         if tag == "header" and not above.titled:
             hint = SURE  # an article's own header is part of it; one outside is the site's
-        elements.append(Element(_id(above.role, step), parent, hint, above.titled or tag in ("article", "main")))
+        elements.append(Element(_child(above.role, step), parent, hint, above.titled or tag in ("article", "main")))
         if tag in VOID:
             continue
         if tag in RAW:
