@@ -172,17 +172,11 @@ def volume_profile(levels: DataFrame, bars: DataFrame, share: float = 0.7) -> Da
     ticks = levels.groupBy("symbol", "tick", "price").agg(F.sum("bid_volume").alias("bid"), F.sum("ask_volume").alias("ask"))
     edges = ticks.groupBy("symbol").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
     near = last.join(edges, "symbol").select("symbol", F.greatest("lo", F.least("hi", "close")).alias("near"))
-    cells = ticks.join(near, "symbol").withColumn("total", F.col("bid") + F.col("ask"))
-    out = cells.groupBy("symbol").agg(
-        F.sum("bid").alias("bid_volume"),
-        F.sum("ask").alias("ask_volume"),
-        F.sum("total").alias("volume"),
-        F.count("*").alias("n_levels"),
-        F.max_by("price", poc_struct(F.col("total"), F.abs(F.col("price") - F.col("near")), F.col("price"))).alias("poc"),
-        F.array_sort(F.collect_list(F.struct("price", "total"))).alias("cells"),
-    )
-    area = value_area(F.col("cells"), "total", F.col("volume"), F.array_position(F.transform("cells", lambda c: c["price"]), F.col("poc")), share)
-    return out.withColumn("area", area).select("symbol", "bid_volume", "ask_volume", "volume", "n_levels", "poc", F.element_at("cells", F.col("area.lo").cast("int"))["price"].alias("va_low"), F.element_at("cells", F.col("area.hi").cast("int"))["price"].alias("va_high"))
+    from tickloom.operators.profiles import PROFILE, whole
+    from tickloom.ship import by_group
+
+    # a group has a row for each price level, however many trades there were
+    return by_group(ticks.join(near, "symbol").select("symbol", "price", "bid", "ask", "near"), ["symbol"], whole(share), PROFILE)
 
 
 def developing_profile(levels: DataFrame, bars: DataFrame, share: float = 0.7) -> DataFrame:
