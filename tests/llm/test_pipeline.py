@@ -53,3 +53,6 @@ def test_stages_take_empty_and_awkward_tables(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf_dir).columns == docs.columns
             stage(spark, docs, sf_dir).count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.columns == packing.PIECES.replace(" long", "").replace(" int", "").split(", ")[:5] + ["sequence_id", "offset"]
+        assert packed.where("piece = 0").count() == docs.count()

@@ -26,6 +26,24 @@ def test_statistics_match_brute_force():
         assert quality_rules.statistics(text.encode())[:5] == brute(text)
 
 
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    words = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM '{path}'),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+    dup AS (SELECT doc_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM l) WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    g AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS five FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3))) AS k FROM d)),
+    twice AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS m FROM g) WHERE m > 1),
+    rep AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM twice, (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)"""
+    want = {r[0]: tuple(map(int, r[1:])) for r in duckdb.sql(sql).fetchall()}
+    got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS[:5]) for r in quality_rules.text_statistics(spark.read.parquet(path)).collect()}
+    assert got == want
+
+
 def test_window_codes_do_not_overflow():
     words = [str(i).encode() for i in range(9000)] * 2
     assert quality_rules.repeated_words(words) == 18000

@@ -44,6 +44,64 @@ def test_presence_is_the_set_of_grams():
     assert len(langid.presence(text)) == sum(len({clean[i : i + n] for i in range(len(clean) - n + 1)}) for n in (1, 2, 3))
 
 
+def test_language_model_equals_brute_force():
+    import random
+
+    random.seed(3)
+    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "the cat sat on that mat".split()}
+    texts = [(lang, " ".join(random.choice(words[lang]) for _ in range(random.randint(3, 12)))) for lang in ("aa", "bb") * 9]
+    model = langid.fit([lang for lang, _ in texts], [langid.presence(t) for _, t in texts], landmarks=5)
+
+    def grams(text):
+        padded = f" {text} "
+        return {padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / math.sqrt(len(a) * len(b))
+
+    held = [grams(t) for _, t in texts]
+    marks = []
+    for lang in ("aa", "bb"):
+        own = [i for i, (x, _) in enumerate(texts) if x == lang]
+        marks += sorted(own, key=lambda i: (-min(len(held[i]), 100), i))[:5]
+    cross = np.array([[kernel(a, held[m]) for m in marks] for a in held])
+    assert np.allclose(model.kernel([langid.presence(t) for _, t in texts]), cross, atol=1e-6)
+    # one ridge regression against the rest, in the space that the landmarks span
+    values, vectors = np.linalg.eigh(np.array([[kernel(held[a], held[b]) for b in marks] for a in marks]))
+    use = values > 1e-6 * values[-1]
+    x = cross @ (vectors[:, use] / np.sqrt(values[use]))
+    for k, lang in enumerate(("aa", "bb")):
+        y = np.array([1.0 if of == lang else -1.0 for of, _ in texts])
+        flat = np.hstack([x, np.ones((len(x), 1))])
+        loss = np.diag([1e-2 * len(x) * 0.1] * x.shape[1] + [0.0])
+        w = np.linalg.solve(flat.T @ flat + loss, flat.T @ y)
+        assert np.allclose(flat @ w, cross @ model.weights[:, k] + model.bias[k], atol=1e-4)
+
+
+def test_letters_are_those_of_category_l():
+    import unicodedata
+
+    for text in ("² ½ x²", "Ⅷ ٣", "naïve Straße", "日本語 と ひ", "a_b1c"):
+        want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text).split()
+        assert langid.WORD.findall(text) == want
+
+
+def test_base_scores_equal_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path)
+    got = {r["doc_id"]: r for r in gru_lm.score(docs, hidden=4, classes=4, coverage=0.2, least=1, rounds=1).collect()}
+    train = ",".join(str(r["doc_id"]) for r in docs.select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10)
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""WITH t AS (SELECT doc_id, unnest(list_append(list_filter(string_split_regex({lower}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), '')) AS word FROM '{path}'),
+    c AS (SELECT word, count(*) AS n FROM t WHERE doc_id IN ({train}) GROUP BY word), s AS (SELECT sum(n) AS tokens, count(*) AS v FROM c)
+    SELECT doc_id, count(*) AS n_tokens, count(n) AS n_known, sum(log10((coalesce(n, 0) + 0.1) / (tokens + 0.1 * (v + 1)))) AS base FROM t LEFT JOIN c USING (word), s GROUP BY doc_id"""
+    for doc_id, n_tokens, n_known, base in duckdb.sql(sql).fetchall():
+        r = got[doc_id]
+        assert (r["n_tokens"], r["n_known"]) == (n_tokens, n_known) and math.isclose(r["base_score"], base, rel_tol=1e-9)
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "a"))
     assert rollup.totals().count() == 0
