@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, gru_lm, langid
+from tickloom.llm import bpe, collocations, gru_lm, langid
 from tickloom.llm.common import checkpointed, fold, shared_dir, table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.html_template import extract
@@ -93,10 +93,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases with the highest scores of each language in `documents`. See `collocations.collocations` for nulls and ties."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text of `documents` and the bytes they decode to, as digests. See `bpe.encode` for nulls."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op6_lm_scoring, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash, op12_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op6_lm_scoring, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash, op11_collocations, op12_bpe)}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": collocations.SQL}
