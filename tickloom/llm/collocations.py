@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed, join_by_key
+from tickloom.llm.common import checkpointed, join_by_key, slices
 from tickloom.ship import in_arrow
 
 #: A-Z to a-z, the ends of pieces to a line feed, tab to space.
@@ -45,15 +45,6 @@ class Numbers(dict):
         return number
 
 
-def slices(data: bytes, size: int) -> Iterator[bytes]:
-    """The data in parts of about `size`, cut at spaces and line feeds only."""
-    at = 0
-    while at < len(data):
-        ends = [e for e in (data.find(b" ", at + size), data.find(b"\n", at + size)) if e >= 0]
-        yield data[at : (end := min(ends, default=len(data)))]
-        at = end
-
-
 def numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """The word numbers of translated texts, an END after each piece, and the words by number."""
     known = Numbers()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, collocations, gru_lm, langid
+from tickloom.llm import bpe, collocations, gru_lm, langid, lexical
 from tickloom.llm.common import checkpointed, fold, shared_dir, table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.html_template import extract
@@ -103,5 +103,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op6_lm_scoring, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash, op11_collocations, op12_bpe)}
-ORACLE_SQL: dict[str, str] = {"op11_collocations": collocations.SQL}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of all `documents` for every item of `benchmark`. See `lexical.ranked` for nulls, ties and repeated rows."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_token_counts, op4_line_crf, op5_packing, op6_lm_scoring, op7_url_filters, op8_html_extraction, op9_decontamination, op10_simhash, op11_collocations, op12_bpe, op13_lexical_search)}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": collocations.SQL, "op13_lexical_search": lexical.SQL}
