@@ -9,7 +9,7 @@ import tiktoken
 from helpers import awkward, documents, rows
 
 from tickloom.llm import bpe
-from tickloom.llm.tokens import Vocabulary
+from tickloom.llm.tokens import Vocabulary, encoder
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,5 @@ def test_two_vocabularies_of_one_name(spark):
     letters = Vocabulary(whole.name, b"\n".join(whole.lines.splitlines()[:256]), whole.pattern)
     docs = documents(spark, ["the same words"])
     assert [rows(bpe.round_trip(docs, v))[0]["n_tokens"] for v in (whole, letters)] == [3, 14]
+    # in one process: the counts booked under a version are that version's
+    assert [len(encoder(v).encode("the same words")) // 4 for v in (whole, letters)] == [3, 14]

@@ -53,7 +53,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
-    """One encoder for each vocabulary in each worker process."""
-    if vocabulary.name not in _encoders:
-        _encoders[vocabulary.name] = Encoder(vocabulary)
-    return _encoders[vocabulary.name]
+    """One encoder for each version of a vocabulary in each worker process."""
+    version = vocabulary.version
+    if version not in _encoders:
+        _encoders[version] = Encoder(vocabulary)
+    return _encoders[version]
