@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.folds import Linear, fold, scan_linear
+from tickloom.operators.folds import Linear, fold
+from tickloom.operators.stretches import folded, long_symbols, numbered
 from tickloom.sources import tables
 
 
@@ -24,6 +25,7 @@ def test_two_pass_scan_equals_the_fold(spark):
     rows = [(s, t, float(rng.uniform(0.5, 1.0)) if t % 17 else None, float(rng.normal())) for s in ("x", "y") for t in range(200)]
     df = spark.createDataFrame(rows, "symbol string, time long, a double, b double")
     want = {(r["symbol"], r["time"]): r["y"] for r in fold(df, [Linear("y", "a", "b")]).collect()}
-    got = {(r["symbol"], r["time"]): r["y"] for r in scan_linear(df, "a", "b", "y", 30).collect()}
+    got = {(r["symbol"], r["time"]): r["y"] for r in folded(numbered(df, long_symbols(df, 30), 30), [Linear("y", "a", "b")]).collect()}
     assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v)) for k, v in want.items())
-    assert scan_linear(df.where(F.lit(False)), "a", "b", "y", 30).count() == 0
+    none = df.where(F.lit(False))
+    assert folded(numbered(none, long_symbols(none, 30), 30), [Linear("y", "a", "b")]).count() == 0

@@ -1,24 +1,32 @@
 """Recursive averages and state machines along a series.
 
 A fold needs every earlier bar of its symbol, so symbols are grouped and each is read in time order; all
-folds of a step share one pass and one shuffle. Linear recurrences, and so every seeded average, also have a
-two-pass form, `scan_linear`, for series that are too long for one task.
+folds of a step share one pass and one shuffle. A group comes as a stream of Arrow batches and each fold hands its
+state from one to the next, so memory does not grow with a symbol. `resume` runs a fold over some rows from the state
+that the rows before have left; batches, stretches of long symbols and live series all use it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.operators.machines import average
-from tickloom.ship import by_group
+from tickloom.ship import by_group_in_arrow
+
+#: Plain values that a fold keeps between rows.
+State = dict
+#: A fold's inputs by name; gaps are NaN.
+Columns = dict[str, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -45,8 +53,12 @@ class Average:
     def machine(self) -> Machine:
         return Machine(self.outs, average, (self.x,), {"n": self.n, "start": self.start, "rate": self.rate})
 
-    def run(self, bars: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {self.out: seeded_array(bars[self.x].to_numpy(dtype=float, na_value=np.nan), self.n, self.start, self.rate)}
+    @property
+    def reads(self) -> tuple[str, ...]:
+        return (self.x,)
+
+    def resume(self, state: State, columns: Columns) -> dict[str, np.ndarray]:
+        return {self.out: averaged(state, columns[self.x], self.n, self.start, self.rate)}
 
 
 @dataclass(frozen=True)
@@ -64,15 +76,19 @@ class Linear:
     def renamed(self, names: dict[str, str]) -> Linear:
         return Linear(*(names.get(x, x) for x in (self.out, self.a, self.b)))
 
-    def run(self, bars: pd.DataFrame) -> dict[str, list]:
-        y, out = 0.0, []
-        for a, b in zip(bars[self.a].astype(float).tolist(), bars[self.b].astype(float).tolist(), strict=True):
-            if math.isfinite(a) and math.isfinite(b):
-                y = a * y + b
-                out.append(y)
-            else:
-                out.append(None)
-        return {self.out: out}
+    @property
+    def reads(self) -> tuple[str, ...]:
+        return (self.a, self.b)
+
+    def resume(self, state: State, columns: Columns) -> dict[str, np.ndarray]:
+        y, rows = state.get("y", 0.0), np.full(len(columns[self.a]), np.nan)
+        ok = np.isfinite(columns[self.a]) & np.isfinite(columns[self.b])
+        made = []
+        for a, b in zip(columns[self.a][ok].tolist(), columns[self.b][ok].tolist(), strict=True):
+            y = a * y + b
+            made.append(y)
+        rows[ok], state["y"] = made, y
+        return {self.out: rows}
 
 
 @dataclass(frozen=True)
@@ -88,93 +104,83 @@ class Machine:
     def renamed(self, names: dict[str, str]) -> Machine:
         return Machine({names.get(k, k): v for k, v in self.outs.items()}, self.advance, tuple(names.get(c, c) for c in self.reads), self.params)
 
-    def run(self, bars: pd.DataFrame) -> dict[str, list]:
-        columns = [[None if pd.isna(v) or not math.isfinite(v) else float(v) for v in bars[c]] for c in self.reads]
-        state: dict = {}
-        rows = [self.advance(state, *values, **self.params) or (None,) * len(self.outs) for values in zip(*columns, strict=True)]
+    def resume(self, state: State, columns: Columns) -> dict[str, list]:
+        inputs = ([None if not math.isfinite(v) else v for v in columns[c].tolist()] for c in self.reads)
+        rows = [self.advance(state, *values, **self.params) or (None,) * len(self.outs) for values in zip(*inputs, strict=True)]
         return {name: [r[k] for r in rows] for k, name in enumerate(self.outs)}
 
 
 Fold = Average | Linear | Machine
 
 
-def seeded(x: np.ndarray, n: int, start: str, rate: float) -> list[float | None]:
-    """`seeded_array` with None for NaN."""
-    return [None if math.isnan(v) else v for v in seeded_array(x, n, start, rate).tolist()]
-
-
-def seeded_array(x: np.ndarray, n: int, start: str, rate: float) -> np.ndarray:
+def averaged(state: State, x: np.ndarray, n: int, start: str, rate: float) -> np.ndarray:
     """A recursive average. Gaps (null, NaN, infinite) give NaN and, but for the strict kinds, no change.
 
     mean: null until n samples, whose mean is the first value. strict: the same, but the first n rows must
     all be there. fixed: strict, and a later gap ends the series (Wilder). partial, smooth: sum over n from
     the first sample on. grow: mean of the samples so far.
     """
-    out, ok = np.full(len(x), np.nan), np.isfinite(x)
-    if n <= 0 or (start in ("strict", "fixed") and (len(x) < n or not ok[:n].all())):
+    out, ok, seen = np.full(len(x), np.nan), np.isfinite(x), state.get("seen", 0)
+    if n <= 0 or state.get("dead"):
         return out
-    if start == "fixed" and not ok.all():
-        ok[np.argmin(ok) :] = False
+    if start in ("strict", "fixed") and not ok.all():
+        gap = int(np.argmin(ok))
+        if start == "fixed" or seen + gap < n:
+            state["dead"], ok[gap:] = True, False
     at, samples = np.flatnonzero(ok), x[ok]
-    sums = np.cumsum(samples[:n])
-    if start in ("partial", "smooth", "grow"):
-        out[at[:n]] = sums / (np.arange(1, len(sums) + 1) if start == "grow" else n)
-    if len(samples) >= n:
-        # the recurrence runs in compiled code, from the mean of the first n on
-        out[at[n - 1 :]] = pd.Series(np.concatenate([[sums[-1] / n], samples[n:]])).ewm(alpha=rate, adjust=False).mean()
+    seeds = min(max(0, n - seen), len(samples))
+    if seeds:
+        sums = state.get("total", 0.0) + np.cumsum(samples[:seeds])
+        means = sums / (seen + np.arange(1, seeds + 1) if start == "grow" else n)
+        state["total"], state["y"] = float(sums[-1]), float(means[-1])
+        if start in ("partial", "smooth", "grow"):
+            out[at[:seeds]] = means
+        elif seen + seeds == n:
+            out[at[seeds - 1]] = means[-1]
+    if len(samples) > seeds:
+        # the recurrence runs in compiled code
+        out[at[seeds:]] = pd.Series(np.concatenate([[state["y"]], samples[seeds:]])).ewm(alpha=rate, adjust=False).mean()[1:]
+        state["y"] = float(out[at[-1]])
+    state["seen"] = seen + len(samples)
     return out
 
 
-def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
-    """The rows of df (symbol, time, ...) with the outputs of all folds, one shuffle by symbol."""
-    schema = T.StructType(list(df.schema.fields))
-    for f in folds:
-        for name, kind in f.outs.items():
-            schema = schema.add(name, T.DataType.fromDDL(kind))
+def seeded(x: np.ndarray, n: int, start: str, rate: float) -> list[float | None]:
+    """A whole series' `averaged` with None for NaN."""
+    return [None if math.isnan(v) else v for v in averaged({}, x, n, start, rate).tolist()]
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("time", kind="stable").reset_index(drop=True)
-        for f in folds:
-            for name, values in f.run(bars).items():
-                bars[name] = pd.Series(values, dtype="float64" if f.outs[name] == "double" else "object")
-        return bars[schema.names]
 
-    return by_group(df, ["symbol"], run, schema)
+def inputs(batch: pa.RecordBatch, folds: list[Fold]) -> Columns:
+    """The columns that folds read, gaps as NaN."""
+    return {c: batch.column(c).cast(pa.float64()).fill_null(math.nan).to_numpy() for f in folds for c in f.reads}
 
 
-def scan_linear(df: DataFrame, a: str, b: str, out: str, span: int) -> DataFrame:
-    """`Linear` in two passes, for series too long for one task: the rows of df with the column `out`.
+def made(values: np.ndarray | list, kind: pa.DataType) -> pa.Array:
+    """A fold's output as a column, NaN as null."""
+    return pa.array(values, kind, mask=np.isnan(values)) if isinstance(values, np.ndarray) else pa.array(values, kind)
 
-    Each stretch of `span` units of time is first reduced to the one step it makes as a whole, the stretches
-    of a symbol are then chained, a few rows each, and last every stretch runs from the value it starts at.
-    """
-    parts = df.withColumn("_part", F.floor(F.col("time") / span).cast("long"))
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rate, add = 1.0, 0.0
-        for x, y in zip(*_pairs(rows, a, b), strict=True):
-            if math.isfinite(x) and math.isfinite(y):
-                rate, add = rate * x, x * add + y
-        return pd.DataFrame({"symbol": [rows["symbol"].iloc[0]], "time": [rows["_part"].iloc[0]], "_a": [rate], "_b": [add]})
-
-    steps = by_group(parts.select("symbol", "time", "_part", a, b), ["symbol", "_part"], whole, "symbol string, time long, _a double, _b double")
-    ends = fold(steps, [Linear("_end", "_a", "_b")])
-    start = F.coalesce(F.lag("_end").over(Window.partitionBy("symbol").orderBy("time")), F.lit(0.0)).alias("_start")
-    begun = parts.join(ends.select("symbol", F.col("time").alias("_part"), start), ["symbol", "_part"])
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("time", kind="stable")
-        y, made = float(rows["_start"].iloc[0]), []
-        for x, add in zip(*_pairs(rows, a, b), strict=True):
-            known = math.isfinite(x) and math.isfinite(add)
-            y = x * y + add if known else y
-            made.append(y if known else None)
-        return rows.assign(**{out: pd.Series(made, index=rows.index, dtype="float64")})[schema.names]
-
-    return by_group(begun, ["symbol", "_part"], run, schema)
-
-
-def _pairs(rows: pd.DataFrame, a: str, b: str) -> tuple[list[float], list[float]]:
-    rows = rows.sort_values("time", kind="stable")
-    return rows[a].astype(float).tolist(), rows[b].astype(float).tolist()
+
+def with_outputs(schema: T.StructType, folds: list[Fold]) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for f in folds for name, kind in f.outs.items())])
+
+
+def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
+    """The rows of df (symbol, time, ...) with the outputs of all folds, one shuffle by symbol."""
+    schema = with_outputs(df.schema, folds)
+    kinds = {name: to_arrow_type(schema[name].dataType) for f in folds for name in f.outs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: list[State] = [{} for _ in folds]
+        at = 0
+        for batch in batches:
+            order = batch.column("_order").to_numpy()
+            at += len(order)
+            if len(order) and (order[-1] != at or order[0] != at + 1 - len(order)):
+                raise RuntimeError("the rows of a symbol are not in order")
+            columns = inputs(batch, folds)
+            outs = {name: made(values, kinds[name]) for f, state in zip(folds, states, strict=True) for name, values in f.resume(state, columns).items()}
+            yield pa.RecordBatch.from_arrays([outs[c] if c in outs else batch.column(c) for c in schema.names], names=schema.names)
+
+    # the numbers make Spark sort the rows of a symbol by time, and show that it has
+    ordered = df.withColumn("_order", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY time)"))
+    return by_group_in_arrow(ordered, ["symbol"], run, schema)

@@ -83,6 +83,8 @@ TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('
 #: True range whose first value is the first bar's own range.
 FULL_RANGE = f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE {TRUE_RANGE} END"
 CHANGE = f"close - {lag('close')}"
+#: Rows that have the flag `ok` alike: windows by it pass over gaps.
+DENSE = "symbol, ok"
 #: Whether a bar has its prices.
 PRICED = "high + low + close IS NOT NULL"
 
@@ -458,7 +460,8 @@ def _(roc1Length, roc2Length, roc3Length, roc4Length, sma1Length, sma2Length, sm
             {f"r{k}": ratio(f"100 * (close - {lag('close', n)})", lag("close", n)) for k, n in enumerate(rocs)},
             {f"m{k}": mean(f"r{k}", n) for k, n in enumerate(smas)},
             {"kst": "m0 + 2 * m1 + 3 * m2 + 4 * m3"},
-            {"signal": mean("kst", signalLength)},
+            {"ok": "kst IS NOT NULL"},
+            {"signal": mean("kst", signalLength, DENSE)},
         ],
         {"kst": "kst", "signal": "signal"},
     )
@@ -885,7 +888,7 @@ def _(length: int, multiplier: float) -> Plan:
 @indicator("KlingerVolumeOscillator", "kvo", shortPeriod=34, longPeriod=55)
 def _(shortPeriod: int, longPeriod: int) -> Plan:
     return Plan(
-        [{"tp": TYPICAL}, {"x": f"CASE WHEN tp > coalesce({lag('tp')}, 0) THEN volume ELSE -volume END"}, [ema("shortEma", "x", shortPeriod), ema("longEma", "x", longPeriod)], {"oscillator": "shortEma - longEma"}],
+        [{"tp": f"CASE WHEN volume IS NOT NULL THEN {TYPICAL} END"}, {"p": prior("tp")}, {"x": "CASE WHEN tp > coalesce(p, 0) THEN volume WHEN tp IS NOT NULL THEN -volume END"}, [ema("shortEma", "x", shortPeriod), ema("longEma", "x", longPeriod)], {"oscillator": "shortEma - longEma"}],
         {x: x for x in ("shortEma", "longEma", "oscillator")},
     )
 
@@ -944,7 +947,13 @@ def _(firstLength: int, secondLength: int, signalLength: int) -> Plan:
 
 @indicator("TwiggsMoneyFlow", "tmf", length=21)
 def _(length: int) -> Plan:
-    return one(f"nullif({ratio('a', 'b')}, 0)", {"x": f"CASE WHEN high <> low THEN volume * (2 * {TYPICAL} - high - low) / nullif(high - low, 0) END"}, {"y": (f"coalesce(last_value(x) IGNORE NULLS OVER {RUNNING}, 0.0)", f"coalesce(last_value(x IGNORE NULLS) OVER {RUNNING}, 0.0)")}, [ema("a", "y", length), ema("b", "volume", length)])
+    # a bar without a range repeats the last flow, a bar with a gap is passed over
+    return one(
+        f"nullif({ratio('a', 'b')}, 0)",
+        {"x": f"CASE WHEN high <> low THEN volume * (2 * {TYPICAL} - high - low) / nullif(high - low, 0) END", "v": f"CASE WHEN {PRICED} THEN volume END"},
+        {"y": f"CASE WHEN v IS NOT NULL THEN coalesce(last_value(x) IGNORE NULLS OVER {RUNNING}, 0.0) END"},
+        [ema("a", "y", length), ema("b", "v", length)],
+    )
 
 
 @indicator("WaveTrendOscillator", "wto", "wavetrend", esaPeriod=10, dPeriod=14, averagePeriod=3)
@@ -980,8 +989,10 @@ def _(length: int, fastSc: int, slowSc: int) -> Plan:
     return Plan(
         [
             {"x": f"abs({CHANGE})"},
-            {"e": f"coalesce(abs(close - {lag('close', length)}) / nullif({total('x', length)}, 0), 0.00001)"},
-            {"k": f"CASE WHEN i = {length} THEN 1.0 WHEN i > {length} THEN power(greatest(e, 0.00001) * {fast - slow!r} + {slow!r}, 2) END"},
+            {"v": total("x", length)},
+            # a gap among the first closes and there is no value at all
+            {"e": f"coalesce(abs(close - {lag('close', length)}) / nullif(v, 0), 0.0)", "begun": f"max(CASE WHEN i = {length} AND v IS NOT NULL THEN 1 ELSE 0 END) OVER {RUNNING}"},
+            {"k": f"CASE WHEN begun = 0 OR v IS NULL THEN NULL WHEN i = {length} THEN 1.0 ELSE power(e * {fast - slow!r} + {slow!r}, 2) END"},
             *linear("value", "k", "close"),
         ],
         {"value": "value"},
@@ -998,9 +1009,10 @@ def _(length: int) -> Plan:
 def _(length: int) -> Plan:
     return Plan(
         [
-            {"u": rise(f"({CHANGE})"), "d": rise(f"({lag('close')} - close)")},
-            {"a": total("u", length), "b": total("d", length), "m": mean("close", length)},
-            {"k": f"CASE WHEN i = {2 * length - 1} THEN 1.0 WHEN i >= {2 * length} THEN coalesce({2 / (length + 1)!r} * abs((a - b) / nullif(a + b, 0)), 0.0) END", "x": f"CASE WHEN i = {2 * length - 1} THEN m ELSE close END"},
+            {"ok": "close IS NOT NULL", "j": running("CASE WHEN close IS NOT NULL THEN 1 ELSE 0 END")},
+            {"u": rise(f"(close - {lag('close', 1, DENSE)})"), "d": rise(f"({lag('close', 1, DENSE)} - close)")},
+            {"a": total("u", length, DENSE), "b": total("d", length, DENSE), "m": mean("close", length, DENSE)},
+            {"k": f"CASE WHEN NOT ok THEN NULL WHEN j = {2 * length} THEN 1.0 WHEN j > {2 * length} THEN coalesce({2 / (length + 1)!r} * abs((a - b) / nullif(a + b, 0)), 0.0) END", "x": f"CASE WHEN j = {2 * length} THEN m ELSE close END"},
             *linear("value", "k", "x"),
         ],
         {"value": "value"},
@@ -1030,7 +1042,16 @@ def _(length: int, phase: int) -> Plan:
 
 
 def _compounding(sign: str) -> Plan:
-    return Plan([{"a": f"CASE WHEN i = 0 THEN 0.0 WHEN volume {sign} {lag('volume')} THEN coalesce(close / nullif({lag('close')}, 0), 1.0) ELSE 1.0 END", "b": "CASE WHEN i = 0 THEN 1000.0 ELSE 0.0 END"}, [Linear("value", "a", "b")]], {"value": "value"})
+    """1000 times the changes of the close over the bars whose volume compares so with that of the last whole bar; a zero there is none."""
+    return Plan(
+        [
+            {"c": "CASE WHEN volume IS NOT NULL THEN close END", "v": "CASE WHEN close IS NOT NULL THEN volume END"},
+            {"p": prior("c"), "q": prior("v")},
+            {"a": f"CASE WHEN i = 0 THEN 0.0 WHEN p <> 0 AND q <> 0 AND v <> 0 AND v {sign} q THEN c / nullif(p, 0) ELSE 1.0 END", "b": "CASE WHEN i = 0 THEN 1000.0 ELSE 0.0 END"},
+            [Linear("value", "a", "b")],
+        ],
+        {"value": "value"},
+    )
 
 
 @indicator("NegativeVolumeIndex", "nvi")
@@ -1106,7 +1127,21 @@ def _(atrLength: int, shortPeriod: int, longPeriod: int) -> Plan:
 
 @indicator("MassIndex", length=25, emaLength=9)
 def _(length: int, emaLength: int) -> Plan:
-    return one(total("r", length), {"x": "high - low"}, [ema("a", "x", emaLength, "partial")], [ema("b", "a", emaLength, "partial")], {"r": f"CASE WHEN i >= {emaLength - 1} THEN {ratio('a', 'b')} END"})
+    # both averages begin anew after a gap; the last ratios there are go on over it
+    rate = 2 / (emaLength + 1)
+    step = lambda out, x: [{f"{out}_a": f"CASE WHEN k = 1 THEN 0.0 WHEN k <= {emaLength} THEN 1.0 ELSE {1 - rate!r} END", f"{out}_b": f"{x} * CASE WHEN k <= {emaLength} THEN {1 / emaLength!r} ELSE {rate!r} END"}, [Linear(out, f"{out}_a", f"{out}_b")]]
+    return one(
+        f"last_value(t) IGNORE NULLS OVER {RUNNING}",
+        {"x": "high - low"},
+        {"gap": "CASE WHEN x IS NULL THEN i END"},
+        {"last_gap": f"last_value(gap) IGNORE NULLS OVER {RUNNING}"},
+        {"k": "i - coalesce(last_gap, -1)"},
+        *step("a", "x"),
+        *step("b", "a"),
+        {"r": f"CASE WHEN k >= {emaLength} THEN {ratio('a', 'b')} END"},
+        {"ok": "r IS NOT NULL"},
+        {"t": total("r", length, DENSE)},
+    )
 
 
 @indicator("MarketMeannessIndex", "mmi", length=200)
@@ -1125,7 +1160,12 @@ def _(length: int) -> Plan:
 @indicator("PsychologicalLine", "psy", length=20)
 def _(length: int) -> Plan:
     # on eviction the oldest price is held against the newest in the window
-    return one(f"CASE WHEN i >= {length - 1} THEN {running('x')} / {length} END", {"x": f"CASE WHEN close > {lag('close')} THEN 1.0 ELSE 0.0 END - CASE WHEN i >= {length} AND {lag('close', length)} < {lag('close')} THEN 1.0 ELSE 0.0 END"})
+    before, oldest = lag("close", 1, DENSE), lag("close", length, DENSE)
+    return one(
+        f"CASE WHEN ok AND j >= {length} THEN {running('x')} / {length} END",
+        {"ok": "close IS NOT NULL", "j": running("CASE WHEN close IS NOT NULL THEN 1 ELSE 0 END")},
+        {"x": f"CASE WHEN ok THEN CASE WHEN close > {before} THEN 1e0 ELSE 0e0 END - CASE WHEN {oldest} < {before} THEN 1e0 ELSE 0e0 END END"},
+    )
 
 
 def _gain(x: str, sign: int = 1) -> str:
@@ -1176,8 +1216,9 @@ def _(rsiLength: int, streakLength: int, rocLength: int) -> Plan:
         [
             {"d": f"coalesce(sign({CHANGE}), 1)"},
             {"turn": f"CASE WHEN i = 0 OR d = {lag('d')} THEN 0 ELSE 1 END"},
-            {"island": running("turn")},
-            {"streak": "d * row_number() OVER (PARTITION BY symbol, island ORDER BY time)", "roc": ratio(f"100 * (close - {old})", old)},
+            {"kept": "CASE WHEN i = 0 OR turn = 1 THEN 0.0 ELSE 1.0 END", "step": "1.0"},
+            [Linear("same", "kept", "step")],
+            {"streak": "d * same", "roc": ratio(f"100 * (close - {old})", old)},
             *_rsi_steps("r1", "close", rsiLength),
             *_rsi_steps("r2", "streak", streakLength),
             *_rsi_steps("r3", "roc", rocLength),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tickloom.operators.folds import Average, Linear
 from tickloom.operators.indicators import Plan
 from tickloom.operators.windows import RUNNING
-from tickloom.plans.run import text_of
+from tickloom.plans.stages import text_of
 
 
 def _average(a: Average, source: str) -> str:

@@ -10,64 +10,36 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import lifted
 from tickloom.operators.folds import fold
 from tickloom.operators.indicators import Plan, find
-from tickloom.operators.stretches import bounded, folded, long_symbols, lookback, numbered
+from tickloom.operators.stretches import SPAN, numbered, run_stages
+from tickloom.plans import stages
+from tickloom.plans.stages import staged, text_of
 
 BARS = ["symbol", "time", "open", "high", "low", "close", "volume"]
 
 
-#: Rows of a symbol beyond which it is spread over stretches of so many.
-SPAN = 2_000_000
-
-
 def clean(bars: DataFrame) -> DataFrame:
     """Bars with NaN and infinite numbers as nulls."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in BARS[2:]}
     return bars.select("symbol", "time", *(F.col(c).cast("double").alias(c) for c in BARS[2:])).withColumns(finite)
 
 
-def indexed(bars: DataFrame, texts: list[str]) -> DataFrame:
-    """`i`, the number of the row within its symbol, where the texts use it."""
-    return bars.withColumn("i", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY time) - 1")) if any(re.search(r"\bi\b", t) for t in texts) else bars
-
-
-def text_of(item: str | tuple[str, str], dialect: int) -> str:
-    """The text for Spark (0) or DuckDB (1), which puts IGNORE NULLS inside."""
-    text = item if isinstance(item, str) else item[dialect]
-    return re.sub(r"last_value\((\w+)\) IGNORE NULLS", r"last_value(\1 IGNORE NULLS)", text) if dialect else text
+def run_plan(bars: DataFrame, plan: Plan, long: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """symbol, time and the plan's outputs, one row a bar. Building the plan starts no job.
 
-
-def run_plan(bars: DataFrame, plan: Plan, span: int = SPAN) -> DataFrame:
-    """symbol, time and the plan's outputs, one row a bar.
-
-    All steps share one partitioning by symbol, unless a symbol has more than `span` rows; see `stretches`.
+    All steps share one partitioning by symbol. With `long` (see `stretches.long_symbols`) the symbols in it are spread
+    over stretches of `span` rows; plans with several folds or running totals are then written in between.
     """
     rows = clean(bars)
-    long = long_symbols(rows, span)
-    if long.isEmpty():
-        out = indexed(rows, [text_of(v, 0) for step in plan.steps if isinstance(step, dict) for v in step.values()])
+    if long is not None:
+        out = run_stages(numbered(rows, long, span), staged(plan), span)
+    else:
+        texts = [text_of(v, 0) for step in plan.steps if isinstance(step, dict) for v in step.values()]
+        out = rows.withColumn("i", F.expr(stages.aggregate("row"))) if stages.numbered(texts) else rows
         for step in plan.steps:
             out = out.withColumns({k: F.expr(text_of(v, 0)) for k, v in step.items()}) if isinstance(step, dict) else fold(out, step)
-    else:
-        out = _in_stretches(numbered(rows, long, span), plan, span)
     return out.select("symbol", "time", *(F.col(v).alias(k) for k, v in plan.outputs.items()))
 
 
-def _in_stretches(out: DataFrame, plan: Plan, span: int) -> DataFrame:
-    steps = [{k: text_of(v, 0) for k, v in step.items()} if isinstance(step, dict) else step for step in plan.steps]
-    while steps:
-        held, back = [], 0
-        while steps and isinstance(steps[0], dict) and (more := lookback(list(steps[0].values()))) is not None:
-            held.append(steps.pop(0))
-            back += more
-        if held:
-            out = bounded(out, held, back, span)
-        elif isinstance(steps[0], dict):
-            out = out.withColumns({k: F.expr(v) for k, v in steps.pop(0).items()})
-        else:
-            out = folded(out, steps.pop(0))
-    return out
-
-
 def sourced(bars: DataFrame, value: Column) -> DataFrame:
     """Bars that have `value` for all four prices; rows where it is missing are left out, not gaps."""
     number = value.cast("double")
@@ -75,28 +47,28 @@ def sourced(bars: DataFrame, value: Column) -> DataFrame:
     return rows.select("symbol", "time", *(F.col("_value").alias(c) for c in BARS[2:6]), "volume")
 
 
-def indicator(bars: DataFrame, name: str, span: int = SPAN, source: str | Column | None = None, **params: float) -> DataFrame:
+def indicator(bars: DataFrame, name: str, source: str | Column | None = None, long: DataFrame | None = None, span: int = SPAN, **params: float) -> DataFrame:
     """An indicator of the catalogue by name or alias, over bars keyed by symbol and time.
 
     With a `source` it reads that in place of prices: the name of a field (open, high, low, close, hl2, hlc3, ohlc4,
-    volume), or a column of numbers, whose missing values are skipped and have nulls.
+    volume), or a column of numbers, whose missing values are skipped and have nulls. `long` and `span`: see `run_plan`.
     """
     plan = find(name).plan(**params)
     if source is None:
-        return run_plan(bars, plan, span)
+        return run_plan(bars, plan, long, span)
     if isinstance(source, str):
-        return run_plan(lifted(bars, source), plan, span)
-    return bars.select("symbol", "time").join(run_plan(sourced(bars, source), plan, span), ["symbol", "time"], "left")
+        return run_plan(lifted(bars, source), plan, long, span)
+    return bars.select("symbol", "time").join(run_plan(sourced(bars, source), plan, long, span), ["symbol", "time"], "left")
 
 
-def chained(bars: DataFrame, *names: tuple[str, dict[str, float], str], span: int = SPAN) -> DataFrame:
+def chained(bars: DataFrame, *names: tuple[str, dict[str, float], str], long: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """Indicators of indicators: each (name, parameters, output) reads the output of the one before, the first the bars.
 
     The rows are those of `bars` with the outputs of the last; samples that an indicator lacks are skipped by the next.
     """
     out, rows = None, bars
     for k, (name, params, output) in enumerate(names):
-        out = indicator(rows, name, span, **params)
+        out = indicator(rows, name, long=long, span=span, **params)
         if k < len(names) - 1:
             if output not in out.columns:
                 raise ValueError(f"{name} has no output {output}")
@@ -104,33 +76,37 @@ def chained(bars: DataFrame, *names: tuple[str, dict[str, float], str], span: in
     return bars.select("symbol", "time").join(out, ["symbol", "time"], "left")
 
 
-def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:
-    """Several indicators as columns `prefix_output` of one table: one sort, and one pass for each round of folds."""
+def combined(asked: dict[str, tuple[str, dict[str, float]]]) -> Plan:
+    """Several indicators as one plan with outputs `prefix_output`: their steps go side by side, folds meet in shared passes."""
     plans = {prefix: find(name).plan(**params) for prefix, (name, params) in asked.items()}
-    out = indexed(clean(bars), [text_of(v, 0) for plan in plans.values() for step in plan.steps if isinstance(step, dict) for v in step.values()])
     made: dict[str, dict[str, str]] = {prefix: {} for prefix in plans}
     left = {prefix: list(plan.steps) for prefix, plan in plans.items()}
+    steps: list = []
     while any(left.values()):
         # every plan goes on to its next folds, and these share one pass
-        folds = []
-        while any(steps and isinstance(steps[0], dict) for steps in left.values()):
+        while any(own and isinstance(own[0], dict) for own in left.values()):
             columns = {}
-            for prefix, steps in left.items():
-                if steps and isinstance(steps[0], dict):
-                    step = steps.pop(0)
-                    columns |= {f"{prefix}__{x}": F.expr(_renamed(text_of(v, 0), made[prefix])) for x, v in step.items()}
+            for prefix, own in left.items():
+                if own and isinstance(own[0], dict):
+                    step = own.pop(0)
+                    columns |= {f"{prefix}__{x}": _renamed(text_of(v, 0), made[prefix]) for x, v in step.items()}
                     made[prefix] |= {x: f"{prefix}__{x}" for x in step}
-            out = out.withColumns(columns)
-        for prefix, steps in left.items():
-            if steps:
-                step = steps.pop(0)
+            steps.append(columns)
+        folds = []
+        for prefix, own in left.items():
+            if own:
+                step = own.pop(0)
                 outs = {x: f"{prefix}__{x}" for f in step for x in f.outs}
                 folds += [f.renamed({**made[prefix], **outs}) for f in step]
                 made[prefix] |= outs
         if folds:
-            out = fold(out, folds)
-    outputs = {f"{prefix}_{x}": _renamed(v, made[prefix]) for prefix, plan in plans.items() for x, v in plan.outputs.items()}
-    return out.select("symbol", "time", *(F.col(v).alias(k) for k, v in outputs.items()))
+            steps.append(folds)
+    return Plan(steps, {f"{prefix}_{x}": _renamed(v, made[prefix]) for prefix, plan in plans.items() for x, v in plan.outputs.items()})
+
+
+def indicators(bars: DataFrame, asked: dict[str, tuple[str, dict[str, float]]], long: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+    """Several indicators as columns `prefix_output` of one table: one sort, and one pass for each round of folds."""
+    return run_plan(bars, combined(asked), long, span)
 
 
 def _renamed(text: str, names: dict[str, str]) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +23,14 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
     session = builder.config("spark.sql.shuffle.partitions", str(partitions or cores)).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows through a checkpoint in spark.checkpoint.dir, which all executors share; unset, a local session makes a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -34,3 +34,9 @@ def by_group(df: DataFrame, keys: list[str], run: Callable, schema: str) -> Data
     """applyInPandas by group with the package at hand in the workers."""
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def by_group_in_arrow(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """applyInArrow by group with the package at hand in the workers; `run` takes and gives iterators of record batches."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(run, schema)
