@@ -98,3 +98,9 @@ def test_reach_of_texts():
     assert reach("sum(x) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)") is None
     assert reach("lag(x, 2) OVER (PARTITION BY symbol, ok ORDER BY time)") == {"": 0, "ok": 2}
     assert reach("row_number() OVER (PARTITION BY symbol ORDER BY time)") is None
+
+
+def test_folds_behind_windows_by_a_flag_are_in_order(bars):
+    # Spark puts windows by symbol below those by symbol and flag; the folds must still see the rows by time
+    together = indicators(bars, {"k": ("kst", {}), "c": ("chop", {}), "e": ("rsi", {})})
+    alike(together.select("symbol", "time", "e_value"), indicator(bars, "rsi"))

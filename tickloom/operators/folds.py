@@ -164,6 +164,26 @@ def with_outputs(schema: T.StructType, folds: list[Fold]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for f in folds for name, kind in f.outs.items())])
 
 
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df grouped in tasks by the keys and sorted by time, with each row's number in `_order`, which `checked` reads.
+
+    The window deals out the rows; the sort is dropped by Spark where its order is there, but windows by other keys may have
+    been put between.
+    """
+    return df.withColumn("_order", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY time)")).sortWithinPartitions(*keys, "time")
+
+
+def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of one group, which must be in order."""
+    at = 0
+    for batch in batches:
+        order = batch.column("_order").to_numpy()
+        if (order != np.arange(at + 1, at + 1 + len(order))).any():
+            raise RuntimeError("the rows of a symbol are not in order")
+        at += len(order)
+        yield batch
+
+
 def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
     """The rows of df (symbol, time, ...) with the outputs of all folds, one shuffle by symbol."""
     schema = with_outputs(df.schema, folds)
@@ -171,16 +191,9 @@ def fold(df: DataFrame, folds: list[Fold]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: list[State] = [{} for _ in folds]
-        at = 0
-        for batch in batches:
-            order = batch.column("_order").to_numpy()
-            at += len(order)
-            if len(order) and (order[-1] != at or order[0] != at + 1 - len(order)):
-                raise RuntimeError("the rows of a symbol are not in order")
+        for batch in checked(batches):
             columns = inputs(batch, folds)
             outs = {name: made(values, kinds[name]) for f, state in zip(folds, states, strict=True) for name, values in f.resume(state, columns).items()}
             yield pa.RecordBatch.from_arrays([outs[c] if c in outs else batch.column(c) for c in schema.names], names=schema.names)
 
-    # the numbers make Spark sort the rows of a symbol by time, and show that it has
-    ordered = df.withColumn("_order", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY time)"))
-    return by_group_in_arrow(ordered, ["symbol"], run, schema)
+    return by_group_in_arrow(in_order(df, "symbol"), ["symbol"], run, schema)

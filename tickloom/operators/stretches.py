@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.folds import Average, Columns, Fold, Linear, State, fold, inputs, made, with_outputs
+from tickloom.operators.folds import Average, Columns, Fold, Linear, State, checked, fold, in_order, inputs, made, with_outputs
 from tickloom.plans.stages import Bounded, Running, Stage, aggregate
 from tickloom.session import written
 from tickloom.ship import by_group, by_group_in_arrow
@@ -185,7 +185,7 @@ def folded(rows: DataFrame, folds: list[Fold]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = None
-        for batch in batches:
+        for batch in checked(batches):
             if states is None:
                 kept = batch.column("_state")[0].as_py()
                 states = pickle.loads(kept) if kept is not None else [{} for _ in folds]
@@ -193,8 +193,4 @@ def folded(rows: DataFrame, folds: list[Fold]) -> DataFrame:
             outs = {name: made(values, pa.float64()) for f, state in zip(folds, states, strict=True) for name, values in f.resume(state, columns).items()}
             yield pa.RecordBatch.from_arrays([outs[c] if c in outs else batch.column(c) for c in schema.names], names=schema.names)
 
-    # the window makes Spark sort a stretch by time; its column is what the rows are read by
-    ordered = begun.withColumn("_order", F.expr("row_number() OVER (PARTITION BY symbol, _part ORDER BY time)"))
-    return by_group_in_arrow(ordered, ["symbol", "_part"], run, schema)
-
-
+    return by_group_in_arrow(in_order(begun, "symbol", "_part"), ["symbol", "_part"], run, schema)

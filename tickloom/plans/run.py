@@ -17,10 +17,10 @@ from tickloom.plans.stages import staged, text_of
 BARS = ["symbol", "time", "open", "high", "low", "close", "volume"]
 
 
-def clean(bars: DataFrame) -> DataFrame:
-    """Bars with NaN and infinite numbers as nulls."""
+def clean(bars: DataFrame, *others: str) -> DataFrame:
+    """Bars, and other columns, with NaN and infinite numbers of the bars as nulls."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in BARS[2:]}
-    return bars.select("symbol", "time", *(F.col(c).cast("double").alias(c) for c in BARS[2:])).withColumns(finite)
+    return bars.select("symbol", "time", *(F.col(c).cast("double").alias(c) for c in BARS[2:]), *others).withColumns(finite)
 
 
 def run_plan(bars: DataFrame, plan: Plan, long: DataFrame | None = None, span: int = SPAN) -> DataFrame:
