@@ -74,3 +74,21 @@ def test_upserts_survive_a_second_run_and_corrections_recompute(spark, tmp_path)
     study = lambda bars: bars.select("symbol", "time", F.expr("sum(close) OVER (PARTITION BY symbol ORDER BY time)").alias("s"))
     fixed = live.corrected(kept, spark.createDataFrame([("x", 60, 30.0, 9)], schema), study)
     assert sorted((r["time"], r["s"]) for r in fixed.collect()) == [(60, 31), (120, 35)]
+
+
+def test_upserts_keep_symbols_that_are_null_or_empty(spark, tmp_path):
+    schema = "symbol string, time long, close double, version long"
+    run, folder = live.upsert_into(str(tmp_path / "out")), str(tmp_path / "out")
+    batches = [[(s, t, 1.0, 1) for s in (None, "", "x") for t in (0, 60)], [(s, t, 2.0, 2) for s in (None, "") for t in (60, 120)]]
+    for k, b in enumerate(batches):
+        run(spark.createDataFrame(b, schema), k)
+    got = {(r["symbol"], r["time"]): r["close"] for r in live.held(spark, folder).collect()}
+    assert got == {(s, t): 1.0 for s in (None, "", "x") for t in (0, 60)} | {(s, t): 2.0 for s in (None, "") for t in (60, 120)}
+
+
+def test_revisions_of_one_bar_go_by_version(spark, tmp_path):
+    schema = "symbol string, time long, close double, version long"
+    parts = [[("x", 0, 5.0, 3), ("x", 0, 1.0, 1), ("x", 0, 3.0, 2), ("x", 60, 7.0, 1)]]
+    stream = feed(spark, str(tmp_path / "in"), [spark.createDataFrame(p, schema) for p in parts], schema)
+    got = finish(live.live_study(stream, Average("value", "close", 1, "grow")), "by_version", "update").toPandas()
+    assert got[got["time"] == 0]["value"].tolist() == [5.0]

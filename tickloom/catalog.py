@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.indicators import REGISTRY, find
+from tickloom.operators.stretches import long_symbols
 from tickloom.plans.duck import plan_sql
 from tickloom.plans import market_queries as market
 from tickloom.plans.run import indicator, indicators
+from tickloom.session import shared_folder
 from tickloom.sources.market import bars, bars_sql
+from tickloom.streaming.studies import LiveStudy
 
 #: Moves numbers off exact halves, which engines round differently.
 NUDGE = 1.000000000001
@@ -99,9 +103,30 @@ TEN: dict[str, tuple[str, dict[str, float]]] = {
 }
 
 
-def flagship_sql() -> str:
-    """The ten indicators' own SQL, joined by bar."""
-    parts = {prefix: (find(name).plan(**params)) for prefix, (name, params) in TEN.items()}
+#: Windows with a bound and by a flag, running totals, averages, recurrences: what live and stretched plans have to carry on.
+CARRIED: dict[str, tuple[str, dict[str, float]]] = {n: (n, {}) for n in ("bb", "chop", "vwap", "obv", "macd", "kama", "vidya")}
+
+
+def live_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carried indicators over all bars, which come as three micro-batches with their last bars as previews."""
+    rows = bars(spark, sf_dir).withColumn("version", F.lit(1).cast("long"))
+    first, last = rows.agg(F.min("time"), F.max("time")).first()
+    study = LiveStudy(spark, f"{shared_folder(spark)}/study-{uuid.uuid4().hex}", CARRIED, buckets=8)
+    part = F.least(F.floor(3 * (F.col("time") - first) / max(1, last - first)), F.lit(2))
+    for k in range(3):
+        study.run(rows.where(part == k), k)
+    return _plain(study.results().drop("final"))
+
+
+def stretched_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carried indicators with every symbol cut into stretches of 50 bars."""
+    rows = bars(spark, sf_dir)
+    return _plain(indicators(rows, CARRIED, long_symbols(rows, 50), 50))
+
+
+def together_sql(asked: dict[str, tuple[str, dict[str, float]]]) -> str:
+    """The indicators' own SQL, joined by bar."""
+    parts = {prefix: (find(name).plan(**params)) for prefix, (name, params) in asked.items()}
     columns = ", ".join(f"round(CAST({prefix}.{x} AS DOUBLE) * {NUDGE!r}, 6) + 0.0 AS {prefix}_{x}" for prefix, plan in parts.items() for x in plan.outputs)
     first, *others = [f"({plan_sql(plan, bars_sql())}) AS {prefix}" for prefix, plan in parts.items()]
     return f"SELECT symbol, time, {columns} FROM {first} " + " ".join(f"JOIN {other} USING (symbol, time)" for other in others)
@@ -109,8 +134,8 @@ def flagship_sql() -> str:
 
 def queries() -> dict[str, Query]:
     own = {name: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in market.QUERIES.items()}
-    return {"flagship": flagship, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
+    return {"flagship": flagship, "live_plan": live_plan, "stretched_plan": stretched_plan, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": flagship_sql(), **{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}
+    return {"flagship": together_sql(TEN), "live_plan": together_sql(CARRIED), "stretched_plan": together_sql(CARRIED), **{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}

@@ -80,8 +80,8 @@ def wide(outputs: dict[str, str], *before: Step) -> Plan:
 
 MID, TYPICAL = "((high + low) / 2)", "((high + low + close) / 3)"
 TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
-#: True range whose first value is the first bar's own range.
-FULL_RANGE = f"CASE WHEN {lag('close')} IS NULL THEN high - low ELSE {TRUE_RANGE} END"
+#: True range whose first value is the first bar's own range; null where the close before is missing.
+FULL_RANGE = f"CASE WHEN i = 0 THEN high - low WHEN {lag('close')} IS NOT NULL THEN {TRUE_RANGE} END"
 CHANGE = f"close - {lag('close')}"
 #: Rows that have the flag `ok` alike: windows by it pass over gaps.
 DENSE = "symbol, ok"
@@ -89,6 +89,12 @@ DENSE = "symbol, ok"
 PRICED = "high + low + close IS NOT NULL"
 
 
+def _range_over_gaps(out: str) -> list[Step]:
+    """True range against the last close there was, the bar's own range before the first."""
+    gap = "greatest(high - low, abs(high - {0}), abs(low - {0}))"
+    return [{f"{out}_c": "CASE WHEN high - low IS NOT NULL THEN close END"}, {f"{out}_p": prior(f"{out}_c")}, {out: f"CASE WHEN {out}_p IS NULL THEN high - low WHEN high - low IS NOT NULL THEN {gap.format(out + '_p')} END"}]
+
+
 # bars alone
 
 
@@ -227,9 +233,10 @@ def _(length: int, smaLength: int) -> Plan:
 @indicator("ChandeKrollStop", period=10, multiplier=1.5, stopPeriod=9)
 def _(period: int, multiplier: float, stopPeriod: int) -> Plan:
     return wide(
-        {"longStop": partial_mean("a", stopPeriod), "shortStop": partial_mean("b", stopPeriod)},
+        {"longStop": partial_mean("a", stopPeriod, DENSE), "shortStop": partial_mean("b", stopPeriod, DENSE)},
         {"hh": highest("high", period), "ll": lowest("low", period)},
         {"a": f"hh - (hh - ll) * {multiplier}", "b": f"ll + (hh - ll) * {multiplier}"},
+        {"ok": "a IS NOT NULL"},
     )
 
 
@@ -726,7 +733,8 @@ def _(step: float) -> Plan:
 def _dmi(length: int) -> list[Step]:
     up, down = f"high - {lag('high')}", f"{lag('low')} - low"
     return [
-        {"p": f"CASE WHEN i = 0 THEN NULL WHEN {up} > {down} AND {up} > 0 THEN {up} ELSE 0.0 END", "m": f"CASE WHEN i = 0 THEN NULL WHEN {down} > {up} AND {down} > 0 THEN {down} ELSE 0.0 END", "t": FULL_RANGE},
+        {"whole": f"i > 0 AND high + low + {lag('high')} + {lag('low')} + {lag('close')} IS NOT NULL", "r": FULL_RANGE},
+        {"p": f"CASE WHEN NOT whole THEN NULL WHEN {up} > {down} AND {up} > 0 THEN {up} ELSE 0.0 END", "m": f"CASE WHEN NOT whole THEN NULL WHEN {down} > {up} AND {down} > 0 THEN {down} ELSE 0.0 END", "t": "CASE WHEN i = 0 OR whole THEN r END"},
         [Average("sp", "p", length, "grow"), Average("sm", "m", length, "grow"), Average("st", "t", length, "grow")],
         {"plusDI": f"CASE WHEN i > {length} THEN {ratio('100 * sp', 'st')} END", "minusDI": f"CASE WHEN i > {length} THEN {ratio('100 * sm', 'st')} END"},
         {"dx": "coalesce(100 * abs(plusDI - minusDI) / nullif(plusDI + minusDI, 0), CASE WHEN plusDI IS NOT NULL THEN 0.0 END)"},
@@ -861,7 +869,7 @@ def _(emaLength: int, fastLength: int, slowLength: int) -> Plan:
         [
             [ema("e", "close", emaLength, "partial"), ema("f", "close", fastLength, "partial"), ema("s", "close", slowLength, "partial")],
             {"m": "f - s"},
-            {"value": f"CASE WHEN i < {max(emaLength - 1, slowLength - 1)} THEN NULL WHEN {up} THEN 1.0 WHEN {down} THEN -1.0 ELSE 0.0 END"},
+            {"value": f"CASE WHEN i < {max(emaLength - 1, slowLength - 1)} OR e + m + {lag('e')} + {lag('m')} IS NULL THEN NULL WHEN {up} THEN 1.0 WHEN {down} THEN -1.0 ELSE 0.0 END"},
             {"state": "CASE WHEN value = 1 THEN 'green' WHEN value = -1 THEN 'red' WHEN value = 0 THEN 'blue' END"},
         ],
         {"value": "value", "state": "state"},
@@ -882,7 +890,7 @@ def _() -> Plan:
 @indicator("KeltnerChannels", "keltner", length=20, multiplier=2.0)
 def _(length: int, multiplier: float) -> Plan:
     from_full = lambda x: f"CASE WHEN i >= {length - 1} THEN {x} END"
-    return wide({"middle": from_full("e"), "upper": from_full(f"e + {multiplier} * a"), "lower": from_full(f"e - {multiplier} * a")}, {"t": FULL_RANGE}, [ema("e", "close", length, "partial"), Average("a", "t", length, "grow")])
+    return wide({"middle": from_full("e"), "upper": from_full(f"e + {multiplier} * a"), "lower": from_full(f"e - {multiplier} * a")}, *_range_over_gaps("t"), [ema("e", "close", length, "partial"), Average("a", "t", length, "grow")])
 
 
 @indicator("KlingerVolumeOscillator", "kvo", shortPeriod=34, longPeriod=55)
@@ -938,8 +946,9 @@ def _(firstLength: int, secondLength: int, signalLength: int) -> Plan:
             {"x": CHANGE, "y": f"abs({CHANGE})"},
             [ema("x1", "x", firstLength, "partial"), ema("y1", "y", firstLength, "partial")],
             [ema("x2", "x1", secondLength, "partial"), ema("y2", "y1", secondLength, "partial")],
-            {"tsi": f"CASE WHEN i >= {secondLength} THEN {ratio('100 * x2', 'y2')} END"},
-            [ema("signal", "tsi", signalLength, "partial")],
+            {"tsi": f"CASE WHEN i >= {secondLength} THEN CASE WHEN y2 = 0 THEN 0.0 ELSE 100 * x2 / nullif(y2, 0) END END"},
+            [ema("s", "tsi", signalLength, "partial")],
+            {"signal": f"CASE WHEN i >= {secondLength + signalLength - 1} THEN s END"},
         ],
         {"tsi": "tsi", "signal": "signal"},
     )
@@ -959,7 +968,7 @@ def _(length: int) -> Plan:
 @indicator("WaveTrendOscillator", "wto", "wavetrend", esaPeriod=10, dPeriod=14, averagePeriod=3)
 def _(esaPeriod: int, dPeriod: int, averagePeriod: int) -> Plan:
     return Plan(
-        [{"tp": TYPICAL}, [ema("esa", "tp", esaPeriod)], {"x": "abs(tp - esa)"}, [ema("d", "x", dPeriod)], {"wt1": ratio("tp - esa", "0.015 * d")}, {"wt2": partial_mean("wt1", averagePeriod)}],
+        [{"tp": TYPICAL}, [ema("esa", "tp", esaPeriod)], {"x": "abs(tp - esa)"}, [ema("d", "x", dPeriod)], {"wt1": ratio("tp - esa", "0.015 * d")}, {"ok": "wt1 IS NOT NULL"}, {"wt2": partial_mean("wt1", averagePeriod, DENSE)}],
         {"wt1": "wt1", "wt2": "wt2"},
     )
 
@@ -1037,8 +1046,15 @@ def _(length: int, volatilityIndex: float) -> Plan:
 @indicator("JurikMovingAverage", "jma", length=20, phase=0)
 def _(length: int, phase: int) -> Plan:
     beta, share = 0.45 * (length - 1) / (0.45 * (length - 1) + 2), (max(-100, min(100, phase)) + 100) / 200
-    k = f"CASE WHEN i < {length} THEN 1.0 ELSE {beta!r} END"
-    return one(f"CASE WHEN i = {length - 1} THEN close WHEN i >= {length} THEN y + {share!r} * (y - {lag('y')}) END", *linear("x", k, "close"), *linear("y", k, "x"))
+    # formed by the first close from bar length - 1 on; gaps are passed over
+    k = f"CASE WHEN formed <= 1 THEN 1.0 ELSE {beta!r} END"
+    return one(
+        f"CASE WHEN close IS NULL THEN NULL WHEN formed = 1 THEN close WHEN formed > 1 THEN y + {share!r} * (y - before) END",
+        {"formed": running(f"CASE WHEN i >= {length - 1} AND close IS NOT NULL THEN 1 ELSE 0 END")},
+        *linear("x", k, "close"),
+        *linear("y", k, "x"),
+        {"before": prior("y")},
+    )
 
 
 def _compounding(sign: str) -> Plan:
@@ -1078,9 +1094,9 @@ def _(gamma: float) -> Plan:
 def _(gamma: float) -> Plan:
     chain = linear("l0", f"{1 - gamma!r}", "close")
     for k in (1, 2, 3):
-        chain += [{f"g{k}": f"{gamma!r}", f"h{k}": f"coalesce({lag(f'l{k - 1}')}, 0) - {gamma!r} * l{k - 1}"}, [Linear(f"l{k}", f"g{k}", f"h{k}")]]
-    up = " + ".join(f"greatest(0.0, l{k} - l{k + 1})" for k in range(3))
-    down = " + ".join(f"greatest(0.0, l{k + 1} - l{k})" for k in range(3))
+        chain += [{f"b{k}": prior(f"l{k - 1}")}, {f"g{k}": f"{gamma!r}", f"h{k}": f"coalesce(b{k}, 0) - {gamma!r} * l{k - 1}"}, [Linear(f"l{k}", f"g{k}", f"h{k}")]]
+    up = " + ".join(f"({rise(f'(l{k} - l{k + 1})')})" for k in range(3))
+    down = " + ".join(f"({rise(f'(l{k + 1} - l{k})')})" for k in range(3))
     return one("CASE WHEN cu + cd = 0 THEN 50.0 ELSE 100 * cu / nullif(cu + cd, 0) END", *chain, {"u": up, "d": down}, *linear("cu", f"{1 - gamma!r}", "u"), *linear("cd", f"{1 - gamma!r}", "d"))
 
 
@@ -1106,19 +1122,22 @@ def _() -> Plan:
 
 @indicator("KasePeakOscillator", "kpo", atrLength=10, shortPeriod=9, longPeriod=18)
 def _(atrLength: int, shortPeriod: int, longPeriod: int) -> Plan:
-    prev, first = lag("close"), atrLength - 1
+    prev, first = lag("close", 1, DENSE), atrLength - 1
     return Plan(
         [
-            {"t": FULL_RANGE},
+            *_range_over_gaps("t"),
             [Average("a", "t", atrLength, "grow")],
+            # bars without prices are passed over, and so are those before the range is formed
+            {"ok": f"i >= {first} AND {PRICED}"},
+            {"prev": f"CASE WHEN ok THEN nullif({prev}, 0) END"},
             {
-                "peak": f"CASE WHEN i < {first} THEN NULL WHEN i > {first} AND close > {prev} THEN greatest(high, {prev} + a) WHEN i > {first} AND close < {prev} THEN least(high, {prev} + 0.5 * a) ELSE high END",
-                "valley": f"CASE WHEN i < {first} THEN NULL WHEN i > {first} AND close > {prev} THEN greatest(low, {prev} - 0.5 * a) WHEN i > {first} AND close < {prev} THEN least(low, {prev} - a) ELSE low END",
+                "peak": "CASE WHEN NOT ok THEN NULL WHEN close > prev THEN greatest(high, prev + a) WHEN close < prev THEN least(high, prev + 0.5 * a) ELSE high END",
+                "valley": "CASE WHEN NOT ok THEN NULL WHEN close > prev THEN greatest(low, prev - 0.5 * a) WHEN close < prev THEN least(low, prev - a) ELSE low END",
             },
-            {"p0": f"coalesce({lag('peak')}, peak)", "v0": f"coalesce({lag('valley')}, valley)"},
+            {"p0": f"coalesce({lag('peak', 1, DENSE)}, peak)", "v0": f"coalesce({lag('valley', 1, DENSE)}, valley)"},
             {
-                "shortTerm": f"CASE WHEN i >= {first + shortPeriod - 1} THEN coalesce(100 * (close - least(valley, v0)) / nullif(greatest(peak, p0) - least(valley, v0), 0), 0.0) END",
-                "longTerm": f"CASE WHEN i >= {first + longPeriod - 1} THEN coalesce(100 * (close - v0) / nullif(p0 - v0, 0), 0.0) END",
+                "shortTerm": f"CASE WHEN ok AND i >= {first + shortPeriod - 1} THEN coalesce(100 * (close - least(valley, v0)) / nullif(greatest(peak, p0) - least(valley, v0), 0), 0.0) END",
+                "longTerm": f"CASE WHEN ok AND i >= {first + longPeriod - 1} THEN coalesce(100 * (close - v0) / nullif(p0 - v0, 0), 0.0) END",
             },
         ],
         {"shortTerm": "shortTerm", "longTerm": "longTerm"},
@@ -1185,7 +1204,8 @@ def _(rsiLength: int, rocLength: int, shortRsiLength: int, momentumLength: int,
         [
             *_rsi_steps("r", "close", rsiLength),
             *_rsi_steps("q", "close", shortRsiLength),
-            {"c": ratio(f"100 * (r - {lag('r', rocLength)})", lag("r", rocLength)), "m": partial_mean("q", momentumLength)},
+            {"there": "q IS NOT NULL"},
+            {"c": ratio(f"100 * (r - {lag('r', rocLength)})", lag("r", rocLength)), "m": partial_mean("q", momentumLength, "symbol, there")},
             {"composite": f"CASE WHEN i >= {gate} THEN c + m END"},
             {"fastSma": mean("composite", fastSmaLength), "slowSma": mean("composite", slowSmaLength)},
         ],
@@ -1211,12 +1231,13 @@ def _(shortRocLength: int, longRocLength: int, rsiLength: int, fastLength: int,
 def _(rsiLength: int, streakLength: int, rocLength: int) -> Plan:
     old = f"CASE WHEN i < {rocLength} THEN first_value(close) OVER {RUNNING} ELSE {lag('close', rocLength)} END"
     gate = max(rsiLength, streakLength, rocLength)
-    held = lambda x: f"CASE WHEN i >= {gate} THEN {x} END"
+    held = lambda x: f"CASE WHEN i >= {gate} AND r1 + r2 + r3 IS NOT NULL THEN {x} END"
     return Plan(
         [
-            {"d": f"coalesce(sign({CHANGE}), 1)"},
-            {"turn": f"CASE WHEN i = 0 OR d = {lag('d')} THEN 0 ELSE 1 END"},
-            {"kept": "CASE WHEN i = 0 OR turn = 1 THEN 0.0 ELSE 1.0 END", "step": "1.0"},
+            {"ok": "close IS NOT NULL"},
+            # which way the close went since the last one there was; the first is a rise
+            {"d": f"CASE WHEN ok THEN coalesce(sign(close - {lag('close', 1, DENSE)}), 1) END"},
+            {"kept": f"CASE WHEN NOT ok THEN NULL WHEN d = {lag('d', 1, DENSE)} THEN 1.0 ELSE 0.0 END", "step": "1.0"},
             [Linear("same", "kept", "step")],
             {"streak": "d * same", "roc": ratio(f"100 * (close - {old})", old)},
             *_rsi_steps("r1", "close", rsiLength),
@@ -1230,14 +1251,18 @@ def _(rsiLength: int, streakLength: int, rocLength: int) -> Plan:
 
 @indicator("SchaffTrendCycle", "stc", length=10, shortLength=23, longLength=50, cycleLength=5, signalLength=3)
 def _(length: int, shortLength: int, longLength: int, cycleLength: int, signalLength: int) -> Plan:
-    low, high = f"min(close) OVER {frame(length)}", f"max(close) OVER {frame(length)}"
-    edge = lambda fn: f"{fn}(raw) OVER {frame(cycleLength)}"
+    edge = lambda fn, x, n, flag: f"{fn}({x}) OVER {frame(n, f'symbol, {flag}')}"
     return Plan(
         [
             *_macd(shortLength, longLength, signalLength),
-            # the histogram is normalised by the range of the closes
-            {"raw": f"CASE WHEN histogram IS NOT NULL THEN {ratio(f'histogram - {low}', f'{high} - {low}')} END", "formed": f"count(histogram) OVER {RUNNING}"},
-            {"k": f"CASE WHEN raw IS NULL OR formed < {cycleLength} THEN NULL WHEN {edge('max')} = {edge('min')} THEN 0.0 ELSE 100 * (raw - {edge('min')}) / nullif({edge('max')} - {edge('min')}, 0) END"},
+            {"ok": "close IS NOT NULL"},
+            # the histogram is normalised by the range of the last closes; without one the last position stands
+            {"low_": edge("min", "close", length, "ok"), "high_": edge("max", "close", length, "ok")},
+            {"raw": f"CASE WHEN histogram IS NOT NULL THEN {ratio('histogram - low_', 'high_ - low_')} END"},
+            {"there": "raw IS NOT NULL", "formed": f"count(raw) OVER {RUNNING}"},
+            {"least_": edge("min", "raw", cycleLength, "there"), "most_": edge("max", "raw", cycleLength, "there")},
+            {"at": f"CASE WHEN raw IS NULL OR formed < {cycleLength} THEN NULL WHEN most_ = least_ THEN 0.0 ELSE 100 * (raw - least_) / nullif(most_ - least_, 0) END"},
+            {"k": f"CASE WHEN histogram IS NULL OR formed < {cycleLength} THEN NULL ELSE coalesce(last_value(at) IGNORE NULLS OVER {RUNNING}, 0.0) END"},
             [ema("value", "k", length)],
         ],
         {"value": "value"},
@@ -1306,7 +1331,7 @@ def _(length: int, multiple: float) -> Plan:
 
 @indicator("SuperTrend", length=10, multiplier=3.0)
 def _(length: int, multiplier: float) -> Plan:
-    return machine(M.super_trend, {"value": "double", "direction": "double"}, ("high", "low", "close", "a", "ready"), {"t": FULL_RANGE, "ready": f"CASE WHEN i >= {length - 1} THEN 1 ELSE 0 END"}, [Average("a", "t", length, "grow")], multiplier=multiplier)
+    return machine(M.super_trend, {"value": "double", "direction": "double"}, ("high", "low", "close", "a", "ready"), *_range_over_gaps("t"), {"ready": f"CASE WHEN i >= {length - 1} THEN 1 ELSE 0 END"}, [Average("a", "t", length, "grow")], multiplier=multiplier)
 
 
 @indicator("ParabolicSar", "psar", acceleration=0.02, accelerationMax=0.2, accelerationStep=0.02)

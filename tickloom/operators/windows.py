@@ -75,6 +75,6 @@ def slope(x: str, n: int) -> str:
     return weighted(x, [(n - 1 - k - middle) / spread for k in range(n)])
 
 
-def partial_mean(x: str, n: int) -> str:
-    """Sum of the last n values, fewer at the start, always over n."""
-    return f"CASE WHEN {x} IS NOT NULL THEN (sum({x}) OVER {frame(n)}) / {n} END"
+def partial_mean(x: str, n: int, part: str) -> str:
+    """Sum of the last n values there are, fewer at the start, always over n; `part` has a flag that x is there."""
+    return f"CASE WHEN {x} IS NOT NULL THEN (sum({x}) OVER {frame(n, part)}) / {n} END"

@@ -25,12 +25,20 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
     return session
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows through a checkpoint in spark.checkpoint.dir, which all executors share; unset, a local session makes a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; unset, a local session makes a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows through a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

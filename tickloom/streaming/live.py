@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,8 +47,9 @@ def live_study(bars: DataFrame, study: Machine | Average) -> DataFrame:
     """A stateful study over a stream of bars (symbol, time, its inputs): symbol, time, outputs, final.
 
     The latest bar of a symbol is a preview: another bar with its time replaces it and leaves the state
-    alone; a later bar makes it final. A bar older than that is ignored. The state is what the batch
-    machine keeps, so stream and batch agree.
+    alone; a later bar makes it final. A bar older than that is ignored. Rows of a micro-batch come in no order: of two with
+    one time the higher `version` counts, where the bars have that column. The state is what the batch
+    machine keeps, so stream and batch agree. For whole plans see `studies.LiveStudy`.
     """
     machine = study.machine() if isinstance(study, Average) else study
     outs = ", ".join(f"{k} {v}" for k, v in machine.outs.items())
@@ -62,7 +63,8 @@ def live_study(bars: DataFrame, study: Machine | Average) -> DataFrame:
             made = machine.advance(kept, *bar[1:], **machine.params)
             rows[bar[0]] = (key[0], bar[0], *(made or (None,) * len(machine.outs)), final)
 
-        for bar in pd.concat(list(parts)).sort_values("time", kind="stable").itertuples():
+        rows_ = pd.concat(list(parts))
+        for bar in rows_.sort_values([c for c in ("time", "version") if c in rows_], kind="stable").itertuples():
             now = [int(bar.time), *(None if pd.isna(getattr(bar, c)) else float(getattr(bar, c)) for c in machine.reads)]
             if pending and now[0] < pending[0]:
                 continue
@@ -77,6 +79,11 @@ def live_study(bars: DataFrame, study: Machine | Average) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(advance, f"symbol string, time long, {outs}, final boolean", "done string, pending string", "update", GroupStateTimeout.NoTimeout)
 
 
+def folder_of(symbol: str) -> Column:
+    """The partition of a symbol; null and empty ones, which Spark would put into one default folder and read back as null, have a name."""
+    return F.when(F.col(symbol).isNull(), "(null)").when(F.col(symbol) == "", "(empty)").otherwise(F.col(symbol))
+
+
 def upsert_into(folder: str, seconds: int = 86400):
     """A foreachBatch function that keeps the newest version of each (symbol, time) under `folder`.
 
@@ -87,7 +94,7 @@ def upsert_into(folder: str, seconds: int = 86400):
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        part = [F.col("symbol").alias("_symbol"), F.floor(F.col("time") / seconds).alias("_stretch")]
+        part = [folder_of("symbol").alias("_symbol"), F.floor(F.col("time") / seconds).alias("_stretch")]
         fresh = upserted(batch.limit(0), batch).select("*", *part)
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/table")
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):

@@ -34,14 +34,14 @@ from tickloom.ship import by_group_in_arrow
 OLD, FINAL, MARK, LAST = "_old", "_final", "_mark", "_last"
 
 
-def advance(rows: DataFrame, plan: Plan, kept: DataFrame | None = None) -> DataFrame:
-    """Kept rows and new ones, the latter with the columns of all stages.
+def advance(rows: DataFrame, plan: Plan, kept: DataFrame | None = None, *others: str) -> DataFrame:
+    """Kept rows and new ones, the latter with the columns of all stages, and with `others` of their own.
 
     rows: bars with the flag `_final`, all later than the kept rows of their symbol, a symbol's final ones before the
     others. kept: what `to_keep` gave for the rows before them.
     """
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields} if kept is not None else {}
-    frame = _flagged(rows)
+    frame = clean(rows, FINAL, *others).withColumn(OLD, F.lit(False))
     if kept is not None:
         frame = kept.withColumn(OLD, F.lit(True)).withColumn(FINAL, F.lit(True)).unionByName(frame, allowMissingColumns=True)
     newest = F.max(F.when(F.col(FINAL), F.col("time"))).over(Window.partitionBy("symbol"))
@@ -57,11 +57,6 @@ def advance(rows: DataFrame, plan: Plan, kept: DataFrame | None = None) -> DataF
     return frame
 
 
-def _flagged(rows: DataFrame) -> DataFrame:
-    """New bars, cleaned, with their flags."""
-    return clean(rows, FINAL).withColumn(OLD, F.lit(False))
-
-
 def _carried(name: str, function: str, argument: str) -> str:
     """A running aggregate that goes on from its value on the newest kept row."""
     if function == "row":
@@ -108,7 +103,7 @@ def _resumed(frame: DataFrame, folds: list[Fold], state: str, going_on: bool) ->
     return by_group_in_arrow(in_order(frame, "symbol"), ["symbol"], run, schema)
 
 
-def to_keep(frame: DataFrame, plan: Plan) -> DataFrame:
+def to_keep(frame: DataFrame, plan: Plan, *others: str) -> DataFrame:
     """The final rows of a frame that the next rows need: a few of each symbol, whatever its history."""
     back: dict[str, int] = {"": 1}
     for stage in staged(plan):
@@ -117,7 +112,7 @@ def to_keep(frame: DataFrame, plan: Plan) -> DataFrame:
     newest = lambda *keys: F.row_number().over(Window.partitionBy("symbol", *keys).orderBy(F.desc("time")))
     finals = frame.where(FINAL).withColumns({f"_rank_{flag}": newest(*([flag] if flag else [])) for flag in back})
     wanted = " OR ".join(f"`_rank_{flag}` <= {n}" for flag, n in back.items())
-    return finals.where(wanted).drop(*(f"_rank_{flag}" for flag in back), OLD, FINAL, LAST).withColumnRenamed(MARK, LAST)
+    return finals.where(wanted).drop(*(f"_rank_{flag}" for flag in back), OLD, FINAL, LAST, *others).withColumnRenamed(MARK, LAST)
 
 
 def newest(rows: DataFrame, version: str = "version") -> DataFrame:
@@ -194,14 +189,12 @@ class LiveStudy:
         """Advance over rows and write outputs and the buckets' new version. rows: bars, version, _new."""
         by = Window.partitionBy("symbol")
         rows = rows.withColumns({FINAL: F.col("time") < F.max("time").over(by), "_seen": F.max("_new").over(by)}) if FINAL not in rows.columns else rows
-        frame = advance(rows, self.plan, kept).persist()
-        # which rows to show, and the versions of previews, are looked up by bar
-        marks = rows.select(F.col("symbol").alias("_s"), F.col("time").alias("_t"), "version", F.col(shown).alias("_shown"))
-        new = frame.where(f"NOT {OLD}").join(marks, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("time") == F.col("_t"))).drop("_s", "_t")
+        frame = advance(rows, self.plan, kept, "version", shown).persist()
+        new = frame.where(f"NOT {OLD}")
         outputs = [F.col(v).alias(k) for k, v in self.plan.outputs.items()]
-        new.where("_shown").select("symbol", "time", *outputs, F.col(FINAL).alias("final")).write.mode("overwrite").parquet(f"{self.folder}/out/version={name}")
+        new.where(shown).select("symbol", "time", *outputs, F.col(FINAL).alias("final")).write.mode("overwrite").parquet(f"{self.folder}/out/version={name}")
         previews = new.where(f"NOT {FINAL}").select(*BARS, F.col("version").alias("_version"), FINAL)
-        state = to_keep(frame, self.plan).withColumn(FINAL, F.lit(True)).unionByName(previews, allowMissingColumns=True)
+        state = to_keep(frame, self.plan, "version", shown).withColumn(FINAL, F.lit(True)).unionByName(previews, allowMissingColumns=True)
         if others is not None:
             state = state.unionByName(others.withColumnRenamed("version", "_version"), allowMissingColumns=True)
         self._write(state, name)
