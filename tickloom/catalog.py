@@ -17,6 +17,7 @@ from tickloom.plans.run import indicator, indicators
 from tickloom.session import shared_folder
 from tickloom.sources.market import bars, bars_sql
 from tickloom.streaming.studies import LiveStudy
+from tickloom.streaming.views import LiveViews
 
 #: Moves numbers off exact halves, which engines round differently.
 NUDGE = 1.000000000001
@@ -84,6 +85,9 @@ def _rounded_sql(name: str, sql: str) -> str:
     return f"SELECT round(CAST(COLUMNS(lambda c: c IN ({columns})) AS DOUBLE) * {NUDGE!r}, 6) + 0.0, COLUMNS(lambda c: c NOT IN ({columns})) FROM ({sql})"
 
 
+PROFILE_SQL = f"SELECT symbol, CAST(floor(close + 0.5) AS BIGINT) AS tick, sum(volume) AS volume, count(*) AS bars FROM ({bars_sql()}) GROUP BY ALL"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour bars of every symbol with ten indicators, in one pass over each symbol."""
     return _plain(indicators(bars(spark, sf_dir), TEN))
@@ -118,6 +122,23 @@ def live_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(study.results().drop("final"))
 
 
+def _views(spark: SparkSession, sf_dir: str) -> LiveViews:
+    """Daily bars and a profile that follow all bars in two micro-batches; the first has every bar's open as its close."""
+    rows = bars(spark, sf_dir)
+    views = LiveViews(spark, f"{shared_folder(spark)}/views-{uuid.uuid4().hex}", market.DAY, 1.0, origin=3600)
+    views.run(rows.withColumns({"close": F.col("open"), "version": F.lit(1)}), 0)
+    views.run(rows.withColumn("version", F.lit(2)), 1)
+    return views
+
+
+def live_views_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_views(spark, sf_dir).bars())
+
+
+def live_views_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_views(spark, sf_dir).profile())
+
+
 def stretched_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The carried indicators with every symbol cut into stretches of 50 bars."""
     rows = bars(spark, sf_dir)
@@ -134,8 +155,8 @@ def together_sql(asked: dict[str, tuple[str, dict[str, float]]]) -> str:
 
 def queries() -> dict[str, Query]:
     own = {name: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in market.QUERIES.items()}
-    return {"flagship": flagship, "live_plan": live_plan, "stretched_plan": stretched_plan, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
+    return {"flagship": flagship, "live_plan": live_plan, "stretched_plan": stretched_plan, "live_views_bars": live_views_bars, "live_views_profile": live_views_profile, **own, **{f"ind_{name}": _indicator_query(name) for name in REGISTRY}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": together_sql(TEN), "live_plan": together_sql(CARRIED), "stretched_plan": together_sql(CARRIED), **{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}
+    return {"flagship": together_sql(TEN), "live_plan": together_sql(CARRIED), "stretched_plan": together_sql(CARRIED), "live_views_bars": _rounded_sql("live_views_bars", market.SQL["resampled_bars"]), "live_views_profile": PROFILE_SQL, **{k: _rounded_sql(k, v) for k, v in market.SQL.items()}, **{f"ind_{name}": sql for name in REGISTRY if (sql := _indicator_sql(name))}}

@@ -1261,8 +1261,8 @@ def _(length: int, shortLength: int, longLength: int, cycleLength: int, signalLe
             {"raw": f"CASE WHEN histogram IS NOT NULL THEN {ratio('histogram - low_', 'high_ - low_')} END"},
             {"there": "raw IS NOT NULL", "formed": f"count(raw) OVER {RUNNING}"},
             {"least_": edge("min", "raw", cycleLength, "there"), "most_": edge("max", "raw", cycleLength, "there")},
-            {"at": f"CASE WHEN raw IS NULL OR formed < {cycleLength} THEN NULL WHEN most_ = least_ THEN 0.0 ELSE 100 * (raw - least_) / nullif(most_ - least_, 0) END"},
-            {"k": f"CASE WHEN histogram IS NULL OR formed < {cycleLength} THEN NULL ELSE coalesce(last_value(at) IGNORE NULLS OVER {RUNNING}, 0.0) END"},
+            {"place_": f"CASE WHEN raw IS NULL OR formed < {cycleLength} THEN NULL WHEN most_ = least_ THEN 0.0 ELSE 100 * (raw - least_) / nullif(most_ - least_, 0) END"},
+            {"k": f"CASE WHEN histogram IS NULL OR formed < {cycleLength} THEN NULL ELSE coalesce(last_value(place_) IGNORE NULLS OVER {RUNNING}, 0.0) END"},
             [ema("value", "k", length)],
         ],
         {"value": "value"},
