@@ -68,3 +68,18 @@ def test_repeated_and_missing_ids(spark):
     got = sorted((r["doc_id"] or -1, r["text"]) for r in jaccard.keep_one(docs).collect())
     assert got == [(-1, three), (2, two), (5, one)]
     assert jaccard.keep_one(awkward(spark)).count() == 7
+
+
+def test_columns_of_any_name_go_along(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import simhash
+
+    names = ["_kept", "_id", "_node", "_often", "_at", "_print", "_of", "row", "id", "kept", "node", "often", "at", "print", "of"]
+    docs = awkward(spark).withColumns({n: F.lit(f"{n} clash") for n in names})
+    for keep_one in (jaccard.keep_one, simhash.keep_one):
+        got = keep_one(docs)
+        assert got.columns == docs.columns
+        want = keep_one(awkward(spark))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert {r["_id"] for r in got.collect()} == {"_id clash"}

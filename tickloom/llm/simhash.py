@@ -184,11 +184,14 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [f"{fingerprint(x.as_py()):016x}" for x in batch.column("text").cast(pa.string()).cast(pa.binary())]
-            yield batch.append_column("_print", pa.array(prints, pa.string()))
+            row = batch.column("row")
+            texts = row.field(row.type.get_field_index("text")).cast(pa.string()).cast(pa.binary())
+            yield batch.append_column("print", pa.array([f"{fingerprint(x.as_py()):016x}" for x in texts], pa.string()))
 
     found = checkpointed(near_duplicates(docs, threshold))
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_of")).distinct()
-    tagged = in_arrow(docs, tag, T.StructType([*docs.schema.fields, T.StructField("_print", T.StringType())]))
-    some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_print") == F.col("_of")), "left_semi")
-    return some.withColumn("_id", F.col("doc_id")).dropDuplicates(["_id", "_print"]).drop("_id", "_print")
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept"), F.col("fingerprint").alias("of")).distinct()
+    # whole rows go along as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    tagged = in_arrow(rows, tag, T.StructType([*rows.schema.fields, T.StructField("print", T.StringType())]))
+    some = tagged.join(keep, F.col("id").eqNullSafe(F.col("kept")) & (F.col("print") == F.col("of")), "left_semi")
+    return some.dropDuplicates(["id", "print"]).select("row.*")
