@@ -2,7 +2,7 @@
 
 A text is split into pre-tokens by the vocabulary's pattern. A pre-token that is no token itself starts as a linked
 list of bytes; the queue has a bucket for each merge rank with the positions whose pair has that rank, and a bitmap of
-the buckets that are not empty, with a bitmap of its words above it and so on, so that the lowest rank is found by a
+the buckets that are not empty, with a bitmap of its words above it, so that the lowest rank is found by a
 find-first-set at each level. A merge puts at most two new pairs into the queue; entries whose pair has changed
 since are skipped when their turn comes. That is linear in the length of a pre-token, but for the order of positions
 within a bucket. Each worker keeps the ids of short pre-tokens it has met, up to a bound.
@@ -11,6 +11,7 @@ within a bucket. Each worker keeps the ids of short pre-tokens it has met, up to
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from tickloom.llm.tokens import Vocabulary
 from tickloom.ship import in_arrow
 
-#: Bits of a bitmap's word.
-WIDTH = 256
 #: Pre-tokens a worker remembers, and their longest.
 REMEMBERED, SHORT = 400_000, 48
 #: Characters of a text up to which its pre-tokens are listed at once.
@@ -32,48 +31,45 @@ AT_ONCE = 1 << 20
 
 
 class RankQueue:
-    """(rank, position) entries, lowest rank first and lowest position first within a rank."""
+    """(rank, position) entries, lowest rank first and lowest position first within a rank.
+
+    Two levels of bitmaps, as wide as they are many: a bit for each bucket, and above it a bit for each word of those.
+    """
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        words = ranks
-        while not self.levels or words > 1:
-            words = -(-words // WIDTH)
-            self.levels.append([0] * words)
+        self.width = max(1, math.isqrt(max(0, ranks - 1)) + 1)
+        self.bits = [1 << i for i in range(self.width)]
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.words, self.top = [0] * self.width, 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket:
             heappush(bucket, position)
             return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = divmod(rank, WIDTH)
-            held = level[word]
-            level[word] = held | 1 << bit
-            if held:
-                break
-            rank = word
+        bucket.append(position)
+        word, bit = divmod(rank, self.width)
+        held = self.words[word]
+        if not held:
+            self.top |= self.bits[word]
+        self.words[word] = held | self.bits[bit]
 
     def pop(self) -> tuple[int, int] | None:
         """The first entry, taken out; None where there is none."""
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return None
-            rank = rank * WIDTH + (word & -word).bit_length() - 1
+        top = self.top
+        if not top:
+            return None
+        word = (top & -top).bit_length() - 1
+        held = self.words[word]
+        bit = (held & -held).bit_length() - 1
+        rank = word * self.width + bit
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            at = rank
-            for level in self.levels:
-                at, bit = divmod(at, WIDTH)
-                level[at] ^= 1 << bit
-                if level[at]:
-                    break
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.words[word] = held = held ^ self.bits[bit]
+        if not held:
+            self.top = top ^ self.bits[word]
+        return rank, bucket.pop()
 
 
 class Bpe(dict):
@@ -94,36 +90,33 @@ class Bpe(dict):
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the leftmost pair of the lowest rank is merged."""
-        n, ranks, queue = len(piece), self.ranks, self.queue
+        n, rank_of, push, pop = len(piece), self.ranks.get, self.queue.push, self.queue.pop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank that the token here makes with the next one
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+        # the rank that the token here makes with the next one
+        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        for i, rank in enumerate(pair):
             if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
+                push(rank, i)
+        while (entry := pop()) is not None:
             rank, i = entry
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = pair[i] = -1
+            pair[gone] = pair[i] = None
             if end < n:
                 before[end] = i
-                rank = ranks.get(piece[i : after[end]])
+                pair[i] = rank = rank_of(piece[i : after[end]])
                 if rank is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
+                    push(rank, i)
             if i:
                 left = before[i]
-                rank = ranks.get(piece[left:end])
-                pair[left] = -1 if rank is None else rank
+                pair[left] = rank = rank_of(piece[left:end])
                 if rank is not None:
-                    queue.push(rank, left)
+                    push(rank, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
