@@ -56,9 +56,24 @@ def _bricks(s: dict, close: float | None, box: float | None) -> tuple | None:
     return (float(before), float(s["at"]), s["first"]) if s["at"] != before else None
 
 
-def renko(bars: DataFrame, box: float | None = None) -> DataFrame:
-    """symbol, time, open, high, low, close of the bricks; without a box, a fortieth of the range of closes."""
-    moved = fold(_boxed(bars, box, "close", "close", 40).withColumnRenamed("time", "t").withColumn("time", F.col("t")), [Machine({"before": "double", "after": "double", "base0": "double"}, _bricks, ("close", "box"))]).where("after is not null")
+def renko_steps() -> Machine:
+    """What each bar (close, box) moves a Renko chart, in whole boxes before and after it; null where it moves none."""
+    return Machine({"before": "double", "after": "double", "base0": "double"}, _bricks, ("close", "box"))
+
+
+def _ended(steps: DataFrame, box: float) -> DataFrame:
+    """Steps of all bars so far with the box and the ends of their symbol's time span."""
+    ends = steps.groupBy("symbol").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    return steps.join(ends, "symbol").withColumn("box", F.lit(float(box)))
+
+
+def renko_of(steps: DataFrame, box: float) -> DataFrame:
+    """The bricks of steps (symbol, time, before, after, base0), one row for each bar, such as `live.live_renko` keeps."""
+    return _laid(_ended(steps, box))
+
+
+def _laid(steps: DataFrame) -> DataFrame:
+    moved = steps.where("after is not null").withColumnRenamed("time", "t")
     step = F.signum(F.col("after") - F.col("before"))
     rows = moved.select("symbol", "t", "first", "last", "box", "base0", "before", step.alias("step"), F.explode(F.sequence(F.lit(0), (F.abs(F.col("after") - F.col("before")) - 1).cast("int"))).alias("k"))
     rows = _spread(rows, ["t", "k"])
@@ -67,6 +82,11 @@ def renko(bars: DataFrame, box: float | None = None) -> DataFrame:
     return rows.select("symbol", "time", start.alias("open"), F.greatest(start, end).alias("high"), F.least(start, end).alias("low"), end.alias("close"))
 
 
+def renko(bars: DataFrame, box: float | None = None) -> DataFrame:
+    """symbol, time, open, high, low, close of the bricks; without a box, a fortieth of the range of closes."""
+    return _laid(fold(_boxed(bars, box, "close", "close", 40), [renko_steps()]))
+
+
 def _columns(s: dict, close: float | None, box: float | None, reversal: float) -> tuple | None:
     """Column number, direction, top and bottom after a close that changed the chart."""
     if close is None or not box:
@@ -93,8 +113,22 @@ def _columns(s: dict, close: float | None, box: float | None, reversal: float) -
     return (float(s["column"]), *ends)
 
 
-def point_and_figure(bars: DataFrame, box: float | None = None, reversal: float = 2.0) -> DataFrame:
-    """symbol, time, open, high, low, close of the columns; without a box, a fiftieth of the high-low range."""
-    rows = fold(_boxed(bars, box, "high", "low", 50), [Machine({"column": "double", "open_at": "double", "close_at": "double"}, _columns, ("close", "box"), {"reversal": reversal if reversal > 0 else 2.0})]).where("column is not null")
+def figure_steps(reversal: float = 2.0) -> Machine:
+    """The column that each bar (close, box) of a Point and Figure chart changes, and its ends; null where it changes none."""
+    return Machine({"column": "double", "open_at": "double", "close_at": "double"}, _columns, ("close", "box"), {"reversal": reversal if reversal > 0 else 2.0})
+
+
+def figure_of(steps: DataFrame, box: float) -> DataFrame:
+    """The columns of steps (symbol, time, column, open_at, close_at), one row for each bar, such as `live.live_figure` keeps."""
+    return _drawn(_ended(steps, box))
+
+
+def _drawn(steps: DataFrame) -> DataFrame:
+    rows = steps.where("column is not null")
     last = rows.groupBy("symbol", "column", "first", "last").agg(F.max_by(F.struct("open_at", "close_at"), "time").alias("c"))
     return _spread(last, ["column"]).select("symbol", "time", F.col("c.open_at").alias("open"), F.greatest("c.open_at", "c.close_at").alias("high"), F.least("c.open_at", "c.close_at").alias("low"), F.col("c.close_at").alias("close"))
+
+
+def point_and_figure(bars: DataFrame, box: float | None = None, reversal: float = 2.0) -> DataFrame:
+    """symbol, time, open, high, low, close of the columns; without a box, a fiftieth of the high-low range."""
+    return _drawn(fold(_boxed(bars, box, "high", "low", 50), [figure_steps(reversal)]))

@@ -42,10 +42,15 @@ def long_symbols(bars: DataFrame, span: int = SPAN) -> DataFrame:
     return bars.groupBy("symbol").agg(cuts.alias("_bounds"), F.count("*").alias("_rows")).where(F.col("_rows") > span).drop("_rows")
 
 
+def bucketed(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """rows with `_long`, whether their symbol is one of those, and `_bucket`, the number of its bucket of times (0 for others)."""
+    rows = rows.join(long, "symbol", "left").withColumn("_long", F.col("_bounds").isNotNull())
+    return rows.withColumn("_bucket", F.when(F.col("_long"), F.size(F.filter("_bounds", lambda b: b < F.col("time")))).otherwise(0)).drop("_bounds")
+
+
 def numbered(bars: DataFrame, long: DataFrame, span: int) -> DataFrame:
     """bars with `i`, the number of the row in its symbol, `_part`, that of its stretch, and `_long`."""
-    rows = bars.join(long, "symbol", "left").withColumn("_long", F.col("_bounds").isNotNull())
-    rows = rows.withColumn("_bucket", F.when(F.col("_long"), F.size(F.filter("_bounds", lambda b: b < F.col("time")))).otherwise(0)).drop("_bounds")
+    rows = bucketed(bars, long)
     counts = rows.where("_long").groupBy("symbol", "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("symbol").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(counts.select("symbol", "_bucket", before.alias("_before")), ["symbol", "_bucket"], "left")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import calendar, resample, scalars, trading
 from tickloom.operators import compare, derived, orderflow
+from tickloom.operators.stretches import long_symbols
 from tickloom.operators.windows import RUNNING
 from tickloom.plans.duck import plan_sql
 from tickloom.plans.run import chained, indicator, run_plan
 from tickloom.sources.market import BAR_SECONDS, TICKS_SQL, bars, bars_sql, ticks
+from tickloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,14 +169,48 @@ def heikin_ashi(spark, sf_dir):
     return run_plan(bars(spark, sf_dir), derived.HEIKIN_ASHI)
 
 
-@query()
+RENKO_SQL = f"""
+WITH RECURSIVE b AS MATERIALIZED ({bars_sql()}),
+e AS (SELECT symbol, CASE WHEN max(close) > min(close) THEN max(close) - min(close) ELSE 1.0 END / 40 AS box, min(time) AS first, max(time) AS last FROM b GROUP BY symbol),
+n AS MATERIALIZED (SELECT symbol, time, close, box, first, last, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM b JOIN e USING (symbol)),
+r AS (SELECT symbol, i, close AS base0, 0.0::DOUBLE AS before, 0.0::DOUBLE AS after FROM n WHERE i = 1
+      UNION ALL SELECT n.symbol, n.i, base0, after, CASE WHEN floor((close - base0) / box) > after THEN floor((close - base0) / box) WHEN ceil((close - base0) / box) < after THEN ceil((close - base0) / box) ELSE after END
+      FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1),
+k AS (SELECT symbol, i, base0, before, sign(after - before) AS step, unnest(range(0, CAST(abs(after - before) AS BIGINT))) AS k FROM r),
+m AS (SELECT symbol, box, first, last, base0 + (before + k * step) * box AS s, base0 + (before + k * step) * box + step * box AS f, row_number() OVER (PARTITION BY symbol ORDER BY i, k) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS c FROM k JOIN n USING (symbol, i))
+SELECT symbol, CAST(floor(CASE WHEN c = 1 OR last <= first THEN CAST(first + j AS DOUBLE) ELSE first + j / greatest(c - 1, 1) * (last - first) END * 1000) AS BIGINT) AS time_ms, s AS open, greatest(s, f) AS high, least(s, f) AS low, f AS close FROM m"""
+
+FIGURE_SQL = f"""
+WITH RECURSIVE b AS MATERIALIZED ({bars_sql()}),
+e AS (SELECT symbol, CASE WHEN max(high) > min(low) THEN max(high) - min(low) ELSE 1.0 END / 50 AS box, min(time) AS first, max(time) AS last FROM b GROUP BY symbol),
+n AS MATERIALIZED (SELECT symbol, close, box, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM b JOIN e USING (symbol)),
+r AS (SELECT symbol, i, close AS grid, 0 AS way, close AS top, close AS bottom, 0 AS part, close AS start, 0 AS mode FROM n WHERE i = 1
+      UNION ALL
+      SELECT symbol, i, grid, CASE mode WHEN 0 THEN way WHEN 1 THEN 1 WHEN 4 THEN 1 ELSE -1 END, CASE mode WHEN 1 THEN floor((close - grid) / box) * box + grid WHEN 4 THEN close ELSE top END,
+             CASE mode WHEN 2 THEN ceil((close - grid) / box) * box + grid WHEN 3 THEN close ELSE bottom END, part + CASE WHEN mode >= 3 THEN 1 ELSE 0 END,
+             CASE WHEN mode = 1 AND way = 0 THEN bottom WHEN mode = 2 AND way = 0 THEN top WHEN mode = 3 THEN top - box WHEN mode = 4 THEN bottom + box ELSE start END, mode
+      FROM (SELECT n.symbol, n.i, n.close, n.box, r.grid, r.way, r.top, r.bottom, r.part, r.start,
+                   CASE WHEN way >= 0 AND n.close >= top + box THEN 1 WHEN way <= 0 AND n.close <= bottom - box THEN 2
+                        WHEN way = 1 AND n.close <= top - 2 * box THEN 3 WHEN way = -1 AND n.close >= bottom + 2 * box THEN 4 ELSE 0 END AS mode
+            FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)),
+c AS (SELECT symbol, part, arg_max(start, i) AS s, arg_max(CASE WHEN way = 1 THEN top ELSE bottom END, i) AS f FROM r WHERE mode > 0 GROUP BY symbol, part),
+m AS (SELECT c.*, first, last, row_number() OVER (PARTITION BY symbol ORDER BY part) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS n FROM c JOIN e USING (symbol))
+SELECT symbol, CAST(floor(CASE WHEN n = 1 OR last <= first THEN CAST(first + j AS DOUBLE) ELSE first + j / greatest(n - 1, 1) * (last - first) END * 1000) AS BIGINT) AS time_ms, s AS open, greatest(s, f) AS high, least(s, f) AS low, f AS close FROM m"""
+
+
+def _in_ms(bars: DataFrame) -> DataFrame:
+    """Bars with their time in whole milliseconds, which engines round alike."""
+    return bars.select("symbol", F.floor(F.col("time") * 1000).alias("time_ms"), "open", "high", "low", "close")
+
+
+@query(RENKO_SQL)
 def renko(spark, sf_dir):
-    return derived.renko(bars(spark, sf_dir))
+    return _in_ms(derived.renko(bars(spark, sf_dir)))
 
 
-@query()
+@query(FIGURE_SQL)
 def point_and_figure(spark, sf_dir):
-    return derived.point_and_figure(bars(spark, sf_dir))
+    return _in_ms(derived.point_and_figure(bars(spark, sf_dir)))
 
 
 @query(f"SELECT symbol, time, base, (close / base - 1) * 100 AS relative FROM (SELECT *, first_value(close) OVER (PARTITION BY symbol ORDER BY CASE WHEN time >= 1704672000 THEN 0 ELSE 1 END, time) AS base FROM ({bars_sql()}))")
@@ -199,6 +235,15 @@ def as_of_nearest(spark, sf_dir):
     return compare.as_of(left, all_bars, "close")
 
 
+@query(SQL["as_of_nearest"])
+def as_of_stretched(spark, sf_dir):
+    """The same with every symbol of more than 50 rows spread over buckets of its times."""
+    all_bars = bars(spark, sf_dir)
+    left = all_bars.select("symbol", (F.floor(F.col("time") / 50000) * 50000).alias("time")).distinct()
+    long = long_symbols(left.unionByName(all_bars.select("symbol", "time")), 50)
+    return compare.as_of(left, all_bars, "close", long=long)
+
+
 @query(f"""
 WITH r AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY symbol) / 50.0) AS BIGINT) AS size FROM ({bars_sql()}))
 SELECT symbol, CAST(floor(i / size) AS BIGINT) AS bucket, min(time) AS time, arg_min(close, time) AS open, max(close) AS high, min(close) AS low, arg_max(close, time) AS close, count(close) AS n FROM r GROUP BY ALL""")
@@ -256,6 +301,33 @@ def session_trades(spark, sf_dir):
     return calendar.with_session(ticks(spark, sf_dir).select("symbol", "time", "id"), _sessions(spark)).where("session is not null").select("symbol", "time", "id", "session")
 
 
+@query(f"""
+SELECT symbol, day || '/main' AS session, 'regular' AS kind, a AS session_open, b AS session_close, min(time) AS time, arg_min(price, (micros, id)) AS open, max(price) AS high, min(price) AS low,
+       arg_max(price, (micros, id)) AS close, sum(volume) AS volume, count(*) AS trade_count
+FROM ({TICKS_SQL}) JOIN ({_SESSIONS_SQL}) ON time >= a AND time < b GROUP BY symbol, day, a, b""")
+def session_bars(spark, sf_dir):
+    """Bars of whole sessions, by the windows that a stream of trades has."""
+    trades = ticks(spark, sf_dir).withColumn("ts", F.timestamp_micros("micros"))
+    return live.live_session_bars(trades, _sessions(spark))
+
+
+#: A second market, whose hours overlap those of the first for an hour.
+BERLIN = calendar.Schedule("Europe/Berlin", (calendar.SessionRule("day", (1, 2, 3, 4, 5), "08:00", "16:30"),))
+_BERLIN_SQL = "SELECT CAST(epoch(d) AS BIGINT) + 25200 AS a, CAST(epoch(d) AS BIGINT) + 55800 AS b FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-15', INTERVAL 1 DAY)) AS d) WHERE isodow(d) <= 5"
+
+
+@query(f"""
+WITH s AS ({_SESSIONS_SQL}), x AS (SELECT symbol, time, close FROM ({bars_sql(900)}) JOIN ({_BERLIN_SQL}) ON time >= a AND time < b WHERE symbol = 'purchase' UNION ALL SELECT symbol, time, close FROM ({bars_sql(900)}) JOIN s ON time >= a AND time < b WHERE symbol = 'click'),
+p AS (SELECT *, CAST((SELECT coalesce(sum(greatest(0, least(b, x.time) - a)), 0) FROM s) AS BIGINT) AS trading_time FROM x WHERE time < (SELECT max(b) FROM s))
+SELECT trading_time, arg_max(close, time) FILTER (WHERE symbol = 'click') AS click, arg_max(close, time) FILTER (WHERE symbol = 'purchase') AS purchase FROM p GROUP BY trading_time""")
+def session_alignment(spark, sf_dir):
+    """Quarter-hour closes of one series in New York's hours and of another in Berlin's, on the clock of New York's sessions."""
+    rows, own = bars(spark, sf_dir, 900), _sessions(spark)
+    part = lambda name, table: calendar.trading_rows(rows.where(F.col("symbol") == name).select("time", F.col("close").alias("value")), table)
+    berlin = calendar.sessions(spark, BERLIN, "2024-01-01", "2024-02-15")
+    return compare.aligned_on_sessions({"click": part("click", own), "purchase": part("purchase", berlin)}, own)
+
+
 @query(f"SELECT t.symbol, t.time, t.id, CAST((SELECT coalesce(sum(greatest(0, least(b, t.time) - a)), 0) FROM ({_SESSIONS_SQL})) AS BIGINT) AS trading_time FROM ({TICKS_SQL}) t")
 def trading_time(spark, sf_dir):
     return calendar.projected(ticks(spark, sf_dir).select("symbol", "time", "id"), _sessions(spark))

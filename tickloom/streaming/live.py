@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.functions.calendar import KINDS, with_session
 from tickloom.operators.compare import upserted
+from tickloom.operators.derived import figure_steps, renko_steps
 from tickloom.operators.folds import Average, Machine
 from tickloom.operators.orderflow import tick_of
 from tickloom.ship import ship
@@ -31,6 +33,24 @@ def live_bars(trades: DataFrame, interval: str, lateness: str = "1 minute", offs
     )
 
 
+def live_session_bars(trades: DataFrame, table: DataFrame, kinds: tuple[str, ...] = KINDS, lateness: str = "1 minute") -> DataFrame:
+    """Bars of whole trading sessions (`calendar.sessions`) of trades (symbol, ts, price, volume, id), a stream or a table.
+
+    A trade opens a window that ends when its session closes, and windows of one session merge; in append mode a bar is given
+    once, when the watermark has passed the close, and trades that come later still are dropped. Trades outside every
+    session have no part in any bar. Opens and closes are the table's, so sessions of a zone follow its clock changes.
+    """
+    order = F.struct("ts", "id")
+    timed = trades.withWatermark("ts", lateness).select("symbol", "ts", "price", "volume", "id", F.unix_seconds("ts").alias("time"))
+    placed = with_session(timed, table, kinds).where("session is not null")
+    left = F.concat((F.col("session_close") * 1_000_000 - F.unix_micros("ts")).cast("string"), F.lit(" microseconds"))
+    return (
+        placed.groupBy(F.session_window("ts", left).alias("window"), "symbol", "session", "kind", "session_open", "session_close")
+        .agg(F.min("time").alias("time"), F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("trade_count"))
+        .drop("window")
+    )
+
+
 def live_footprint(trades: DataFrame, interval: str, size: float, lateness: str = "1 minute") -> DataFrame:
     """Bid and ask volume by bar and tick. A trade id that comes again within the watermark counts once."""
     side = lambda s: F.sum(F.when(F.col("aggressor_side") == s, F.col("volume")).otherwise(0.0))
@@ -79,6 +99,25 @@ def live_study(bars: DataFrame, study: Machine | Average) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(advance, f"symbol string, time long, {outs}, final boolean", "done string, pending string", "update", GroupStateTimeout.NoTimeout)
 
 
+def live_renko(bars: DataFrame, box: float) -> DataFrame:
+    """What each bar of a stream moves a Renko chart of this box; the latest is a preview, as in `live_study`.
+
+    Keep the rows by `into_steps` and read the bricks of all bars so far with `derived.renko_of(held(spark, folder), box)`.
+    """
+    return live_study(bars.withColumn("box", F.lit(float(box))), renko_steps())
+
+
+def live_figure(bars: DataFrame, box: float, reversal: float = 2.0) -> DataFrame:
+    """The same for the columns of a Point and Figure chart, which `derived.figure_of` draws."""
+    return live_study(bars.withColumn("box", F.lit(float(box))), figure_steps(reversal))
+
+
+def into_steps(folder: str, seconds: int = 86400):
+    """A foreachBatch function that keeps, of every bar, what the latest micro-batch says: a preview gives way to its revision."""
+    put = upsert_into(folder, seconds)
+    return lambda batch, number: put(batch.withColumn("version", F.lit(number).cast("long")), number)
+
+
 def folder_of(symbol: str) -> Column:
     """The partition of a symbol; null and empty ones, which Spark would put into one default folder and read back as null, have a name."""
     return F.when(F.col(symbol).isNull(), "(null)").when(F.col(symbol) == "", "(empty)").otherwise(F.col(symbol))
