@@ -169,15 +169,15 @@ def heikin_ashi(spark, sf_dir):
     return run_plan(bars(spark, sf_dir), derived.HEIKIN_ASHI)
 
 
+#: One box a turn, as bricks are laid: a bar stays until it moves the base no more.
 RENKO_SQL = f"""
 WITH RECURSIVE b AS MATERIALIZED ({bars_sql()}),
 e AS (SELECT symbol, CASE WHEN max(close) > min(close) THEN max(close) - min(close) ELSE 1.0 END / 40 AS box, min(time) AS first, max(time) AS last FROM b GROUP BY symbol),
-n AS MATERIALIZED (SELECT symbol, time, close, box, first, last, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM b JOIN e USING (symbol)),
-r AS (SELECT symbol, i, close AS base0, 0.0::DOUBLE AS before, 0.0::DOUBLE AS after FROM n WHERE i = 1
-      UNION ALL SELECT n.symbol, n.i, base0, after, CASE WHEN floor((close - base0) / box) > after THEN floor((close - base0) / box) WHEN ceil((close - base0) / box) < after THEN ceil((close - base0) / box) ELSE after END
-      FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1),
-k AS (SELECT symbol, i, base0, before, sign(after - before) AS step, unnest(range(0, CAST(abs(after - before) AS BIGINT))) AS k FROM r),
-m AS (SELECT symbol, box, first, last, base0 + (before + k * step) * box AS s, base0 + (before + k * step) * box + step * box AS f, row_number() OVER (PARTITION BY symbol ORDER BY i, k) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS c FROM k JOIN n USING (symbol, i))
+n AS MATERIALIZED (SELECT symbol, close, box, row_number() OVER (PARTITION BY symbol ORDER BY time) AS i FROM b JOIN e USING (symbol)),
+r AS (SELECT symbol, 2::BIGINT AS i, close AS base, close AS base0, 0 AS after, 0 AS step, 0 AS turn FROM n WHERE i = 1
+      UNION ALL SELECT symbol, i + CASE WHEN step = 0 THEN 1 ELSE 0 END, base + step * box, base0, after + step, step, turn + 1
+      FROM (SELECT r.symbol, r.i, base, base0, after, turn, box, CASE WHEN close >= base + box THEN 1 WHEN close <= base - box THEN -1 ELSE 0 END AS step FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i)),
+m AS (SELECT symbol, first, last, base0 + (after - step) * box AS s, base0 + (after - step) * box + step * box AS f, row_number() OVER (PARTITION BY symbol ORDER BY turn) - 1 AS j, count(*) OVER (PARTITION BY symbol) AS c FROM r JOIN e USING (symbol) WHERE step <> 0)
 SELECT symbol, CAST(floor(CASE WHEN c = 1 OR last <= first THEN CAST(first + j AS DOUBLE) ELSE first + j / greatest(c - 1, 1) * (last - first) END * 1000) AS BIGINT) AS time_ms, s AS open, greatest(s, f) AS high, least(s, f) AS low, f AS close FROM m"""
 
 FIGURE_SQL = f"""
