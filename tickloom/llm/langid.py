@@ -124,17 +124,18 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array(made, pa.list_(pa.int64()))], names=["lang", "u", "grams"])
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 200) -> LanguageModel | None:
+def train(docs: DataFrame, per_language: int = 400, rows_in_all: int = 80_000) -> LanguageModel | None:
     """Learn from text and lang of rows whose fold (crc32 of doc_id modulo 3) is not 1.
 
-    About `per_language` rows of each of the `languages` commonest languages at most, chosen by a hash of doc_id and
-    text, reach the driver as n-gram codes. Repeated rows teach once; rows without a language, a doc_id or a letter
+    All languages are learned. About `per_language` rows of each at most, fewer where that would pass `rows_in_all` but 16 at
+    least, chosen by a hash of doc_id and text, reach the driver as n-gram codes. Repeated rows teach once; rows without a language, a doc_id or a letter
     teach nothing.
     """
     rows = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(16, rows_in_all // len(counts)))
     # rank in a hash order, as a share: a language with n rows keeps those below per_language / n
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])

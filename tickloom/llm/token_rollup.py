@@ -105,26 +105,38 @@ class TokenRollup:
         self._point(f"batch-{batch}", self._write(changes.select(*KEYS, sign.cast("long").alias("n_docs"), tokens.alias("n_tokens")).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS))))
         return True
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, version, n_docs, n_tokens; groups that deletes have emptied are left out."""
+    def _named(self) -> DataFrame:
+        """run, id: the runs that count, and the batch of each (empty for what was compacted)."""
         if not self._files.exists(self._path("pointers")):
+            return self.spark.createDataFrame([], "run string, id string")
+        name = F.regexp_extract(F.col("_metadata.file_path"), "/batch-([^/]*)$", 1)
+        return self.spark.read.text(f"{self.folder}/pointers").select(F.col("value").alias("run"), F.url_decode(name).alias("id"))
+
+    def _totals(self, named: DataFrame) -> DataFrame:
+        if not self._files.exists(self._path("ledger")):
             return self.spark.createDataFrame([], LEDGER).drop("run")
-        named = self.spark.read.text(f"{self.folder}/pointers").select(F.col("value").alias("run")).distinct()
         runs = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger")
-        rows = runs.join(named, "run", "left_semi").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS))
+        rows = runs.join(named.select("run").distinct(), "run", "left_semi").groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS))
         return rows.where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, version, n_docs, n_tokens; groups that deletes have emptied are left out."""
+        return self._totals(self._named())
+
     def compact(self, folder: str) -> TokenRollup:
-        """A new ledger in `folder`, which must not have one, whose first run holds this one's totals and which knows its batches."""
+        """A new ledger in `folder`, which must not have one, whose first run holds this one's totals and which knows its batches.
+
+        Both are those of one list of pointers, read once and written down: a batch committed meanwhile is in neither, and
+        counts when it is delivered to the new ledger.
+        """
         other = TokenRollup(self.spark, folder)
         if other._files.exists(other._path("pointers")):
             raise ValueError("there is a ledger in that folder")
-        known = self.spark.createDataFrame([], "id string")
-        if self._files.exists(self._path("pointers")):
-            name = F.regexp_extract(F.col("_metadata.file_path"), "/batch-([^/]*)$", 1)
-            known = self.spark.read.text(f"{self.folder}/pointers").select(F.url_decode(name).alias("id")).where("id <> ''")
+        self._named().write.mode("overwrite").parquet(f"{other.folder}/snapshot")
+        named = self.spark.read.schema("run string, id string").parquet(f"{other.folder}/snapshot")
+        known = named.select("id").where("id <> ''")
         if self._files.exists(self._path("folded")):
             known = known.union(self.spark.read.schema("id string").parquet(f"{self.folder}/folded"))
-        known.write.parquet(f"{other.folder}/folded")
-        other._point("folded", other._write(self.totals()))
+        known.write.mode("overwrite").parquet(f"{other.folder}/folded")
+        other._point("folded", other._write(self._totals(named)))
         return other
