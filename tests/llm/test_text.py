@@ -368,3 +368,27 @@ def test_head_of_words_that_are_equally_common(spark):
     counts = spark.createDataFrame([(f"w{k}".encode(), 1, 1) for k in range(3000)], "word binary, n long, m long")
     assert 800 < len(gru_lm.frequent(counts, 1000)) < 1200
     assert len(gru_lm.frequent(counts, 5000)) == 3000
+
+
+def test_words_without_ids_of_their_own_have_chances_by_context(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = documents(spark, [(k, " ".join(f"{rng.randrange(10**6)}{('kal', 'tin')[i % 2]}" for i in range(200))) for k in range(200)])
+    got = rows(gru_lm.score(docs, least=200_000))
+    held = [r for r in got if r["held_out"]]
+    # hardly a word is met twice, yet of two kinds only one can come next: log10(2) a token
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.2
+
+
+def test_chances_of_all_words_sum_to_one(spark):
+    docs = documents(spark, [(k, f"the {k}a cat {k}bcd sat {k}bcd on {k % 5}bcd") for k in range(2, 40)])
+    counts = gru_lm.checkpointed(gru_lm.word_counts(docs, docs.doc_id >= 0))
+    model = gru_lm.train(docs, counts, 30, 0.5, 4, 3, 1, 1, 7)
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    of = {w: model.ids[model.words[w]] if w in model.words else model.ending[w] for w in n}
+    inside = np.zeros(len(model.shared))
+    for w, k in of.items():
+        inside[k] += (n[w] + gru_lm.SMOOTH) / model.shared[k] if model.shared[k] else 1
+    inside += np.where(model.shared, gru_lm.SMOOTH / np.where(model.shared, model.shared, 1), 0)
+    assert np.allclose(inside, 1) and len(model.shared) == len({k for k in of.values() if not model.shared[k]}) + 7

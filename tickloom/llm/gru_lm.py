@@ -2,9 +2,10 @@
 
 Counts come from every training document: words are counted in the tasks and summed by Spark, the most
 frequent `head` words are broadcast, and the counts of all others reach the documents through a join, so the
-vocabulary is never cut. The network (one GRU layer, trained in numpy by truncated backpropagation) predicts
-the next of the `known` words, the end, or "another word" through a softmax factored into classes; within
-"another word" a word has the chance of its smoothed count. The known words are the fewest that cover a share
+vocabulary is never cut. The network (one GRU layer, trained in numpy by truncated backpropagation) reads and
+predicts every token: the known words and the end by ids of their own, every other word by the id that it shares with
+the words of like ending (a hash of its last bytes), through a softmax factored into classes; among the words
+of one ending a word has the chance of its smoothed count. The known words are the fewest that cover a share
 of all training tokens. Every training document trains the network: in each of a few rounds the tasks go
 through a part of the documents, each from the same weights, and the weights they reach are averaged in Spark,
 weighted by tokens. State is carried across windows, so a document's likelihood conditions on all its earlier
@@ -14,6 +15,7 @@ words.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,13 +31,19 @@ from tickloom.ship import in_arrow
 
 #: Stands for the end of a document; no word is empty.
 END = b""
-OTHER = 0
 SMOOTH = 0.1
+#: Bytes at a word's end that tell which id it shares with others.
+TAIL = 3
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 NAMES = ("inputs", "recur", "classes", "within")
 
 
+def by_id(ids: np.ndarray) -> np.ndarray:
+    """The stable order of ids, which numpy finds fastest for 16 bits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_ASCII).split()
 
@@ -63,12 +71,26 @@ def word_counts(docs: DataFrame, teaches: Column) -> DataFrame:
     return in_arrow(rows, _count, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+class Ids(dict):
+    """Word to id: the known words by ids of their own, any other by the id of its ending."""
+
+    def __init__(self, known: dict[bytes, int], endings: list[int]):
+        super().__init__(known)
+        self.endings = endings
+
+    def __reduce__(self) -> tuple:
+        return Ids, (dict(self), self.endings)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.endings[zlib.crc32(word[-TAIL:]) % len(self.endings)]
+
+
 @dataclass
 class Network:
-    """A GRU over word ids with a class-factored softmax.
+    """A GRU over ids, commonest first, with a class-factored softmax.
 
-    Id 0 is any other word, ids 1.. the known words in order of frequency (the end among them). Classes are
-    runs of ids of like total count: `first[c]` is the first id of class c.
+    Classes are runs of ids with like sums of the square roots of their counts, which keeps those of common ids
+    small: `first[c]` is the first id of class c.
     """
 
     inputs: np.ndarray  # (ids, 3H): what a word adds to the gates and the candidate
@@ -85,10 +107,8 @@ class Network:
     def blank(counts: np.ndarray, hidden: int, classes: int, seed: int = 7) -> Network:
         """Small random weights; output biases are the log shares of the counts, so it starts as a unigram model."""
         random = np.random.default_rng(seed)
-        share = np.cumsum(counts[1:]) / max(1e-9, counts[1:].sum())
-        cuts = np.unique(np.searchsorted(share, np.arange(1, classes) / classes) + 1)
-        first = np.unique(np.concatenate([[0, 1], cuts + 1, [len(counts)]]))
-        first = first[first <= len(counts)]
+        share = np.cumsum(np.sqrt(counts))
+        first = np.unique(np.concatenate([[0], np.searchsorted(share, share[-1] * np.arange(1, classes) / classes) + 1, [len(counts)]]))
         total = np.add.reduceat(counts, first[:-1])
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         draw = lambda *s: random.normal(0, 0.1, s).astype(np.float32)
@@ -127,17 +147,19 @@ class Network:
 
     def log_chance(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's chance given the state before it."""
-        order = np.argsort(targets, kind="stable")
+        order = by_id(targets)
         hit = targets[order]
         full = np.hstack([states, np.ones((len(states), 1), np.float32)])[order]
         edges = np.searchsorted(hit, self.first)
 
         def log_soft(part: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
             score = part @ weights
-            score -= score.max(axis=1, keepdims=True)
+            # states lie between -1 and 1, so small weights cannot overflow
+            if np.abs(weights).sum(axis=0).max() > 80:
+                score -= score.max(axis=1, keepdims=True)
             chosen = score[np.arange(len(at)), at]
             np.exp(score, out=score)
-            return (chosen - np.log(score.sum(axis=1))).astype(float)
+            return (chosen - np.log(score @ np.ones(score.shape[1], score.dtype))).astype(float)
 
         made = log_soft(full, self.classes, np.repeat(np.arange(len(self.first) - 1), np.diff(edges)))
         for c in np.flatnonzero(np.diff(edges)):
@@ -186,7 +208,7 @@ class Network:
             kept.append(rest)
         targets = part[1:].ravel()
         n = len(targets)
-        order = np.argsort(targets, kind="stable")
+        order = by_id(targets)
         hit = targets[order]
         full = np.ones((n, h + 1), np.float32)
         full[:, :h] = states[1:].reshape(n, h)[order]
@@ -194,9 +216,10 @@ class Network:
 
         def missed(part: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
             p = part @ weights
-            p -= p.max(axis=1, keepdims=True)
+            if np.abs(weights).sum(axis=0).max() > 80:
+                p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p *= 1 / (n * p.sum(axis=1, keepdims=True))
+            p *= (1 / (n * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
             p[np.arange(len(at)), at] -= np.float32(1 / n)
             return p
 
@@ -227,7 +250,7 @@ class Network:
             to_state[t, :, 2 * h :] *= gate[:, h:]
             later = later * (1 - gate[:, :h]) + to_state[t] @ self.recur.T
         grads["recur"] = states[:-1].reshape(n, h).T @ to_state.reshape(n, 3 * h)
-        order = np.argsort(part[:-1].ravel(), kind="stable")
+        order = by_id(part[:-1].ravel())
         touched, first = np.unique(part[:-1].ravel()[order], return_index=True)
         grads["inputs"] = np.add.reduceat(to_input.reshape(n, 3 * h)[order], first, axis=0)
         return grads, touched, states[-1]
@@ -274,15 +297,16 @@ class Learner:
 
 @dataclass
 class Model:
-    """What scoring needs in every task: the head's words, their training counts, logs and ids, the network and the totals."""
+    """What scoring needs in every task: the head's words, their training counts and ids, the ids of endings, the network and the totals."""
 
     words: dict[bytes, int]
     counts: np.ndarray
     ids: np.ndarray
+    ending: Ids
     network: Network
     tokens: int
     distinct: int
-    other: float
+    shared: np.ndarray  # by id: the smoothed count of the words that share it, 0 for a known word's own
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1)))
@@ -310,11 +334,11 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = sorted((part, tokens, bytes(w)) for batch in batches for part, tokens, w in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "weights")), strict=True))
     if got:
-        total = np.sum([np.frombuffer(w, np.float64) for _, _, w in got], axis=0)
+        total = np.sum([np.frombuffer(w, np.float32) for _, _, w in got], axis=0, dtype=np.float64).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([got[0][0]], pa.int32()), pa.array([sum(n for _, n, _ in got)], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
 
-def one_round(network: Network, docs: DataFrame, ids: dict[bytes, int], rate: float, lanes: int) -> Network:
+def one_round(network: Network, docs: DataFrame, ids: Ids, rate: float, lanes: int) -> Network:
     """The average, weighted by tokens, of the networks that the tasks reach, each on its documents (text) from `network`.
 
     Each task goes through its words in `lanes` side by side. The sums of weights are merged sixteen to one until few
@@ -326,13 +350,13 @@ def one_round(network: Network, docs: DataFrame, ids: dict[bytes, int], rate: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, ids = ships.value
-        get, end = ids.get, ids[END]
+        of, end = ids.__getitem__, ids[END]
         learner = Learner(network.copy(), rate, lanes)
         # each document starts from what follows an end
         held, tokens, full = [end], 0, learner.lanes * learner.length
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
-                held += [get(w, OTHER) for w in words_of(text.as_py())]
+                held += map(of, words_of(text.as_py()))
                 held.append(end)
                 while len(held) > full:
                     learner.learn(np.array(held[: full + 1]))
@@ -341,7 +365,7 @@ def one_round(network: Network, docs: DataFrame, ids: dict[bytes, int], rate: fl
             learner.learn(np.array(held))
             tokens += len(held) - 1
         if tokens:
-            made = learner.network.flat().astype(np.float64) * tokens
+            made = learner.network.flat() * np.float32(tokens)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([made.tobytes()], pa.binary())], names=schema.replace(",", "").split()[::2])
 
     models = in_arrow(docs.select("text"), run, schema)
@@ -353,10 +377,10 @@ def one_round(network: Network, docs: DataFrame, ids: dict[bytes, int], rate: fl
     ships.unpersist()
     if not got:
         return network
-    return network.with_weights(np.sum([np.frombuffer(r["weights"], np.float64) for r in got], axis=0) / sum(r["tokens"] for r in got))
+    return network.with_weights(np.sum([np.frombuffer(r["weights"], np.float32) for r in got], axis=0, dtype=np.float64) / sum(r["tokens"] for r in got))
 
 
-def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden: int, classes: int, rounds: int, least: int) -> Model:
+def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden: int, classes: int, rounds: int, least: int, endings: int) -> Model:
     """Fit the network on all of `docs` (doc_id, text), those of a round chosen by a hash of doc_id.
 
     A corpus of fewer than `least` tokens is gone through as often as makes up for it, eight times at most.
@@ -373,13 +397,24 @@ def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden
     share = np.cumsum(n_of[by_count]) / max(1, tokens)
     known = by_count[: int(np.searchsorted(share, coverage)) + 1]
     known += [words[END]] if words[END] not in known else []
-    ids = {top[k][0]: i for i, k in enumerate(known, 1)}
-    id_of = np.zeros(len(top), dtype=np.int64)
-    id_of[known] = np.arange(1, len(known) + 1)
-    of_known = n_of[known] + SMOOTH
-    # what is left for words that are not known: their counts, and one share for the unseen
-    other = max(tokens + SMOOTH * (distinct + 1) - of_known.sum() + (0 if n_of[words[END]] or not tokens else SMOOTH), SMOOTH)
-    network = Network.blank(np.concatenate([[other], of_known]), hidden, classes)
+    # an ending has the counts of its words that are not known, and one share for the unseen
+    ending = F.crc32(F.substring("word", -TAIL, TAIL)) % endings
+    of_ending = np.full(endings, SMOOTH)
+    for r in counts.where("n > 0").groupBy(ending.alias("e")).agg(F.sum(F.col("n") + SMOOTH).alias("n")).collect():
+        of_ending[r["e"]] += r["n"]
+    for k in known:
+        if n_of[k]:
+            of_ending[zlib.crc32(top[k][0][-TAIL:]) % endings] -= n_of[k] + SMOOTH
+    mass = np.concatenate([n_of[known] + SMOOTH, np.maximum(of_ending, SMOOTH)])
+    order = np.argsort(-mass, kind="stable")
+    place = np.empty(len(mass), np.int64)
+    place[order] = np.arange(len(mass))
+    shared = np.where(order < len(known), 0, mass[order])
+    ending_ids = Ids({}, place[len(known) :].tolist())
+    own = {top[k][0]: int(i) for k, i in zip(known, place)}
+    id_of = np.array([own[w] if w in own else ending_ids[w] for w, _, _ in top], dtype=np.int64)
+    ids = Ids(dict(zip((w for w, _, _ in top), id_of.tolist(), strict=True)), ending_ids.endings)
+    network = Network.blank(mass[order], hidden, classes)
     passes = max(1, min(8, -(-least // max(1, tokens)))) if tokens else 0
     # a task goes through a few hundred thousand tokens at least, so that what it learns is worth averaging
     text = docs.where("doc_id is not null").select(F.col("doc_id"), F.col("text"))
@@ -390,10 +425,10 @@ def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden
     for k in range(rounds * passes):
         some = text.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k % rounds).select("text")
         network = one_round(network, some, ids, 0.02 * (1 - 0.9 * k / max(1, rounds * passes - 1)), lanes)
-    return Model(words, n_of, id_of, network, tokens, distinct, other)
+    return Model(words, n_of, id_of, ending_ids, network, tokens, distinct, shared)
 
 
-def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.45, hidden: int = 12, classes: int = 24, rounds: int = 3, least: int = 2_000_000, group: int = 2048) -> DataFrame:
+def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.6, hidden: int = 24, classes: int = 48, rounds: int = 3, least: int = 2_000_000, group: int = 2048, endings: int = 512) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Training documents are those whose crc32(doc_id) modulo 10 is not 0; a null doc_id is scored but teaches
@@ -403,17 +438,18 @@ def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.45, hidden:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", 10) == 0).alias("_held"))
     counts = checkpointed(word_counts(rows, ~F.col("_held")))
-    model = train(rows.where("not _held"), counts, head, coverage, hidden, classes, rounds, least)
+    model = train(rows.where("not _held"), counts, head, coverage, hidden, classes, rounds, least, endings)
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         get, logs = model.words.get, np.append(model.base(model.counts), 0.0)
-        met, id_of = np.append(model.counts > 0, False), np.append(model.ids, OTHER)
+        met, ending = np.append(model.counts > 0, False), model.ending
         task, done = TaskContext.get().partitionId(), 0
-        # a known word has the network's chance; another word that of its count among the others
-        share = np.log10(model.other / (model.tokens + SMOOTH * (model.distinct + 1)))
+        # a known word has the network's chance; another word that of its ending, times that of its count among its words
+        own_id = model.shared == 0
+        share = np.log10(np.where(own_id, 1, model.shared / (model.tokens + SMOOTH * (model.distinct + 1))))
         for batch in batches:
             for at in range(0, batch.num_rows, group):
                 some = batch.slice(at, group)
@@ -423,17 +459,19 @@ def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.45, hidden:
                     words = words_of(text.as_py())
                     words.append(END)
                     place = np.array([get(w, -1) for w in words], dtype=np.int64)
-                    unknown = Counter([words[i] for i in np.flatnonzero(place < 0).tolist()])
+                    beyond = np.flatnonzero(place < 0)
+                    last = [words[i] for i in beyond.tolist()]
+                    unknown = Counter(last)
                     rare += unknown
                     often += unknown.values()
                     ends.append(len(rare))
-                    own, log = id_of[place], logs[place]
+                    own, log = model.ids[place], logs[place]
+                    own[beyond] = list(map(ending.__getitem__, last))
                     ids.append(own)
                     n_tokens.append(len(words))
                     n_known.append(int(met[place].sum()))
                     base.append(float(log.sum()))
-                    others = own == OTHER
-                    rest.append(float(log[others].sum()) - int(others.sum()) * share)
+                    rest.append(float(log.sum() - log[own_id[own]].sum() - share[own].sum()))
                 made = model.network.score(ids) / np.log(10) + np.array(rest)
                 number = np.arange(done, done + some.num_rows, dtype=np.int64) + (task << 33)
                 done += some.num_rows
