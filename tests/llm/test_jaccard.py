@@ -83,3 +83,21 @@ def test_columns_of_any_name_go_along(spark):
         want = keep_one(awkward(spark))
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
         assert {r["_id"] for r in got.collect()} == {"_id clash"}
+
+
+def test_groups_come_through_fingerprints_and_checked_pairs(spark, monkeypatch):
+    from tickloom.llm import simhash
+
+    texts, seen, links = corpus(), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, **more: seen.append({r["node"]: r["fp"] for r in prints.collect()}) or links(prints, **more))
+    docs = documents(spark, texts)
+    signed = jaccard.checkpointed(jaccard._signed(docs, jaccard.common_shingles(docs), jaccard.SIMILAR, jaccard.WIDTH))
+    pairs = {(r["a"], r["b"]) for r in jaccard.near_prints(signed).collect()}
+    prints = {r["node"]: r["fp"] for r in signed.collect()}
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    for s in sets:
+        bits = [sum(int(h) >> b & 1 for h in s) * 2 > len(s) for b in range(64)]
+        assert prints[jaccard.node_of(s)] % (1 << 64) == sum(1 << b for b, on in enumerate(bits) if on)
+    near = {(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 2}
+    assert near and pairs <= near and {x for p in pairs for x in p} == {x for p in near for x in p}
+    assert jaccard.keep_one(docs).count() == len(set(brute(texts))) and len(seen) == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -50,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def hash_sample(df: DataFrame, key: str, bound: int, rows: int | None = None) -> DataFrame:
     """About `bound` rows at most, chosen by a hash of the key alone: the same rows in every run.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import checkpointed, join_by_key
+from tickloom.llm.common import checkpointed, join_by_key, release
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -27,11 +27,12 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
+def components(edges: DataFrame, first: str = "a", second: str = "b", tidy: bool = False) -> DataFrame:
     """node, component: for each node of an undirected edge list, the smallest node it reaches.
 
     Nodes are longs. Links with a null end and loops are ignored; an empty list gives an empty table.
-    The driver sees two numbers a round, never the edges.
+    The driver sees two numbers a round, never the edges. `tidy` is for many small lists: tables have fewer partitions,
+    and their shuffle files go at the end, as hundreds of shuffles of a few rows fill a disk by their number.
     """
     edges = checkpointed(
         edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b"))
@@ -40,12 +41,18 @@ def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFra
         .distinct()
     )
     seen = (edges.count(), None)
+
+    def stored(rows: DataFrame) -> DataFrame:
+        return checkpointed(rows.coalesce(8 + seen[0] // 20_000) if tidy else rows)
+
     while seen[0]:
-        hung = checkpointed(_large_star(edges, seen[0]).distinct())
-        edges = checkpointed(_small_star(hung, seen[0]))
+        hung = stored(_large_star(edges, seen[0]).distinct())
+        edges = stored(_small_star(hung, seen[0]))
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
             break
         seen = now
+    if tidy:
+        release(edges.sparkSession)
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)

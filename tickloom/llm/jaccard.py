@@ -1,6 +1,10 @@
-"""Near-duplicate documents by exact Jaccard similarity of their word shingles, with whole recall.
+"""Near-duplicate documents by SimHash of their word shingles, checked and made whole by exact Jaccard similarity.
 
-Candidates come from a prefix filter. The shingles of every set stand in one order; two sets of x <= y members
+First come the fingerprints: sets whose 64-bit SimHash differs in at most 2 bits meet at the anchors of `simhash`, and
+are linked if their Jaccard similarity is high enough. Similar sets may differ in more bits than anchors reach, so what
+these links leave apart goes through an exact set join, which finds every similar pair.
+
+Candidates of that join come from a prefix filter. The shingles of every set stand in one order; two sets of x <= y members
 with similarity t or more have (x + y) t / (1 + t) members in common, so one of the first x - 2 t x / (1 + t) + 1
 of the smaller is among the first y - t y + 1 of the larger. What stands behind the first shared one bounds
 what can be in common, which rejects most other pairs. Any order gives the same result; shingles that a sample finds
@@ -15,7 +19,6 @@ that are left are checked, which is whole.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
@@ -23,11 +26,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import LOWER_ASCII, checkpointed
+from tickloom.llm import simhash
+from tickloom.llm.common import LOWER_ASCII, checkpointed, release
 from tickloom.llm.components import components
 from tickloom.ship import in_arrow
 
@@ -51,6 +55,15 @@ def node_of(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).view(np.int64))
 
 
+def fingerprint(held: np.ndarray) -> int:
+    """The 64-bit SimHash of a set, as a signed long; zero where it is empty."""
+    counts = np.zeros(64, np.int64)
+    raw = held.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(raw), 1 << 14):
+        counts += np.unpackbits(raw[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(held), bitorder="little").view("<i8")[0])
+
+
 def least(size: int, similar: Fraction) -> tuple[int, int]:
     """How many first members of a set meet those of any similar set: as the smaller of the two, and as either."""
     both = 2 * similar / (1 + similar)
@@ -120,7 +133,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, parts: int = 32, often:
 
 
 def _signed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: Fraction, width: int) -> DataFrame:
-    """doc_id, key (of the text), node, n (members), first (the set's prefix), odd (its parities) for every row."""
+    """doc_id, key (of the text), node, fp (SimHash), n (members), first (the set's prefix), odd (its parities) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +142,9 @@ def _signed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similar: Fra
             firsts = [prefix(s, shared.value, similar) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "key", "node", "n", "first", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "key", "node", "fp", "n", "first", "odd"])
 
-    return in_arrow(_text(docs).select("doc_id", "key", "text"), run, "doc_id long, key long, node long, n int, first array<long>, odd binary")
+    return in_arrow(_text(docs).select("doc_id", "key", "text"), run, "doc_id long, key long, node long, fp long, n int, first array<long>, odd binary")
 
 
 def _sets(width: int):
@@ -173,10 +186,16 @@ def _similar(similar: Fraction):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def near_prints(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash holds for near: every two nodes whose fingerprints differ in 2 bits or fewer
+    are a pair, or are joined through others that are."""
+    sets = signed.select("fp", "node").distinct()
+    prints = checkpointed(sets.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    near = simhash.links(prints.select("fp", F.col("least").alias("node")), blocks=simhash.blocks_for(prints.count()))
+    alike = sets.join(prints.where("n > 1").select("fp", "least"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = checkpointed(near.union(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(signed.sparkSession)
+    return found
 
 
 def _shared(signed: DataFrame, slices: int = 3) -> DataFrame:
@@ -191,7 +210,7 @@ def _shared(signed: DataFrame, slices: int = 3) -> DataFrame:
     found = []
     for k in range(slices):
         found.append(of_slice(k))
-        _release(signed.sparkSession)
+        release(signed.sparkSession)
     return reduce(DataFrame.union, found)
 
 
@@ -208,8 +227,12 @@ def _may_be(x: str, y: str, similar: Fraction) -> Column:
 
 
 def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width: int = WIDTH, crowd: int = 16, rounds: int = 2, last: int = 5) -> DataFrame:
-    """Links (a, b) between nodes such that any two similar nodes are linked, at once or through others that are."""
+    """Links (a, b) between nodes such that any two similar nodes are linked, at once or through others that are.
+
+    Those that fingerprints lead to come first; the set join then checks only what they have left apart.
+    """
     spark = docs.sparkSession
+    near = near_prints(signed)
     shared = _shared(signed)
     sizes = checkpointed(shared.groupBy("sign").agg(F.count("*").alias("many")))
     apart = shared.join(sizes.where(F.col("many") > crowd).select("sign"), "sign", "left_semi")
@@ -228,7 +251,7 @@ def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width
         return (met.where("x.top <> y.top") if apart else met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     todo = close(pairs(shared.join(sizes.where(F.col("many") <= crowd).select("sign"), "sign", "left_semi")))
-    _release(spark)
+    release(spark)
 
     def checked(pairs: DataFrame, slices: int = 3) -> DataFrame:
         """The pairs that are similar; only the texts of their nodes are read and only a slice's sets are on disk at once."""
@@ -241,12 +264,12 @@ def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width
             one, two = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("a", "one"), ("b", "two")))
             some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
             found.append(checkpointed(in_arrow(some.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _similar(similar), "a long, b long")))
-            _release(spark)
+            release(spark)
         return reduce(DataFrame.union, found)
 
-    found = todo.limit(0)
+    found = checked(close(near))
     for k in range(last + 1):
-        tops = components(found) if k else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        tops = components(found, tidy=True)
         for n in ("a", "b"):
             todo = todo.join(tops.select(F.col("node").alias(n), F.col("component").alias(f"t{n}")), n, "left").withColumn(f"t{n}", F.coalesce(f"t{n}", n))
         todo = checkpointed(todo.where("ta <> tb").select("a", "b"))
@@ -260,7 +283,7 @@ def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width
         else:
             # what pivots have not joined is held against each other, once for all
             todo = checkpointed(todo.union(close(pairs(named, apart=True))).distinct())
-            star, named = found.limit(0), named.limit(0)
+            star, named = todo.limit(0), named.limit(0)
         some = todo if k == last else todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star).distinct()
         some = checkpointed(some)
         todo = todo.join(some, ["a", "b"], "left_anti")
@@ -272,7 +295,7 @@ def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width
 def groups(docs: DataFrame, similar: Fraction = SIMILAR, width: int = WIDTH) -> DataFrame:
     """doc_id, node, top for every row of `docs`: the set of its shingles, and the group of sets it is in."""
     signed = checkpointed(_signed(docs, common_shingles(docs, width), similar, width))
-    tops = components(links(signed, docs, similar, width))
+    tops = components(links(signed, docs, similar, width), tidy=True)
     return signed.select("doc_id", "node").join(tops, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("top"))
 
 
