@@ -101,3 +101,24 @@ def test_groups_come_through_fingerprints_and_checked_pairs(spark, monkeypatch):
     near = {(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 2}
     assert near and pairs <= near and {x for p in pairs for x in p} == {x for p in near for x in p}
     assert jaccard.keep_one(docs).count() == len(set(brute(texts))) and len(seen) == 2
+
+
+def test_components_of_a_small_graph_take_few_tasks(spark):
+    from tickloom.llm.components import components
+
+    many = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in many}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("small graph", "")
+        got = {(r["node"], r["component"]) for r in components(edges, tidy=True).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("small graph") for s in tracker.getJobInfo(j).stageIds}
+    assert got == {(k, 0) for k in range(41)}
+    assert sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 1000

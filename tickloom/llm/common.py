@@ -51,6 +51,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in no more partitions than so many rows need.
+
+    Hundreds of shuffles of a few rows would else fill disk and memory by the number of their tasks and files.
+    """
+    return df.coalesce(8 + rows // 20_000)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that nothing refers to any more."""
     gc.collect()
@@ -87,7 +95,7 @@ def join_by_key(rows: DataFrame, one: DataFrame, key: str, n: str, total: int, m
     key with a third of all rows is not gathered in one task; the other keys are joined by a shuffle.
     """
     if total <= most:
-        return rows.join(one.drop(n), key)
+        return rows.join(F.broadcast(one.drop(n)), key)
     hot = F.col(n) * F.lit(most) > F.lit(total)
     few = F.broadcast(one.where(hot).drop(n))
     others = rows.join(few.select(key), key, "left_anti").join(one.where(~hot).drop(n), key)

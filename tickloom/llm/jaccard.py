@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import simhash
-from tickloom.llm.common import LOWER_ASCII, checkpointed, release
+from tickloom.llm.common import LOWER_ASCII, checkpointed, few, release
 from tickloom.llm.components import components
 from tickloom.ship import in_arrow
 
@@ -198,20 +198,21 @@ def near_prints(signed: DataFrame) -> DataFrame:
     return found
 
 
-def _shared(signed: DataFrame, slices: int = 3) -> DataFrame:
-    """sign, node, n, pos of the first members that several nodes have; slice by slice, so that less is on disk at once."""
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _shared(sets: DataFrame, slices: int = 3) -> DataFrame:
+    """sign, node, n, pos of the first members that several of the sets have, and of how many; slice by slice, so that less
+    is on disk at once."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def of_slice(k: int) -> DataFrame:
-        members = signed.select("node", "n", F.posexplode("first").alias("pos", "sign")).where(F.pmod("sign", F.lit(slices)) == k).repartition(parts, "sign")
-        met = members.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sign")
-        return checkpointed(members.join(met, "sign", "left_semi").distinct())
+        members = sets.select("node", "n", F.posexplode("first").alias("pos", "sign")).where(F.pmod("sign", F.lit(slices)) == k).repartition(parts, "sign")
+        met = members.groupBy("sign").agg(F.count("*").cast("int").alias("many")).where("many > 1")
+        return checkpointed(members.join(met, "sign"))
 
     found = []
     for k in range(slices):
         found.append(of_slice(k))
-        release(signed.sparkSession)
-    return reduce(DataFrame.union, found)
+        release(sets.sparkSession)
+    return reduce(DataFrame.union, found).coalesce(parts)
 
 
 def _may_be(x: str, y: str, similar: Fraction) -> Column:
@@ -233,61 +234,81 @@ def links(signed: DataFrame, docs: DataFrame, similar: Fraction = SIMILAR, width
     """
     spark = docs.sparkSession
     near = near_prints(signed)
-    shared = _shared(signed)
-    sizes = checkpointed(shared.groupBy("sign").agg(F.count("*").alias("many")))
-    apart = shared.join(sizes.where(F.col("many") > crowd).select("sign"), "sign", "left_semi")
-    odd = checkpointed(signed.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "odd").dropDuplicates(["node"]))
+    # of rows with one set the first stands for all
+    sets = checkpointed(signed.select("node", "key", "n", "first", "odd").dropDuplicates(["node"]))
+    release(spark)
+    shared = _shared(sets)
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sizes and parities allow that they are similar."""
+    def close(pairs: DataFrame, rows: int | None = None) -> DataFrame:
+        """Those of the pairs (a, b), `rows` of them, whose sizes and parities allow that they are similar."""
         p, q = similar.numerator, similar.denominator
-        x, y = (odd.select(F.col("node").alias(n), F.struct("n", "odd").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+        tidy = (lambda df: df) if rows is None else lambda df: few(df, rows)
+        x, y = (sets.select(F.col("node").alias(n), F.struct("n", "odd").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+        if rows is not None and rows <= FEW // 2:
+            nodes = F.broadcast(checkpointed(tidy(tidy(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct())))
+            x, y = (tidy(z.join(nodes.withColumnRenamed("node", n), n, "left_semi")) for z, n in ((x, "a"), (y, "b")))
         sized = F.expr(f"x.n * {q} >= y.n * {p} and y.n * {q} >= x.n * {p}")
-        return checkpointed(in_arrow(pairs.distinct().join(x, "a").join(y, "b").where(sized).select("a", "b", "x", "y"), _close(similar), "a long, b long"))
+        met = tidy(tidy(tidy(pairs).distinct()).join(x, "a")).join(y, "b").where(sized).select("a", "b", "x", "y")
+        return checkpointed(in_arrow(tidy(met), _close(similar), "a long, b long"))
 
     def pairs(rows: DataFrame, apart: bool = False) -> DataFrame:
         one, two = (rows.select("sign", F.struct("node", "n", "pos", *(["top"] if apart else [])).alias(x)) for x in ("x", "y"))
         met = one.join(two, "sign").where("x.node < y.node").where(_may_be("x", "y", similar))
         return (met.where("x.top <> y.top") if apart else met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-    todo = close(pairs(shared.join(sizes.where(F.col("many") <= crowd).select("sign"), "sign", "left_semi")))
+    todo = close(pairs(shared.where(F.col("many") <= crowd)))
+    left = todo.count()
+    todo = few(todo, left)
+    crowded = shared.where(F.col("many") > crowd).select("sign", "node", "n", "pos")
+    many = crowded.count()
+    apart = checkpointed(few(crowded, many))
     release(spark)
 
-    def checked(pairs: DataFrame, slices: int = 3) -> DataFrame:
-        """The pairs that are similar; only the texts of their nodes are read and only a slice's sets are on disk at once."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        keys = checkpointed(signed.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
-        texts = _text(docs).join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi").select("key", "text")
-        sets = checkpointed(in_arrow(texts, _sets(width), "node long, held binary").dropDuplicates(["node"]))
+    def checked(pairs: DataFrame, rows: int, slices: int = 3) -> DataFrame:
+        """The pairs, `rows` of them, that are similar; only the texts of their nodes are read and only a slice's sets are on disk at once."""
+        nodes = checkpointed(few(few(pairs, rows).select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows))
+        asked = nodes.count()
+        keys = checkpointed(few(sets.select("node", "key").join(F.broadcast(nodes) if asked <= FEW else nodes, "node", "left_semi").select("key"), asked))
+        texts = _text(docs).join(F.broadcast(keys) if asked <= FEW else keys, "key", "left_semi").select("key", "text")
+        held = checkpointed(few(in_arrow(texts, _sets(width), "node long, held binary").dropDuplicates(["node"]), 4 * asked))
+        slices = min(slices, 1 + rows // 20_000)
         found = []
         for k in range(slices):
-            one, two = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("a", "one"), ("b", "two")))
-            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
-            found.append(checkpointed(in_arrow(some.join(one, "a").join(two, "b").select("a", "b", "one", "two"), _similar(similar), "a long, b long")))
+            one, two = (held.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("a", "one"), ("b", "two")))
+            some = few(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k), rows)
+            met = few(few(some.join(one, "a"), 4 * rows).join(two, "b").select("a", "b", "one", "two"), 4 * rows)
+            found.append(checkpointed(in_arrow(met, _similar(similar), "a long, b long")))
             release(spark)
-        return reduce(DataFrame.union, found)
+        return few(reduce(DataFrame.union, found), rows)
 
-    found = checked(close(near))
+    near = close(near, near.count())
+    found = checked(near, near.count())
     for k in range(last + 1):
         tops = components(found, tidy=True)
         for n in ("a", "b"):
-            todo = todo.join(tops.select(F.col("node").alias(n), F.col("component").alias(f"t{n}")), n, "left").withColumn(f"t{n}", F.coalesce(f"t{n}", n))
+            todo = few(todo.join(tops.select(F.col("node").alias(n), F.col("component").alias(f"t{n}")), n, "left"), left).withColumn(f"t{n}", F.coalesce(f"t{n}", n))
         todo = checkpointed(todo.where("ta <> tb").select("a", "b"))
-        named = apart.join(tops, "node", "left").withColumn("top", F.coalesce("component", "node")).drop("component")
-        split = named.groupBy("sign").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.min_by(F.struct("node", "top"), F.xxhash64("node", F.lit(k))).alias("pivot")).where("low <> high").select("sign", "pivot")
-        named = checkpointed(named.join(split, "sign"))
-        if named.isEmpty() and todo.isEmpty():
+        left = todo.count()
+        todo = few(todo, left)
+        named = checkpointed(few(apart.join(tops, "node", "left").withColumn("top", F.coalesce("component", "node")).drop("component"), many))
+        split = few(named.groupBy("sign").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.min_by(F.struct("node", "top"), F.xxhash64("node", F.lit(k))).alias("pivot")).where("low <> high").select("sign", "pivot"), many)
+        named = checkpointed(few(named.join(split, "sign"), many))
+        many = named.count()
+        named = few(named, many)
+        if not many and not left:
             break
         if k < rounds:
-            star = close(named.where(F.col("top") != F.col("pivot.top")).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")))
+            star = close(named.where(F.col("top") != F.col("pivot.top")).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")), many)
         else:
             # what pivots have not joined is held against each other, once for all
             todo = checkpointed(todo.union(close(pairs(named, apart=True))).distinct())
+            left, many = todo.count(), 0
+            todo = few(todo, left)
             star, named = todo.limit(0), named.limit(0)
-        some = todo if k == last else todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star).distinct()
-        some = checkpointed(some)
-        todo = todo.join(some, ["a", "b"], "left_anti")
-        found = checkpointed(found.union(checked(some)))
+        some = todo if k == last else few(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star), left + many).distinct()
+        some = checkpointed(few(some, left + many))
+        todo = few(todo.join(some, ["a", "b"], "left_anti"), left)
+        found = few(found.union(checked(some, some.count())), found.count() + left + many)
         apart = named.select("sign", "node", "n", "pos")
     return found
 
