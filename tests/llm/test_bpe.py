@@ -104,3 +104,13 @@ def test_two_vocabularies_of_one_name(spark):
     assert [rows(bpe.round_trip(docs, v))[0]["n_tokens"] for v in (whole, letters)] == [3, 14]
     # in one process: the counts booked under a version are that version's
     assert [len(encoder(v).encode("the same words")) // 4 for v in (whole, letters)] == [3, 14]
+
+
+def test_single_positions_stand_in_the_queue_without_lists(exact):
+    made = bpe.Bpe(Vocabulary.load())
+    queue = made.queue
+    queue.push(9, 4)
+    assert queue.buckets[9] == 4 and queue.pop() == (9, 4)
+    for piece in ("abab" * 40, " intionhe", "zq" * 9, "\U0001f600" * 20):
+        assert made.merge(piece.encode()) == exact.encode_ordinary(piece)
+        assert set(queue.buckets) == {None} and not any(queue.words) and not queue.top

@@ -14,6 +14,7 @@ import base64
 import math
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +40,23 @@ class RankQueue:
     def __init__(self, ranks: int):
         self.width = max(1, math.isqrt(max(0, ranks - 1)) + 1)
         self.bits = [1 << i for i in range(self.width)]
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.word_of = [rank // self.width for rank in range(ranks)]
+        self.bit_of = [self.bits[rank % self.width] for rank in range(ranks)]
+        # of a rank: nothing, its one position, or a heap of two and more
+        self.buckets: list[int | list[int] | None] = [None] * ranks
         self.words, self.top = [0] * self.width, 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        bucket.append(position)
-        word, bit = divmod(rank, self.width)
-        held = self.words[word]
-        if not held:
+        if bucket is None:
+            self.buckets[rank] = position
+            word = self.word_of[rank]
+            self.words[word] |= self.bit_of[rank]
             self.top |= self.bits[word]
-        self.words[word] = held | self.bits[bit]
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
+            heappush(bucket, position)
 
     def pop(self) -> tuple[int, int] | None:
         """The first entry, taken out; None where there is none."""
@@ -64,12 +68,16 @@ class RankQueue:
         bit = (held & -held).bit_length() - 1
         rank = word * self.width + bit
         bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
+        if bucket.__class__ is not int:
+            position = heappop(bucket)
+            if len(bucket) == 1:
+                self.buckets[rank] = bucket[0]
+            return rank, position
+        self.buckets[rank] = None
         self.words[word] = held = held ^ self.bits[bit]
         if not held:
             self.top = top ^ self.bits[word]
-        return rank, bucket.pop()
+        return rank, bucket
 
 
 class Bpe(dict):
@@ -90,15 +98,43 @@ class Bpe(dict):
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the leftmost pair of the lowest rank is merged."""
-        n, rank_of, push, pop = len(piece), self.ranks.get, self.queue.push, self.queue.pop
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # push() and pop() of the queue are written out, as calls would take half of the time
+        n, rank_of, queue = len(piece), self.ranks.get, self.queue
+        width, bits, word_of, bit_of, buckets, words = queue.width, queue.bits, queue.word_of, queue.bit_of, queue.buckets, queue.words
+        after, before, top = list(range(1, n + 1)), list(range(-1, n - 1)), 0
         # the rank that the token here makes with the next one
-        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)] + [None]
+        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
         for i, rank in enumerate(pair):
             if rank is not None:
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                bucket = buckets[rank]
+                if bucket is None:
+                    buckets[rank] = i
+                    word = word_of[rank]
+                    words[word] |= bit_of[rank]
+                    top |= bits[word]
+                elif bucket.__class__ is int:
+                    buckets[rank] = [bucket, i]
+                else:
+                    # positions come in order, so this is a heap
+                    bucket.append(i)
+        while top:
+            first = top & -top
+            word = first.bit_length() - 1
+            held = words[word]
+            bit = held & -held
+            rank = word * width + bit.bit_length() - 1
+            bucket = buckets[rank]
+            if bucket.__class__ is not int:
+                i = heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
+            else:
+                i = bucket
+                buckets[rank] = None
+                words[word] = held = held ^ bit
+                if not held:
+                    top ^= first
             if pair[i] != rank:
                 continue
             gone = after[i]
@@ -108,12 +144,30 @@ class Bpe(dict):
                 before[end] = i
                 pair[i] = rank = rank_of(piece[i : after[end]])
                 if rank is not None:
-                    push(rank, i)
+                    bucket = buckets[rank]
+                    if bucket is None:
+                        buckets[rank] = i
+                        word = word_of[rank]
+                        words[word] |= bit_of[rank]
+                        top |= bits[word]
+                    elif bucket.__class__ is int:
+                        buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                    else:
+                        heappush(bucket, i)
             if i:
                 left = before[i]
                 pair[left] = rank = rank_of(piece[left:end])
                 if rank is not None:
-                    push(rank, left)
+                    bucket = buckets[rank]
+                    if bucket is None:
+                        buckets[rank] = left
+                        word = word_of[rank]
+                        words[word] |= bit_of[rank]
+                        top |= bits[word]
+                    elif bucket.__class__ is int:
+                        buckets[rank] = [bucket, left] if bucket < left else [left, bucket]
+                    else:
+                        heappush(bucket, left)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
@@ -123,7 +177,8 @@ class Bpe(dict):
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         rank = self.ranks.get(raw)
-        ids = np.array(self.merge(raw) if rank is None else [rank], dtype="<u4").tobytes()
+        ids = self.merge(raw) if rank is None else [rank]
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
