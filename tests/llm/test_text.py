@@ -392,3 +392,13 @@ def test_chances_of_all_words_sum_to_one(spark):
         inside[k] += (n[w] + gru_lm.SMOOTH) / model.shared[k] if model.shared[k] else 1
     inside += np.where(model.shared, gru_lm.SMOOTH / np.where(model.shared, model.shared, 1), 0)
     assert np.allclose(inside, 1) and len(model.shared) == len({k for k in of.values() if not model.shared[k]}) + 7
+
+
+def test_one_long_text_beside_short_ones_takes_few_softmax_calls(monkeypatch):
+    net = gru_lm.Network.blank(1 / np.arange(1.0, 30), 5, 6)
+    calls, plain = [], gru_lm.Network.log_chance
+    monkeypatch.setattr(gru_lm.Network, "log_chance", lambda self, *a: calls.append(len(a[1])) or plain(self, *a))
+    texts = [np.arange(n) % 29 for n in (3, 2000, 5)]
+    made = net.score(texts)
+    assert calls == [2008] and np.allclose(made, [by_hand(net, t) for t in texts], rtol=1e-4)
+    assert len(net.score([])) == 0

@@ -170,30 +170,35 @@ class Network:
         out[order] = made
         return out
 
-    def score(self, texts: list[np.ndarray], window: int = 64) -> np.ndarray:
-        """Natural log-likelihood of each id sequence (ending with the end), all in step, longest first."""
+    def score(self, texts: list[np.ndarray], window: int = 1 << 15) -> np.ndarray:
+        """Natural log-likelihood of each id sequence (ending with the end), all in step, longest first.
+
+        Chances are taken for about `window` words at a time, however many steps these are.
+        """
         sizes = np.array([len(t) for t in texts])
         order = np.argsort(-sizes, kind="stable")
         ordered, out = sizes[order], np.zeros(len(texts))
         flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
         start = np.cumsum(ordered) - ordered
         state = np.zeros((len(texts), self.size), np.float32)
-        for at in range(0, int(ordered[0]) if len(texts) else 0, window):
-            states, targets, owners = [], [], []
-            for t in range(at, min(at + window, int(ordered[0]))):
-                n = int(np.searchsorted(-ordered, -t, side="left"))
-                state = state[:n]
-                ids = flat[start[:n] + t]
-                states.append(state)
-                targets.append(ids)
-                owners.append(n)
-                if t + 1 < ordered[0]:
-                    state = self.step(state, self.inputs[ids])[0]
-            made = self.log_chance(np.concatenate(states), np.concatenate(targets))
-            done = 0
-            for n in owners:
-                out[order[:n]] += made[done : done + n]
-                done += n
+        states, targets, owners, held = [], [], [], 0
+        running = np.searchsorted(-ordered, -np.arange(int(ordered[0]) if len(texts) else 0), side="left").tolist()
+        for t, n in enumerate(running):
+            state = state[:n]
+            ids = flat[start[:n] + t]
+            states.append(state)
+            targets.append(ids)
+            owners.append(n)
+            held += n
+            last = t + 1 == len(running)
+            if not last:
+                state = self.step(state, self.inputs[ids])[0]
+            if held >= window or last:
+                made, done = self.log_chance(np.concatenate(states), np.concatenate(targets)), 0
+                for n in owners:
+                    out[order[:n]] += made[done : done + n]
+                    done += n
+                states, targets, owners, held = [], [], [], 0
         return out
 
     def gradient(self, state: np.ndarray, part: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -201,11 +206,11 @@ class Network:
         `inputs` they cover, and the state after the last step."""
         steps, lanes, h = len(part) - 1, part.shape[1], self.size
         given = self.inputs[part[:-1]]
-        states, kept = np.empty((steps + 1, lanes, h), np.float32), []
+        states, gates = np.empty((steps + 1, lanes, h), np.float32), np.empty((steps, lanes, 2 * h), np.float32)
+        fresh, own = (np.empty((steps, lanes, h), np.float32) for _ in range(2))
         states[0] = state
         for t in range(steps):
-            states[t + 1], *rest = self.step(states[t], given[t])
-            kept.append(rest)
+            states[t + 1], gates[t], fresh[t], own[t] = self.step(states[t], given[t])
         targets = part[1:].ravel()
         n = len(targets)
         order = by_id(targets)
@@ -235,20 +240,24 @@ class Network:
         from_words = np.empty((n, h), np.float32)
         from_words[order] = back[:, :h]
         from_words = from_words.reshape(steps, lanes, h)
-        to_input, to_state = (np.empty((steps, lanes, 3 * h), np.float32) for _ in range(2))
+        # all that does not depend on later steps is worked out for the whole span at once
+        update, reset = gates[:, :, :h], gates[:, :, h:]
+        to_fresh = update * (1 - fresh * fresh)
+        slope = np.empty((steps, lanes, 3, h), np.float32)
+        slope[:, :, 0] = (fresh - states[:-1]) * (update * (1 - update))
+        slope[:, :, 1] = to_fresh * own * (reset * (1 - reset))
+        slope[:, :, 2] = to_fresh * reset
+        lasts, laters, back_to = 1 - update, np.empty((steps, lanes, h), np.float32), np.ascontiguousarray(self.recur.T)
         later = np.zeros((lanes, h), np.float32)
         for t in range(steps - 1, -1, -1):
-            gate, fresh, own = kept[t]
             later += from_words[t]
-            d = later * gate[:, :h]
-            d *= 1 - fresh * fresh
-            to_input[t, :, :h] = later * (fresh - states[t])
-            to_input[t, :, h : 2 * h] = d * own
-            to_input[t, :, : 2 * h] *= gate * (1 - gate)
-            to_input[t, :, 2 * h :] = d
-            to_state[t] = to_input[t]
-            to_state[t, :, 2 * h :] *= gate[:, h:]
-            later = later * (1 - gate[:, :h]) + to_state[t] @ self.recur.T
+            laters[t] = later
+            slope[t] *= later[:, None]
+            later *= lasts[t]
+            later += slope[t].reshape(lanes, 3 * h) @ back_to
+        to_state = slope.reshape(steps, lanes, 3 * h)
+        to_input = to_state.copy()
+        np.multiply(laters, to_fresh, out=to_input[:, :, 2 * h :])
         grads["recur"] = states[:-1].reshape(n, h).T @ to_state.reshape(n, 3 * h)
         order = by_id(part[:-1].ravel())
         touched, first = np.unique(part[:-1].ravel()[order], return_index=True)
