@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents, rows
 from tokenizers import Tokenizer
@@ -402,3 +403,49 @@ def test_one_long_text_beside_short_ones_takes_few_softmax_calls(monkeypatch):
     made = net.score(texts)
     assert calls == [2008] and np.allclose(made, [by_hand(net, t) for t in texts], rtol=1e-4)
     assert len(net.score([])) == 0
+
+
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["", " a  B\x0b", "  ", None, "x\x1cY\x85z\x0cÄ", "\x00 q", "  e f", "\t\n", "Ab ab\r\nAB"]
+    for some in (pa.array(texts), pa.array(texts)[2:5], pa.array(texts[:1]), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        words, n = gru_lm.words_in(some)
+        own = [gru_lm.words_of(t.as_py()) for t in some.cast(pa.binary())]
+        assert n.tolist() == [len(w) for w in own] and words.to_pylist() == [w for ws in own for w in ws]
+    ids = gru_lm.Ids({}, list(range(100, 107)))
+    words = pa.array([b"a", b"ab", b"xabc", b"yabc", "é".encode()], pa.binary())
+    assert ids.by_ending(words).tolist() == [ids[w] for w in words.to_pylist()] and len(ids.by_ending(words[:0])) == 0
+    assert gru_lm.places(words, pa.array([b"xabc", b"a"], pa.binary())).tolist() == [1, -1, 0, -1, -1]
+
+
+def test_gradient_takes_as_many_exps_for_many_classes_and_holds_for_large_weights(monkeypatch):
+    net = gru_lm.Network.blank(1 / np.arange(1.0, 400), 6, 40)
+    part = np.random.default_rng(3).integers(0, 399, (5, 300))
+    calls, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    net.gradient(np.zeros((300, 6), np.float32), part)
+    monkeypatch.undo()
+    assert len(net.first) > 35 and len(calls) == 4 + 2  # one a step, one for all classes, one for the words in them
+    net = gru_lm.Network.blank(np.array([5.0, 9, 7, 4, 3, 2, 1]), 4, 3)
+    for k in gru_lm.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    net.within[-1] += 1000
+    net.classes[-1] -= 1000
+    part = np.array([[0, 2], [2, 2], [3, 5], [6, 1]])
+    state = np.random.default_rng(5).uniform(-0.5, 0.5, (2, 4))
+    got = net.gradient(state, part)[0]
+
+    def loss():
+        now, out = state, 0.0
+        for t in range(3):
+            now = net.step(now, net.inputs[part[t]])[0]
+            out -= net.log_chance(now, part[t + 1]).sum() / 6
+        return out
+
+    for name, at in (("within", (1, 3)), ("within", (4, 5)), ("classes", (2, 1)), ("recur", (1, 9))):
+        w, old = getattr(net, name), getattr(net, name)[at]
+        w[at] = old + 1e-4
+        up = loss()
+        w[at] = old - 1e-4
+        down = loss()
+        w[at] = old
+        assert np.isclose(got[name][at], (up - down) / 2e-4, rtol=1e-2, atol=1e-4)

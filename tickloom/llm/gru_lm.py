@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ END = b""
 SMOOTH = 0.1
 #: Bytes at a word's end that tell which id it shares with others.
 TAIL = 3
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
+#: Texts that a training task turns into ids at once.
+TEXTS = 2048
 NAMES = ("inputs", "recur", "classes", "within")
 
 
@@ -48,21 +48,24 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER_ASCII).split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def hand_on() -> Iterator[pa.RecordBatch]:
-        for teaches, c in seen.items():
-            m = pa.array(list(c.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), m if teaches else pa.array(np.zeros(len(c), np.int64)), m], names=["word", "n", "m"])
-            c.clear()
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What `words_of` finds in each of the texts, one after another, and how many words each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    split = pc.ascii_split_whitespace(trimmed)
+    filled = pc.fill_null(pc.greater(pc.binary_length(trimmed), 0), False)
+    n = np.where(filled.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False), 0)
+    words = split.flatten().cast(pa.binary())
+    # a text without a word is split into one empty word
+    return (words if len(words) == n.sum() else words.filter(pc.greater(pc.binary_length(words), 0))), n.astype(np.int64)
+
 
-    seen: dict[bool, Counter[bytes]] = {True: Counter(), False: Counter()}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, teaches in zip(batch.column("text").cast(pa.binary()), batch.column("teaches").to_pylist(), strict=True):
-            seen[teaches].update(words_of(text.as_py()))
-            seen[teaches][END] += 1
-            if len(seen[True]) + len(seen[False]) > FLUSH:
-                yield from hand_on()
-    yield from hand_on()
+        for teaches in (True, False):
+            texts = batch.column("text").filter(pc.equal(batch.column("teaches"), teaches))
+            found = words_in(texts)[0].value_counts()
+            m = pa.concat_arrays([found.field("counts"), pa.array([len(texts)], pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), m if teaches else pa.array(np.zeros(len(m), np.int64)), m], names=["word", "n", "m"])
 
 
 def word_counts(docs: DataFrame, teaches: Column) -> DataFrame:
@@ -84,6 +87,23 @@ class Ids(dict):
     def __missing__(self, word: bytes) -> int:
         return self.endings[zlib.crc32(word[-TAIL:]) % len(self.endings)]
 
+    def by_ending(self, words: pa.Array) -> np.ndarray:
+        """The id of each word's ending; each ending is looked up once."""
+        tails = pc.binary_slice(words, -TAIL).dictionary_encode()
+        return np.array([self.__missing__(w) for w in tails.dictionary.to_pylist()], dtype=np.int64)[tails.indices.to_numpy()]
+
+
+def places(words: pa.Array, head: pa.Array) -> np.ndarray:
+    """Where the head has each word; -1: nowhere."""
+    return pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy(zero_copy_only=False)
+
+
+def by_gate(rows: np.ndarray) -> np.ndarray:
+    """Rows of `inputs` or `recur` taken apart (3, rows, H), what is for the two gates negative: `Network.turn` wants it so."""
+    made = np.array(rows.reshape(len(rows), 3, -1).swapaxes(0, 1), order="C")
+    np.negative(made[:2], out=made[:2])
+    return made
+
 
 @dataclass
 class Network:
@@ -128,28 +148,43 @@ class Network:
         cuts = np.cumsum([getattr(self, k).size for k in NAMES])[:-1]
         return Network(*(x.astype(np.float32).reshape(getattr(self, k).shape) for k, x in zip(NAMES, np.split(flat, cuts), strict=True)), self.first)
 
-    def step(self, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The state after a word (given: its row of `inputs`), the gates, the candidate and what it had from the state."""
-        h = self.size
-        own = state @ self.recur
-        gate = given[:, : 2 * h] + own[:, : 2 * h]
-        gate *= 0.5
-        np.tanh(gate, out=gate)
-        gate *= 0.5
-        gate += 0.5
-        fresh = gate[:, h:] * own[:, 2 * h :]
-        fresh += given[:, 2 * h :]
+    @staticmethod
+    def turn(state: np.ndarray, given: np.ndarray, recur: np.ndarray, own: np.ndarray, gate: np.ndarray, fresh: np.ndarray, after: np.ndarray) -> None:
+        """Fill in what the state adds to gates and candidate, the gates, the candidate and the state after a word.
+
+        given: what the word adds, apart `by_gate` like `recur`.
+        """
+        np.matmul(state, recur, out=own)
+        np.add(own[:2], given[:2], out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.multiply(gate[1], own[2], out=fresh)
+        fresh += given[2]
         np.tanh(fresh, out=fresh)
-        after = fresh - state
-        after *= gate[:, :h]
+        np.subtract(fresh, state, out=after)
+        after *= gate[0]
         after += state
-        return after, gate, fresh, own[:, 2 * h :]
+
+    def step(self, state: np.ndarray, given: np.ndarray, recur: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state after a word (given: its row of `inputs`), the gates, the candidate and what it had from the state.
+
+        With `recur`, that and `given` are apart by gate.
+        """
+        if recur is None:
+            given, recur = by_gate(given), by_gate(self.recur)
+        own = np.empty_like(given)
+        gate, fresh, after = np.empty_like(given[:2]), np.empty_like(given[2]), np.empty_like(given[2])
+        with np.errstate(over="ignore"):  # a gate that is shut
+            self.turn(state, given, recur, own, gate, fresh, after)
+        return after, gate, fresh, own[2]
 
     def log_chance(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's chance given the state before it."""
         order = by_id(targets)
         hit = targets[order]
-        full = np.hstack([states, np.ones((len(states), 1), np.float32)])[order]
+        full = np.ones((len(states), self.size + 1), states.dtype)
+        full[:, :-1] = states.take(order, axis=0)
         edges = np.searchsorted(hit, self.first)
 
         def log_soft(part: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -182,6 +217,7 @@ class Network:
         start = np.cumsum(ordered) - ordered
         state = np.zeros((len(texts), self.size), np.float32)
         states, targets, owners, held = [], [], [], 0
+        inputs, recur = by_gate(self.inputs), by_gate(self.recur)
         running = np.searchsorted(-ordered, -np.arange(int(ordered[0]) if len(texts) else 0), side="left").tolist()
         for t, n in enumerate(running):
             state = state[:n]
@@ -192,7 +228,7 @@ class Network:
             held += n
             last = t + 1 == len(running)
             if not last:
-                state = self.step(state, self.inputs[ids])[0]
+                state = self.step(state, inputs.take(ids, axis=1), recur)[0]
             if held >= window or last:
                 made, done = self.log_chance(np.concatenate(states), np.concatenate(targets)), 0
                 for n in owners:
@@ -205,43 +241,63 @@ class Network:
         """Truncated backpropagation over part (steps + 1 words of each lane): gradients, the ids whose rows of
         `inputs` they cover, and the state after the last step."""
         steps, lanes, h = len(part) - 1, part.shape[1], self.size
-        given = self.inputs[part[:-1]]
-        states, gates = np.empty((steps + 1, lanes, h), np.float32), np.empty((steps, lanes, 2 * h), np.float32)
-        fresh, own = (np.empty((steps, lanes, h), np.float32) for _ in range(2))
+        given, recur = by_gate(self.inputs.take(part[:-1].ravel(), axis=0)).reshape(3, steps, lanes, h), by_gate(self.recur)
+        states, gates = np.empty((steps + 1, lanes, h), np.float32), np.empty((steps, 2, lanes, h), np.float32)
+        fresh, owns = np.empty((steps, lanes, h), np.float32), np.empty((steps, 3, lanes, h), np.float32)
         states[0] = state
-        for t in range(steps):
-            states[t + 1], gates[t], fresh[t], own[t] = self.step(states[t], given[t])
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                self.turn(states[t], given[:, t], recur, owns[t], gates[t], fresh[t], states[t + 1])
         targets = part[1:].ravel()
         n = len(targets)
         order = by_id(targets)
         hit = targets[order]
         full = np.ones((n, h + 1), np.float32)
-        full[:, :h] = states[1:].reshape(n, h)[order]
+        full[:, :h] = states[1:].reshape(n, h).take(order, axis=0)
         edges = np.searchsorted(hit, self.first)
-
-        def missed(part: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-            p = part @ weights
-            if np.abs(weights).sum(axis=0).max() > 80:
-                p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p *= (1 / (n * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
-            p[np.arange(len(at)), at] -= np.float32(1 / n)
-            return p
-
-        error = missed(full, self.classes, np.repeat(np.arange(len(self.first) - 1), np.diff(edges)))
-        grads = {"classes": full.T @ error, "within": np.zeros_like(self.within)}
-        back = error @ self.classes.T
-        for c in np.flatnonzero(np.diff(edges)):
-            low, high, rows = self.first[c], self.first[c + 1], slice(edges[c], edges[c + 1])
-            if high - low > 1:
-                error = missed(full[rows], self.within[:, low:high], hit[rows] - low)
-                grads["within"][:, low:high] = full[rows].T @ error
-                back[rows] += error @ self.within[:, low:high].T
+        met, width = np.diff(edges), np.diff(self.first)
+        one = np.float32(1)
+
+        # chances are kept unscaled and the states are scaled instead, which are fewer
+        p = full @ self.classes
+        if np.abs(self.classes).sum(axis=0).max() > 60:
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        z = p @ np.ones(p.shape[1], p.dtype)
+        p[np.arange(n), np.repeat(np.arange(len(met)), met)] -= z
+        z = (one / (n * z))[:, None]
+        grads = {"classes": (full * z).T @ p, "within": np.zeros_like(self.within)}
+        back = p @ self.classes[:h].T
+        back *= z
+        # the chances within classes, one class after another in one array
+        wide = np.repeat(width, met)
+        begin = np.cumsum(wide) - wide
+        p = np.empty(int(wide.sum()), np.float32)
+        parts, at = [], 0
+        for c in np.flatnonzero(met).tolist():
+            size = int(met[c] * width[c])
+            part_p = p[at : at + size].reshape(met[c], width[c])
+            parts.append((slice(edges[c], edges[c + 1]), slice(self.first[c], self.first[c + 1]), part_p))
+            at += size
+        for rows, ids, made in parts:
+            np.matmul(full[rows], self.within[:, ids], out=made)
+        if np.abs(self.within).sum(axis=0).max() > 60:
+            p -= np.repeat(np.maximum.reduceat(p, begin), wide)
+        np.exp(p, out=p)
+        z = np.add.reduceat(p, begin)
+        p[begin + hit - np.repeat(self.first[:-1], met)] -= z
+        z = (one / (n * z))[:, None]
+        scaled, inner = full * z, np.empty((n, h), np.float32)
+        for rows, ids, made in parts:
+            np.matmul(scaled[rows].T, made, out=grads["within"][:, ids])
+            np.matmul(made, self.within[:h, ids].T, out=inner[rows])
+        inner *= z
+        back += inner
         from_words = np.empty((n, h), np.float32)
-        from_words[order] = back[:, :h]
+        from_words[order] = back
         from_words = from_words.reshape(steps, lanes, h)
         # all that does not depend on later steps is worked out for the whole span at once
-        update, reset = gates[:, :, :h], gates[:, :, h:]
+        update, reset, own = gates[:, 0], gates[:, 1], owns[:, 2]
         to_fresh = update * (1 - fresh * fresh)
         slope = np.empty((steps, lanes, 3, h), np.float32)
         slope[:, :, 0] = (fresh - states[:-1]) * (update * (1 - update))
@@ -261,7 +317,10 @@ class Network:
         grads["recur"] = states[:-1].reshape(n, h).T @ to_state.reshape(n, 3 * h)
         order = by_id(part[:-1].ravel())
         touched, first = np.unique(part[:-1].ravel()[order], return_index=True)
-        grads["inputs"] = np.add.reduceat(to_input.reshape(n, 3 * h)[order], first, axis=0)
+        # numbers in pairs: half as many sums
+        pairs = to_input.reshape(n, 3 * h).take(order, axis=0)
+        pairs = pairs.view(np.complex64) if h % 2 == 0 else pairs
+        grads["inputs"] = np.add.reduceat(pairs, first, axis=0).view(np.float32)
         return grads, touched, states[-1]
 
 
@@ -293,15 +352,28 @@ class Learner:
     def update(self, grads: dict[str, np.ndarray], touched: np.ndarray) -> None:
         self.done += 1
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
-        cut, fix = min(1.0, 5.0 / max(norm, 1e-12)), 1 - 0.99**self.done
+        cut, fix = float(min(1.0, 5.0 / max(norm, 1e-12))), 1 - 0.99**self.done
         pace = self.rate / (1 - 0.9**self.done)
         for k, g in grads.items():
-            at = touched if k == "inputs" else slice(None)
-            m, v = self.moments[k]
-            g *= np.float32(cut)
-            m[at] += np.float32(0.1) * (g - m[at])
-            v[at] += np.float32(0.01) * (g * g - v[at])
-            getattr(self.network, k)[at] -= np.float32(pace) * m[at] / (np.sqrt(v[at] / np.float32(fix)) + np.float32(1e-6))
+            held = (getattr(self.network, k), *self.moments[k])
+            w, m, v = (x.take(touched, axis=0) for x in held) if k == "inputs" else held
+            g *= cut
+            m *= 0.9
+            move = 0.1 * g
+            m += move
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            np.divide(v, fix, out=move)
+            np.sqrt(move, out=move)
+            move += 1e-6
+            np.divide(m, move, out=move)
+            move *= pace
+            w -= move
+            if k == "inputs":
+                for x, rows in zip(held, (w, m, v), strict=True):
+                    x[touched] = rows
 
 
 @dataclass
@@ -347,31 +419,34 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([got[0][0]], pa.int32()), pa.array([sum(n for _, n, _ in got)], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
 
-def one_round(network: Network, docs: DataFrame, ids: Ids, rate: float, lanes: int) -> Network:
+def one_round(network: Network, docs: DataFrame, head: pa.Array, id_of: np.ndarray, ending: Ids, end: int, rate: float, lanes: int) -> Network:
     """The average, weighted by tokens, of the networks that the tasks reach, each on its documents (text) from `network`.
 
     Each task goes through its words in `lanes` side by side. The sums of weights are merged sixteen to one until few
     are left for the driver.
     """
     context = docs.sparkSession.sparkContext
-    ships = context.broadcast((network, ids))
+    ships = context.broadcast((network, head, id_of, ending))
     schema = "part int, tokens long, weights binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, ids = ships.value
-        of, end = ids.__getitem__, ids[END]
+        network, head, id_of, ending = ships.value
         learner = Learner(network.copy(), rate, lanes)
         # each document starts from what follows an end
-        held, tokens, full = [end], 0, learner.lanes * learner.length
+        held, tokens, full = np.array([end]), 0, learner.lanes * learner.length
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                held += map(of, words_of(text.as_py()))
-                held.append(end)
-                while len(held) > full:
-                    learner.learn(np.array(held[: full + 1]))
-                    held, tokens = held[full:], tokens + full
+            for first in range(0, batch.num_rows, TEXTS):
+                words, n = words_in(batch.column("text").slice(first, TEXTS))
+                place = places(words, head)
+                ids, beyond = id_of[place], place < 0
+                ids[beyond] = ending.by_ending(words.filter(pa.array(beyond)))
+                held, at = np.concatenate([held, np.insert(ids, np.cumsum(n), end)]), 0
+                while len(held) - at > full:
+                    learner.learn(held[at : at + full + 1])
+                    at += full
+                held, tokens = held[at:], tokens + at
         if len(held) > 1:
-            learner.learn(np.array(held))
+            learner.learn(held)
             tokens += len(held) - 1
         if tokens:
             made = learner.network.flat() * np.float32(tokens)
@@ -422,7 +497,7 @@ def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden
     ending_ids = Ids({}, place[len(known) :].tolist())
     own = {top[k][0]: int(i) for k, i in zip(known, place)}
     id_of = np.array([own[w] if w in own else ending_ids[w] for w, _, _ in top], dtype=np.int64)
-    ids = Ids(dict(zip((w for w, _, _ in top), id_of.tolist(), strict=True)), ending_ids.endings)
+    heads = pa.array([w for w, _, _ in top], pa.binary())
     network = Network.blank(mass[order], hidden, classes)
     passes = max(1, min(8, -(-least // max(1, tokens)))) if tokens else 0
     # a task goes through a few hundred thousand tokens at least, so that what it learns is worth averaging
@@ -433,7 +508,7 @@ def train(docs: DataFrame, counts: DataFrame, head: int, coverage: float, hidden
     lanes = max(32, min(512, tokens // (rounds * tasks * 3200)))
     for k in range(rounds * passes):
         some = text.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k % rounds).select("text")
-        network = one_round(network, some, ids, 0.02 * (1 - 0.9 * k / max(1, rounds * passes - 1)), lanes)
+        network = one_round(network, some, heads, id_of, ending_ids, own[END], 0.02 * (1 - 0.9 * k / max(1, rounds * passes - 1)), lanes)
     return Model(words, n_of, id_of, ending_ids, network, tokens, distinct, shared)
 
 
@@ -453,8 +528,8 @@ def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.6, hidden: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        get, logs = model.words.get, np.append(model.base(model.counts), 0.0)
-        met, ending = np.append(model.counts > 0, False), model.ending
+        head, end = pa.array(list(model.words), pa.binary()), model.words[END]
+        logs, met = np.append(model.base(model.counts), 0.0), np.append(model.counts > 0, False)
         task, done = TaskContext.get().partitionId(), 0
         # a known word has the network's chance; another word that of its ending, times that of its count among its words
         own_id = model.shared == 0
@@ -462,26 +537,25 @@ def score(docs: DataFrame, head: int = 200_000, coverage: float = 0.6, hidden: i
         for batch in batches:
             for at in range(0, batch.num_rows, group):
                 some = batch.slice(at, group)
-                ids, base, n_tokens, n_known, rest = [], [], [], [], []
-                rare, often, ends = [], [], [0]
-                for text in some.column("text").cast(pa.binary()):
-                    words = words_of(text.as_py())
-                    words.append(END)
-                    place = np.array([get(w, -1) for w in words], dtype=np.int64)
-                    beyond = np.flatnonzero(place < 0)
-                    last = [words[i] for i in beyond.tolist()]
-                    unknown = Counter(last)
-                    rare += unknown
-                    often += unknown.values()
-                    ends.append(len(rare))
-                    own, log = model.ids[place], logs[place]
-                    own[beyond] = list(map(ending.__getitem__, last))
-                    ids.append(own)
-                    n_tokens.append(len(words))
-                    n_known.append(int(met[place].sum()))
-                    base.append(float(log.sum()))
-                    rest.append(float(log.sum() - log[own_id[own]].sum() - share[own].sum()))
-                made = model.network.score(ids) / np.log(10) + np.array(rest)
+                words, n = words_in(some.column("text"))
+                place = places(words, head)
+                beyond = place < 0
+                # each text's words that the head has not, and how often it has them
+                unknown = words.filter(pa.array(beyond)).dictionary_encode()
+                kinds = max(1, len(unknown.dictionary))
+                pairs, often = np.unique(np.repeat(np.arange(len(n)), n)[beyond] * kinds + unknown.indices.to_numpy(), return_counts=True)
+                rare, ends = unknown.dictionary.take(pa.array(pairs % kinds)), np.searchsorted(pairs, np.arange(len(n) + 1) * kinds)
+                own = model.ids[place]
+                own[beyond] = model.ending.by_ending(unknown.dictionary)[unknown.indices.to_numpy()]
+                stops = np.cumsum(n)
+                own, place = np.insert(own, stops, model.ids[end]), np.insert(place, stops, end)
+                n_tokens = n + 1
+                begin = np.cumsum(n_tokens) - n_tokens
+                log = logs[place]
+                base = np.add.reduceat(log, begin)
+                n_known = np.add.reduceat(met[place].astype(np.int64), begin)
+                rest = np.add.reduceat(np.where(own_id[own], 0, log) - share[own], begin)
+                made = model.network.score(np.split(own, begin[1:])) / np.log(10) + rest
                 number = np.arange(done, done + some.num_rows, dtype=np.int64) + (task << 33)
                 done += some.num_rows
                 yield pa.RecordBatch.from_arrays(
